@@ -47,3 +47,9 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = encode_pieces(docs)
     return coded.select("doc_id", *digests(coded))
+
+
+def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Last pipeline stage: ids of each text with count and digests; a document that was repeated has a row for each copy."""
+    coded = encode_pieces(docs.select("doc_id", "source", "text"))
+    return coded.select("doc_id", "source", *digests(coded))
