@@ -12,21 +12,25 @@ symbols S, 0; then left[R], right[R] (symbols), length[R] (u32), first symbol[D
 
 from __future__ import annotations
 
+import bisect
 import struct
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import add_columns, prepare, table
+from barloom.llm.common import prepare, table
 from barloom.session import shared_dir
 
 #: Ids in a block, unless one document has more; documents in a shard, about.
 BLOCK_IDS, SHARD_DOCS = 1 << 20, 4096
+#: Text that goes through the tokenizer together, about.
+TEXT_BYTES = 8 << 20
 MAGIC, NULL_ID = b"RPB1", -(1 << 63)
 _SLOTS = 1 << 18
 
@@ -34,7 +38,7 @@ _SLOTS = 1 << 18
 # --- grammar ---
 
 
-def compress(seq: np.ndarray, last: np.ndarray, first: int, limit: int, rounds: int = 6, least: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(seq: np.ndarray, last: np.ndarray, first: int, limit: int, rounds: int = 4, least: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The sequence with frequent pairs replaced, where documents end in it, and the rules' left and right symbols.
 
     Rule k makes symbol first + k. last: which places of the sequence end a document; no pair reaches over one.
@@ -118,18 +122,16 @@ class Block:
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:
         if self._flat is None:
-            self._flat, self._starts = expansions(self.left, self.right, self.first)
-        seq = seq.astype(np.int64)
-        rule = seq - self.first
-        is_rule = rule >= 0
-        size = np.ones(len(seq), np.int64)
-        size[is_rule] = self.length[rule[is_rule]]
-        ends = np.cumsum(size)
-        out = np.repeat(seq, size)
-        inside = np.repeat(is_rule, size)
-        within = np.arange(len(out)) - np.repeat(ends - size, size)
-        out[inside] = self._flat[self._starts[out[inside] - self.first] + within[inside]]
-        return out.astype("<u4")
+            # One table for plain ids, which stand for themselves, and rules.
+            flat, starts = expansions(self.left, self.right, self.first)
+            plain = np.arange(self.first)
+            self._flat = np.concatenate([plain, flat]).astype("<u4")
+            self._starts = np.concatenate([plain, starts[:-1] + self.first])
+            self._size = np.concatenate([np.ones(self.first, np.int64), self.length])
+        size = self._size[seq]
+        ends = np.cumsum(size, dtype=np.int64)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self._starts[seq] - ends + size, size)
+        return self._flat[at]
 
     def ids(self, k: int) -> np.ndarray:
         """Ids of the k-th document of the block."""
@@ -163,10 +165,11 @@ def pack(doc_ids: list[int | None], ids: list[np.ndarray], vocab: int) -> bytes:
 class WordTokenizer:
     """The tokenizers library over units between blanks, each distinct one encoded once while it is remembered.
 
-    The model drops white space and splits on it, so a text's ids are those of its units one after the other.
+    The model drops white space and never encodes across it, so a text's ids are those of its units one after the other. A
+    batch's units are told apart by Arrow; only distinct ones reach Python, and only unknown ones the library.
     """
 
-    UNITS, CHARS = 300_000, 48
+    UNITS, CHARS, JOINED = 250_000, 48, 256
 
     def __init__(self, path: str):
         import os
@@ -177,43 +180,74 @@ class WordTokenizer:
         self.lib = Tokenizer.from_file(path)
         self.vocab = self.lib.get_vocab_size(with_added_tokens=True)
         self.kind = "<u2" if self.vocab < 1 << 16 else "<u4"
+        self.width = np.dtype(self.kind).itemsize
+        self.closes = np.zeros(self.vocab, bool)
+        for token, k in self.lib.get_vocab().items():
+            self.closes[k] = token.endswith("</w>")
         #: Units met lately, and those met before that.
-        self.new: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
-        #: Marks that the model always parts from a letter before them.
-        self.tail = dict(zip(".,;:!?", self._encode(list(".,;:!?"))))
 
-    def _encode(self, units: list[str]) -> list[bytes]:
-        kind = self.kind
-        return [np.array(e.ids, kind).tobytes() for e in self.lib.encode_batch_fast(units, add_special_tokens=False)]
+    def _each(self, units: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.lib.encode_batch_fast(units, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of units of letters only: encoded many to a text and parted where each one's last token ends."""
+        groups = [words[k : k + self.JOINED] for k in range(0, len(words), self.JOINED)]
+        out: list[bytes] = []
+        for group, e in zip(groups, self.lib.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            ends = ((np.flatnonzero(self.closes[ids]) + 1) * self.width).tolist()
+            if len(ends) != len(group):  # some letter became more than one
+                out += self._each(group)
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends)]
+        return out
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts. A unit not remembered is looked up without the mark at its end and in lower case."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+    def _learn(self, units: list[str]) -> None:
+        """Have the ids of all units in ``new``."""
+        new, old = self.new, self.old
+        ask = []
+        for w in units:
+            if w not in new:
+                ids = old.get(w)
+                if ids is None:
+                    ask.append(w)
+                else:
+                    new[w] = ids
+        words = [w for w in ask if w.isalpha()]
+        rest = [w for w in ask if not w.isalpha()]
+        new.update(zip(words, self._words(words)))
+        new.update(zip(rest, self._each(rest)))
+
+    def encode_column(self, texts: pa.Array, end: int) -> pa.Array:
+        """Ids of whole texts with the end id after each, as bytes; null counts as empty."""
+        texts = texts.fill_null("")
+        # Strings that are special tokens are looked for before the text is put in lower case.
+        special = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
+        # The model parts marks from a letter before them; a blank there leaves fewer distinct units.
+        parted = pc.replace_substring_regex(pc.ascii_lower(texts), pattern=r"(\pL)([.,;:!?])", replacement=r"\1 \2")
+        units = pc.ascii_split_whitespace(parted)
+        flat = units.flatten().dictionary_encode()
+        distinct = flat.dictionary.to_pylist()
         if len(self.new) > self.UNITS:
-            self.old, self.new = self.new, {}
-        new, old, tail = self.new, self.old, self.tail
-        forms = []
-        for w in set().union(*split) - new.keys():
-            ids = old.get(w)
-            if ids is not None:
-                new[w] = ids
-                continue
-            base = w[:-1] if w[-1:] in tail and w[-2:-1].isalpha() else w
-            if base.isascii() and "|" not in base:
-                base = base.lower()
-            forms.append((w, base))
-        ask = list({base for _, base in forms} - new.keys())
-        new.update(zip(ask, self._encode(ask)))
-        for w, base in forms:
-            if w is not base:
-                new[w] = new[base] + (tail[w[-1]] if len(w) > len(base) else b"")
-        out = [b"".join(map(new.__getitem__, words)) for words in split]
-        for w, base in forms:
+            self.old, self.new = self.new, {"": b""}
+        self._learn(distinct)
+        taken = pa.array(list(map(self.new.__getitem__, distinct)), pa.binary()).take(flat.indices)
+        for w in distinct:
             if len(w) > self.CHARS:
-                new.pop(w, None)
-                new.pop(base, None)
-        return out
+                self.new.pop(w, None)
+        first = units.offsets.to_numpy().astype(np.int64)
+        at = np.frombuffer(taken.buffers()[1], np.int32)[: len(taken) + 1].astype(np.int64) if len(taken) else np.zeros(1, np.int64)
+        cut = at[first - first[0]].tolist()
+        raw = memoryview(taken.buffers()[2] or b"") if len(taken) else memoryview(b"")
+        last = np.array([end], self.kind).tobytes()
+        out = [b"".join((raw[a:b], last)) for a, b in zip(cut, cut[1:])]
+        if len(special):
+            for k, ids in zip(special.tolist(), self._each([texts[k].as_py() for k in special.tolist()])):
+                out[k] = ids + last
+        return pa.array(out, pa.binary())
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -229,22 +263,6 @@ def load_tokenizer(path: str | None) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
-def with_token_ids(df: DataFrame, text_col: str = "text", out: str = "ids", model: str | None = None, end: int = 2) -> DataFrame:
-    """df with the ids of each whole text and the end id after them, as bytes of the tokenizer's width."""
-
-    def make():
-        tok = load_tokenizer(model)
-        last = np.array([end], tok.kind).tobytes()
-
-        def fn(b: pa.RecordBatch) -> list[pa.Array]:
-            texts = [t or "" for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
-            return [pa.array([x + last for x in tok.encode_batch(texts)], pa.binary())]
-
-        return fn
-
-    return add_columns(df, [T.StructField(out, T.BinaryType())], make)
-
-
 # --- writing and reading ---
 
 WRITTEN = T.StructType(
@@ -273,16 +291,26 @@ def write_token_file(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     bounds = df.approxQuantile(id_col, cuts, 1 / (4 * shards)) if cuts else []
     bounds = sorted({int(x) for x in bounds})
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    coded = with_token_ids(docs, "text", "ids", model, end).drop("text")
-    import bisect
 
-    def shard_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(0).to_pylist()
-            shard = [0 if d is None else bisect.bisect_left(bounds, d) for d in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *b.columns], names=["shard", "doc_id", "ids"])
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = load_tokenizer(model)
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            part = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            docs, texts = part.column(0).combine_chunks(), part.column(1).combine_chunks()
+            shard = [0 if d is None else bisect.bisect_left(bounds, d) for d in docs.to_pylist()]
+            return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), docs, tok.encode_column(texts, end)], names=["shard", "doc_id", "ids"])
+
+        for b in batches:  # together as many as hold some text, so that distinct units are met once for all of it
+            held.append(b)
+            if sum(x.nbytes for x in held) >= TEXT_BYTES:
+                yield flush()
+        if held:
+            yield flush()
 
-    dealt = coded.mapInArrow(shard_of, "shard int, doc_id long, ids binary").repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    dealt = docs.mapInArrow(coded, "shard int, doc_id long, ids binary").repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "ids")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load_tokenizer(model)
