@@ -121,11 +121,11 @@ def evidence(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:
     return o, {c: F.col(c) for c in o.columns}
 
 
-@query(f"WITH {_EVIDENCE} SELECT id, round(score, 9) AS score, CASE WHEN score >= 0.8 THEN 'very strong' WHEN score >= 0.65 THEN 'strong' WHEN score >= 0.5 THEN 'moderate' WHEN score >= 0.35 THEN 'weak' ELSE 'not tradable' END AS band FROM c")
+@query(f"WITH {_EVIDENCE} SELECT id, round(score + 1e-12, 9) AS score, CASE WHEN score >= 0.8 THEN 'very strong' WHEN score >= 0.65 THEN 'strong' WHEN score >= 0.5 THEN 'moderate' WHEN score >= 0.35 THEN 'weak' ELSE 'not tradable' END AS band FROM c")
 def confidence(spark: SparkSession, sf: str) -> DataFrame:
     o, e = evidence(spark, sf)
     o = o.withColumn("score", P.confidence(e)[0])
-    return o.select("id", F.round("score", 9).alias("score"), P.confidence_band(F.col("score")).alias("band"))
+    return o.select("id", F.round(F.col("score") + 1e-12, 9).alias("score"), P.confidence_band(F.col("score")).alias("band"))
 
 
 @query(
