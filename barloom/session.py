@@ -12,6 +12,7 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_SHARED: dict[str, str] = {}
 
 
 def build_session(app: str = "barloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -58,15 +59,23 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
+    """A folder of this application below spark.checkpoint.dir, which the driver and all executors share.
 
-    It is read from the session. Only where it is unset (tests, a laptop) does this choose a folder of its own.
+    The setting is read from the session. Only where it is unset (tests, a laptop) does this choose a folder of its own.
     """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    known = getattr(spark.sparkContext, "_barloom_shared", None)
+    sc = spark.sparkContext
+    known = _SHARED.get(sc.applicationId)
     if known is None:
-        known = "file://" + tempfile.mkdtemp(prefix="barloom_shared_")
-        spark.sparkContext._barloom_shared = known
+        base = sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="barloom_shared_")
+        known = _SHARED[sc.applicationId] = f"{base.rstrip('/')}/barloom-{sc.applicationId}"
+        atexit.register(_remove, sc, known)
     return known
+
+
+def _remove(sc, path: str) -> None:
+    """Delete the application's tables at its end, while its JVM is there."""
+    try:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the JVM has gone: whoever owns the folder cleans it
+        pass
