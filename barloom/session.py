@@ -7,9 +7,10 @@ import io
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _SHARED: dict[str, str] = {}
@@ -72,6 +73,13 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+def materialise(df: DataFrame, what: str) -> DataFrame:
+    """df as a table in the shared folder, read back: computed once, its lineage cut, and it survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _remove(sc, path: str) -> None:
     """Delete the application's tables at its end, while its JVM is there."""
     try:
