@@ -34,7 +34,8 @@ def patterns(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def pattern_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
     b = I.atr(bars(spark, sf))
-    return rounded(P.lifecycle(found(b, K.swings(b)), b))
+    b = materialise(b, "bars")
+    return rounded(P.lifecycle(materialise(found(b, K.swings(b)), "patterns"), b))
 
 
 @query()
@@ -49,7 +50,7 @@ def evidence(spark: SparkSession, sf: str) -> DataFrame:
     # Many operators read the same bars and pivots: both are tables, so each is computed once.
     b = materialise(b, "bars")
     a = materialise(I.dmi(I.rsi(I.atr(M.ma_slope_bias(b)))), "features")
-    stack = M.frame_stack(b).select("symbol", "ts", "direction", F.col("confidence").alias("trend_confidence"), "pivots_used", "permitted", "alignment", "n_direction")
+    stack = materialise(M.frame_stack(b).select("symbol", "ts", "direction", F.col("confidence").alias("trend_confidence"), "pivots_used", "permitted", "alignment", "n_direction"), "stack")
     pivots = materialise(K.swings(a), "pivots")
     keys = ["symbol", "ts"]
     lv = L.levels(a, pivots).select(*keys, "headroom_up", "headroom_down", "n_levels")
@@ -61,11 +62,14 @@ def evidence(spark: SparkSession, sf: str) -> DataFrame:
     signals = materialise(C.candle_signals(trend), "candles")
     nb = C.net_bias(trend, signals).withColumnRenamed("net_bias", "candle_bias")
     has = signals.groupBy(*keys).agg(F.lit(True).alias("has_candle"))
-    pat = P.lifecycle(found(a, pivots), a).where("stage IN ('complete', 'return_move', 'resumed')")
+    born = materialise(found(a, pivots), "patterns")
+    pat = P.lifecycle(born, a).where("stage IN ('complete', 'return_move', 'resumed')")
     reversal = F.col("pattern").isin([k for k, (_, r) in P.KINDS.items() if r])
     pat = pat.groupBy(*keys).agg(*[f(F.when(reversal if kind == "reversal" else ~reversal, v)).alias(f"{kind}_{name}") for kind in ("reversal", "continuation") for f, v, name in ((F.count, F.lit(1), "mass"), (F.sum, F.col("bias"), "net"))], F.count(F.lit(1)).alias("n_patterns"))
     gaps = S.gaps(a).select(*keys, F.when(F.col("up"), 1).otherwise(-1).alias("gap_bias"))
+    ell = materialise(ell, "waves")
     df = a.join(stack, keys).join(lv, keys).join(lines, keys, "left").join(div, keys, "left").join(nb, keys).join(has, keys, "left").join(pat, keys, "left").join(gaps, keys, "left")
+    df = materialise(df, "joined")
     df = B.as_of(df, last_leg, ["symbol"], "ts", ["leg"])
     df = B.as_of(df, ell, ["symbol"], "ts", ["ell"])
     recent = B.by_symbol().rowsBetween(-20, 0)
