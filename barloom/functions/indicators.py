@@ -92,9 +92,9 @@ def zscore(x: str, p: int) -> Column:
 
 
 def percentile_rank(x: str, p: int) -> Column:
-    """Share of the window's values that are at most the current one; nulls before aren't counted."""
+    """Share of the window's values that are at most the current one; nulls aren't counted, and 0.5 stands for none."""
     window = F.collect_list(x).over(trailing(p))
-    return F.size(F.filter(window, lambda v: v <= F.col(x))) / F.size(window)
+    return F.when(F.size(window) == 0, 0.5).otherwise(F.size(F.filter(window, lambda v: v <= F.col(x))) / F.nullif(F.size(window), F.lit(0)))
 
 
 def stochastic(df: DataFrame, p: int = 14, smooth: int = 3, signal: int = 3) -> DataFrame:

@@ -192,7 +192,7 @@ def simulate(bars: DataFrame, start: float = 100_000.0, slip_bps: float = 2.0, f
                 trades.pop(symbol)
                 paths.pop(symbol, None)
                 if abs(held[symbol]["qty"]) > EPS:
-                    trades[symbol] = {"pnl": 0.0, "risk": fill["risk"] * (1 - part), "fees": fee * (1 - part), "peak": abs(held[symbol]["qty"])}
+                    trades[symbol] = {"pnl": 0.0, "risk": fill["risk"], "fees": fee * (1 - part), "peak": abs(held[symbol]["qty"])}
 
         for t, symbol, o, h, lo, c, v, atr, weight in zip(*(pdf[x].tolist() for x in ("ts", "symbol", "open", "high", "low", "close", "volume", "atr", "weight"))):
             fills, waiting = fill_orders(pending.pop(symbol, []), {"open": o, "high": h, "low": lo, "close": c, "volume": v}, slip_bps, fee_bps, participation)
@@ -216,8 +216,9 @@ def simulate(bars: DataFrame, start: float = 100_000.0, slip_bps: float = 2.0, f
             if c > 0 and symbol not in pending:
                 delta = target * equity / c - qty
                 if abs(delta * c) > threshold * max(equity, 0.0) or (target == 0 and abs(qty) > EPS):
-                    opens = abs(qty + delta) > abs(qty)
-                    pending[symbol] = [{"qty": delta, "risk": stop_atr * atr * abs(delta) if opens else 0.0}]
+                    turns = qty * (qty + delta) < 0
+                    opened = abs(qty + delta) if turns else max(0.0, abs(qty + delta) - abs(qty))
+                    pending[symbol] = [{"qty": delta, "risk": stop_atr * atr * opened}]
             row("equity", symbol, t)
         for symbol, tr in list(trades.items()):  # marked out at the end
             open_gain = (mark[symbol] - held[symbol]["avg"]) * held[symbol]["qty"]

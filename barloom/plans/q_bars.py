@@ -55,7 +55,7 @@ SHIP = """s AS (
   SELECT symbol, CAST(date_trunc('month', ts) AS TIMESTAMP) AS month, min(ts) AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low,
     arg_max(close, ts) AS close, sum(volume) AS volume FROM sb GROUP BY 1, 2
 )
-SELECT symbol, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM m
+SELECT symbol, ts, round(open + 1e-9, 6) AS open, round(high + 1e-9, 6) AS high, round(low + 1e-9, 6) AS low, round(close + 1e-9, 6) AS close, volume FROM m
 WHERE month < (SELECT max(month) FROM m x WHERE x.symbol = m.symbol)"""
 )
 def resample_monthly(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,7 +66,7 @@ def resample_monthly(spark: SparkSession, sf: str) -> DataFrame:
         F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"),
     )
     m = m.withColumn("last", F.max("month").over(Window.partitionBy("symbol"))).where(F.col("month") < F.col("last"))
-    return m.select("symbol", "ts", *[F.round(c, 6).alias(c) for c in ("open", "high", "low", "close")], "volume")
+    return m.select("symbol", "ts", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("open", "high", "low", "close")], "volume")
 
 
 @query("SELECT event_type AS symbol, date_trunc('minute', ts)::TIMESTAMP AS ts, arg_max(value, event_id) AS price, max(event_id) AS event_id FROM events GROUP BY 1, 2")

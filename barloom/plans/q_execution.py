@@ -32,11 +32,11 @@ def fills(spark: SparkSession, sf: str) -> DataFrame:
   SELECT symbol, n, ts, CASE WHEN abs(qty + signed) < 1e-12 THEN 0 ELSE qty + signed END,
     CASE WHEN abs(qty) < 1e-12 THEN price WHEN (qty > 0) = (signed > 0) THEN (avg * qty + price * signed) / (qty + signed) WHEN abs(qty + signed) < 1e-12 THEN 0 WHEN (qty + signed > 0) <> (qty > 0) THEN price ELSE avg END, realised + g, g
   FROM (SELECT s.symbol, s.n, s.ts, e.qty, e.avg, e.realised, s.signed, s.price, CASE WHEN abs(e.qty) >= 1e-12 AND (e.qty > 0) <> (s.signed > 0) THEN (s.price - e.avg) * least(abs(s.signed), abs(e.qty)) * sign(e.qty) ELSE 0 END AS g FROM p e JOIN f s ON s.symbol = e.symbol AND s.n = e.n + 1)
-) SELECT symbol, ts, qty, round(avg, 4) AS avg_price, round(realised, 2) AS realised FROM p"""
+) SELECT symbol, ts, qty, round(avg + 1e-7, 4) AS avg_price, round(realised + 1e-6, 2) AS realised FROM p"""
 )
 def position_fold(spark: SparkSession, sf: str) -> DataFrame:
     p = X.positions(fills(spark, sf))
-    return p.select("symbol", "ts", "qty", F.round("avg_price", 4).alias("avg_price"), F.round("realised", 2).alias("realised"))
+    return p.select("symbol", "ts", "qty", F.round(F.col("avg_price") + 1e-7, 4).alias("avg_price"), F.round(F.col("realised") + 1e-6, 2).alias("realised"))
 
 
 @query(
