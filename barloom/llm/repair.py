@@ -188,6 +188,9 @@ class WordTokenizer:
         self.new: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.new, self.old = {"": b""}, {}
+
     def _each(self, units: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.lib.encode_batch_fast(units, add_special_tokens=False)]
 
@@ -314,6 +317,7 @@ def write_token_file(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load_tokenizer(model)
+        tok.forget()  # texts are done by now, and grammars need the room
         held: list = []
         size, shard, block, before = 0, None, 0, 0
 
