@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.plans import q_bars, q_candles, q_execution, q_metrics, q_patterns, q_recursions, q_rows, q_stats, q_stream, q_structure, q_trading, q_windows  # noqa: F401
+from barloom.plans import q_bars, q_candles, q_execution, q_metrics, q_patterns, q_recursions, q_routing, q_rows, q_stats, q_stream, q_structure, q_trading, q_windows  # noqa: F401
 from barloom.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -50,7 +50,7 @@ def evidence(spark: SparkSession, sf: str) -> DataFrame:
     # Many operators read the same bars and pivots: both are tables, so each is computed once.
     b = materialise(b, "bars")
     a = materialise(I.dmi(I.rsi(I.atr(M.ma_slope_bias(b)))), "features")
-    stack = materialise(M.frame_stack(b).select("symbol", "ts", "direction", F.col("confidence").alias("trend_confidence"), "pivots_used", "permitted", "alignment", "n_direction"), "stack")
+    stack = materialise(M.frame_stack(b).select("symbol", "ts", "direction", "health", F.col("confidence").alias("trend_confidence"), "pivots_used", "permitted", "alignment", "n_direction"), "stack")
     pivots = materialise(K.swings(a), "pivots")
     keys = ["symbol", "ts"]
     lv = L.levels(a, pivots).select(*keys, "headroom_up", "headroom_down", "n_levels")
