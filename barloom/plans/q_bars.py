@@ -109,7 +109,7 @@ def cache_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return old.unionByName(new).groupBy("symbol", "ts").agg(F.max_by("close", "version").alias("close"), F.max("version").alias("version"))
 
 
-@query(f"WITH {BARS} SELECT symbol, ts, close, n_back FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS n_back FROM b0) WHERE n_back <= 25")
+@query(f"WITH {BARS} SELECT symbol, ts, close, CAST(n_back AS INTEGER) AS n_back FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS n_back FROM b0) WHERE n_back <= 25")
 def cache_recent_n(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy(F.desc("ts"))
     return B.event_bars(spark, sf).withColumn("n_back", F.row_number().over(w)).where(F.col("n_back") <= 25).select("symbol", "ts", "close", "n_back")

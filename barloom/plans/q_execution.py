@@ -40,7 +40,7 @@ def position_fold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {FILLS} SELECT symbol, ts, sum(signed) OVER w AS qty, round(1000000 - sum(signed * price + abs(signed) * price / 10000.0::DOUBLE) OVER w, 2) AS cash, round(1000000 - sum(signed * price + abs(signed) * price / 10000.0::DOUBLE) OVER w + sum(signed) OVER w * price, 2) AS equity FROM f
+    f"""WITH {FILLS} SELECT symbol, ts, CAST(sum(signed) OVER w AS DOUBLE) AS qty, round(1000000 - sum(signed * price + abs(signed) * price / 10000.0::DOUBLE) OVER w, 2) AS cash, round(1000000 - sum(signed * price + abs(signed) * price / 10000.0::DOUBLE) OVER w + sum(signed) OVER w * price, 2) AS equity FROM f
 WINDOW w AS (PARTITION BY symbol ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 )
 def cash_ledger(spark: SparkSession, sf: str) -> DataFrame:

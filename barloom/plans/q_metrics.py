@@ -41,7 +41,7 @@ def bar_returns(spark: SparkSession, sf: str) -> DataFrame:
     return show(M.bar_returns(curve(spark, sf), "symbol", "ts"), "ret", digits=8)
 
 
-@query(f"WITH {CURVE} SELECT symbol, ts, round(peak, 6) AS peak, round(dd, 8) AS drawdown, down AS bars_down FROM d")
+@query(f"WITH {CURVE} SELECT symbol, ts, round(peak, 6) AS peak, round(dd, 8) AS drawdown, CAST(down AS INTEGER) AS bars_down FROM d")
 def drawdown_series(spark: SparkSession, sf: str) -> DataFrame:
     d = M.drawdowns(curve(spark, sf), "symbol", "ts")
     return d.select("symbol", "ts", F.round("peak", 6).alias("peak"), F.round("drawdown", 8).alias("drawdown"), "bars_down")
@@ -51,16 +51,16 @@ def drawdown_series(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {CURVE}, g AS (SELECT symbol, count(*) AS bars, arg_min(equity, ts) AS first_equity, arg_max(equity, ts) AS final_equity, avg(ret) AS m, stddev_samp(ret) AS s, stddev_samp(CASE WHEN ret < 0 THEN ret END) AS ds,
   count(ret) AS k, max(dd) AS max_drawdown FROM d GROUP BY symbol), x AS (SELECT g.*, (SELECT arg_min(down, n) FROM d WHERE d.symbol = g.symbol AND d.dd = g.max_drawdown) AS max_drawdown_bars, exp(ln(final_equity / first_equity) / (k / 8760.0::DOUBLE)) - 1 AS ann FROM g)
 SELECT symbol, bars, round(first_equity, 6) AS first_equity, round(final_equity, 6) AS final_equity, round(final_equity / first_equity - 1, 6) AS total_return, round(s * sqrt(8760), 6) AS volatility, round(m / s * sqrt(8760), 6) AS sharpe,
-  round(m / ds * sqrt(8760), 6) AS sortino, round(ann, 6) AS annualised, round(max_drawdown, 6) AS max_drawdown, max_drawdown_bars, round(ann / max_drawdown, 6) AS calmar FROM x"""
+  round(m / ds * sqrt(8760), 6) AS sortino, round(ann, 6) AS annualised, round(max_drawdown, 6) AS max_drawdown, CAST(max_drawdown_bars AS INTEGER) AS max_drawdown_bars, round(ann / max_drawdown, 6) AS calmar FROM x"""
 )
 def curve_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(M.curve_metrics(curve(spark, sf), "symbol", "ts", 8760))
 
 
 @query(
-    f"""WITH {TRADES}, g AS (SELECT symbol, count(*) AS trades, count_if(pnl > 0) AS wins, count_if(pnl <= 0) AS losses, sum(CASE WHEN pnl > 0 THEN pnl END) AS gw, abs(sum(CASE WHEN pnl <= 0 THEN pnl END)) AS gl, avg(pnl) AS e, max(pnl) AS lw, min(pnl) AS ll,
+    f"""WITH {TRADES}, g AS (SELECT symbol, count(*) AS trades, CAST(count_if(pnl > 0) AS BIGINT) AS wins, CAST(count_if(pnl <= 0) AS BIGINT) AS losses, sum(CASE WHEN pnl > 0 THEN pnl END) AS gw, abs(sum(CASE WHEN pnl <= 0 THEN pnl END)) AS gl, avg(pnl) AS e, max(pnl) AS lw, min(pnl) AS ll,
   avg(CASE WHEN risk > 1e-12 THEN pnl / risk END) AS mr, sum(CASE WHEN risk > 1e-12 THEN pnl END) / sum(CASE WHEN risk > 1e-12 THEN risk END) AS rw, median(CASE WHEN risk > 1e-12 THEN risk END) AS md, min(CASE WHEN risk > 1e-12 THEN risk END) AS mn,
-  max(CASE WHEN risk > 1e-12 THEN risk END) AS mx, count_if(NOT risk > 1e-12) AS nr FROM t GROUP BY symbol)
+  max(CASE WHEN risk > 1e-12 THEN risk END) AS mx, CAST(count_if(NOT risk > 1e-12) AS BIGINT) AS nr FROM t GROUP BY symbol)
 SELECT symbol, trades, wins, losses, round(gw, 4) AS gross_win, round(gl, 4) AS gross_loss, round(e, 4) AS expectancy, round(lw, 4) AS largest_win, round(ll, 4) AS largest_loss, round(mr, 6) AS mean_r, round(rw, 6) AS risk_weighted_r, round(md, 4) AS median_risk,
   round(mn, 4) AS min_risk, round(mx, 4) AS max_risk, nr AS trades_without_risk, round(wins / trades, 6) AS hit_rate, round(gw / gl, 6) AS profit_factor, round(gw / wins, 4) AS avg_win, round(-gl / losses, 4) AS avg_loss, round(mx / mn, 4) AS risk_dispersion FROM g"""
 )
@@ -132,7 +132,7 @@ def funding_summary(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("SELECT symbol, ts, rate, k FROM (SELECT event_type AS symbol, ts, round((value - 35) / 100000.0::DOUBLE, 10) AS rate, row_number() OVER (PARTITION BY event_type ORDER BY abs(value - 35) DESC, event_id) AS k FROM events) WHERE k <= 20")
+@query("SELECT symbol, ts, rate, CAST(k AS INTEGER) AS k FROM (SELECT event_type AS symbol, ts, round((value - 35) / 100000.0::DOUBLE, 10) AS rate, row_number() OVER (PARTITION BY event_type ORDER BY abs(value - 35) DESC, event_id) AS k FROM events) WHERE k <= 20")
 def funding_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The twenty largest settlements of each symbol, by size."""
     w = Window.partitionBy("event_type").orderBy(F.desc(F.abs(F.col("value") - 35)), "event_id")
@@ -153,7 +153,7 @@ def oi_signal(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {TRADES} SELECT symbol, o_orderkey, pnl, r, k FROM (SELECT symbol, o_orderkey, pnl, round(pnl / risk, 6) AS r, row_number() OVER (ORDER BY abs(round(pnl / risk, 6)) DESC, o_orderkey) AS k FROM t WHERE risk > 0) WHERE k <= 25"""
+    f"""WITH {TRADES} SELECT symbol, o_orderkey, pnl, r, CAST(k AS INTEGER) AS k FROM (SELECT symbol, o_orderkey, pnl, round(pnl / risk, 6) AS r, row_number() OVER (ORDER BY abs(round(pnl / risk, 6)) DESC, o_orderkey) AS k FROM t WHERE risk > 0) WHERE k <= 25"""
 )
 def largest_trades(spark: SparkSession, sf: str) -> DataFrame:
     """The 25 trades with the largest R, by size."""

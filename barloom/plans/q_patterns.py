@@ -106,7 +106,7 @@ def stop_discipline(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """WITH e AS (SELECT event_type AS principle, CASE WHEN value > 60 THEN 'violation' WHEN value > 30 THEN 'warning' ELSE 'kept' END AS severity FROM events)
-SELECT principle, count(*) AS events, count_if(severity = 'violation') AS violations, count_if(severity = 'warning') AS warnings, round(count_if(severity = 'kept') / count(*), 6) AS kept_rate FROM e GROUP BY 1"""
+SELECT principle, count(*) AS events, CAST(count_if(severity = 'violation') AS BIGINT) AS violations, CAST(count_if(severity = 'warning') AS BIGINT) AS warnings, round(count_if(severity = 'kept') / count(*), 6) AS kept_rate FROM e GROUP BY 1"""
 )
 def adherence_report(spark: SparkSession, sf: str) -> DataFrame:
     severity = F.when(F.col("value") > 60, "violation").when(F.col("value") > 30, "warning").otherwise("kept")

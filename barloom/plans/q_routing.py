@@ -54,7 +54,7 @@ def filter_targets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_type AS symbol, ts, CASE WHEN event_id % 3 = 0 THEN 1.0 ELSE -1.0 END AS score, round(value / 100.0::DOUBLE * pow(0.5::DOUBLE, date_diff('microsecond', ts, TIMESTAMP '2024-02-15 00:00:00') / 3600000000.0::DOUBLE / 72.0::DOUBLE), 8) AS confidence
+    """SELECT event_type AS symbol, ts, CASE WHEN event_id % 3 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS score, round(value / 100.0::DOUBLE * pow(0.5::DOUBLE, date_diff('microsecond', ts, TIMESTAMP '2024-02-15 00:00:00') / 3600000000.0::DOUBLE / 72.0::DOUBLE), 8) AS confidence
 FROM events WHERE event_id % 4 <> 3 AND event_id % 3 <> 2 AND value <= 100 AND event_id % 10 <> 7"""
 )
 def outside_views(spark: SparkSession, sf: str) -> DataFrame:

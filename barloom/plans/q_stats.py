@@ -55,7 +55,7 @@ def walk_forward(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("symbol", F.inline(S.walk_forward(F.col("n"), 240, 60, gap=10)))
 
 
-@query(f"WITH {RETURNS} SELECT symbol, round(avg(ret) / stddev_samp(ret) * sqrt(8760), 6) AS statistic, 2000 AS resamples FROM r GROUP BY symbol")
+@query(f"WITH {RETURNS} SELECT symbol, round(avg(ret) / stddev_samp(ret) * sqrt(8760), 6) AS statistic, CAST(2000 AS BIGINT) AS resamples FROM r GROUP BY symbol")
 def bootstrap_point(spark: SparkSession, sf: str) -> DataFrame:
     """The resampled Sharpe's point estimate; its interval is in bootstrap_sharpe."""
     return rounded(S.bootstrap_sharpe(returns(spark, sf), "symbol", "ret", 8760).select("symbol", "statistic", "resamples"))
