@@ -12,15 +12,16 @@ from pyspark.sql import types as T
 
 from barloom.session import shared_dir, ship_package
 
-#: Rows that one Arrow batch holds at most. Documents average a few KB and reach hundreds; batches of this
-#: many rows keep a Python worker's share of memory small whatever the table's size.
-BATCH_ROWS = 512
+#: Rows and bytes that one Arrow batch holds at most. Documents average a few KB, but some are very long; the two bounds
+#: keep a Python worker's share of memory small whatever the table's size.
+BATCH_ROWS, BATCH_BYTES = 512, "16m"
 
 
 def prepare(spark: SparkSession) -> None:
     """Make the package importable on executors and bound the Arrow batches of text columns."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 from barloom.llm.common import prepare, table
 from barloom.session import shared_dir
 
-#: Ids in a block, unless one document has more; documents in a shard, about.
-BLOCK_IDS, SHARD_DOCS = 1 << 20, 4096
+#: Ids in a block, unless one document has more; documents in a shard, about; beyond so many shards they grow instead.
+BLOCK_IDS, SHARD_DOCS, SHARDS = 1 << 20, 4096, 20_000
 #: Text that goes through the tokenizer together, about.
 TEXT_BYTES = 8 << 20
 MAGIC, NULL_ID = b"RPB1", -(1 << 63)
@@ -289,7 +289,7 @@ def write_token_file(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     spark = df.sparkSession
     prepare(spark)
     n_docs = df.count()
-    shards = max(1, -(-n_docs // shard_docs))
+    shards = min(SHARDS, max(1, -(-n_docs // shard_docs)))
     cuts = [k / shards for k in range(1, shards)]
     bounds = df.approxQuantile(id_col, cuts, 1 / (4 * shards)) if cuts else []
     bounds = sorted({int(x) for x in bounds})

@@ -194,6 +194,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one = written(one, "prints")
     prints = written(one.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
     roots = components(near_links(prints, radius), "a", "b")
+    prepare(docs.sparkSession)  # batches of texts again: the links are tables by now
     named = prints.join(roots, prints.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return one.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
