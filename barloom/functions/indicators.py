@@ -21,29 +21,56 @@ def with_row(df: DataFrame, name: str = "n") -> DataFrame:
     return df if name in df.columns else df.withColumn(name, F.row_number().over(by_symbol()))
 
 
-def recurrence(df: DataFrame, x: Column, decay: float, out: str, n: str = "n") -> DataFrame:
+def _block(decay: float) -> int:
+    """Rows of a block, a power of four: decay ** block is at most 1e-32, so nothing passes over two blocks, and still a double.
+
+    Common periods share a size, and so a sort: all windows of a recurrence are in the order of symbol, block and row.
+    """
+    size = 16
+    while size * -math.log(decay) < 75:
+        size *= 4
+    return size
+
+
+def _blocks(df: DataFrame, decay: float) -> tuple[DataFrame, str]:
+    """df with its block column (kept for later recurrences) and that column's name."""
+    size = _block(decay)
+    name = f"_blk{size}"
+    df = with_row(df)
+    return (df if name in df.columns else df.withColumn(name, F.floor((F.col("n") - 1) / size))), name
+
+
+def recurrence(df: DataFrame, x: Column, decay: float, out: str) -> DataFrame:
     """out = decay * (out of the row before) + x, from 0; x must not be null."""
     if decay <= 0:
         return df.withColumn(out, x)
-    block = max(2, int(300 / -math.log(decay)))  # decay ** block is about 1e-130: nothing passes over two blocks
-    b, j, loc, carry = (f"_{out}_{k}" for k in ("b", "j", "loc", "carry"))
-    df = df.withColumn(b, F.floor((F.col(n) - 1) / block)).withColumn(j, (F.col(n) - 1) % block)
-    inside = Window.partitionBy("symbol", b).orderBy(n).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn(loc, F.pow(F.lit(decay), F.col(j)) * F.sum(x * F.pow(F.lit(decay), -F.col(j))).over(inside))
-    df = df.withColumn(carry, F.lag(loc).over(by_symbol(n)))
+    df, b = _blocks(df, decay)
+    loc, carry = f"_{out}_loc", f"_{out}_carry"
+    j = (F.col("n") - 1) % _block(decay)
+    inside = Window.partitionBy("symbol", b).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn(loc, F.pow(F.lit(decay), j) * F.sum(x * F.pow(F.lit(decay), -j)).over(inside))
+    df = df.withColumn(carry, F.lag(loc).over(Window.partitionBy("symbol").orderBy(b, "n")))
     df = df.withColumn(carry, F.coalesce(F.first(carry).over(inside), F.lit(0.0)))
-    return df.withColumn(out, F.col(loc) + F.pow(F.lit(decay), F.col(j) + 1) * F.col(carry)).drop(b, j, loc, carry)
+    return df.withColumn(out, F.col(loc) + F.pow(F.lit(decay), j + 1) * F.col(carry)).drop(loc, carry)
 
 
-def smoothed(df: DataFrame, x: str, period: int, alpha: float, out: str, n: str = "n") -> DataFrame:
-    """Running mean for the first ``period`` rows (row number n from 1), then out += alpha * (x - out)."""
+def _seeded(df: DataFrame, x: str, period: int, decay: float, gain: float, out: str, n: str, seed) -> DataFrame:
+    """``seed`` over the rows so far up to ``period`` (counted by n, from 1), then out = decay * out + gain * x."""
+    df, b = _blocks(df, decay) if decay > 0 else (with_row(df), "n")
     rn, s = F.col(n), f"_{out}_seed"
-    df = df.withColumn(s, F.avg(F.when(rn >= 1, F.col(x))).over(so_far(n)))
-    x_in = F.when(rn < period, 0.0).when(rn == period, F.col(s)).otherwise(alpha * F.col(x))
-    df = recurrence(df, F.coalesce(x_in, F.lit(0.0)), 1 - alpha, out, n)
+    order = [b, "n"] if b != "n" else ["n"]
+    so_far_ = Window.partitionBy("symbol").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn(s, seed(F.when(rn >= 1, F.col(x))).over(so_far_))
+    x_in = F.when(rn < period, 0.0).when(rn == period, F.col(s)).otherwise(gain * F.col(x))
+    df = recurrence(df, F.coalesce(x_in, F.lit(0.0)), decay, out)
     return df.withColumn(out, F.when(rn < period, F.col(s)).otherwise(F.col(out))).drop(s)
 
 
+def smoothed(df: DataFrame, x: str, period: int, alpha: float, out: str, n: str = "n") -> DataFrame:
+    """Running mean for the first ``period`` rows (row number n from 1), then out += alpha * (x - out)."""
+    return _seeded(df, x, period, 1 - alpha, alpha, out, n, F.avg)
+
+
 def ema(df: DataFrame, x: str, period: int, out: str, n: str = "n") -> DataFrame:
     return smoothed(df, x, period, 2 / (period + 1), out, n)
 
@@ -54,11 +81,7 @@ def wilder(df: DataFrame, x: str, period: int, out: str, n: str = "n") -> DataFr
 
 def wilder_sum(df: DataFrame, x: str, period: int, out: str, n: str = "n") -> DataFrame:
     """Plain running sum up to ``period`` rows, then out = out - out / period + x."""
-    rn, s = F.col(n), f"_{out}_seed"
-    df = df.withColumn(s, F.sum(F.when(rn >= 1, F.col(x))).over(so_far(n)))
-    x_in = F.when(rn < period, 0.0).when(rn == period, F.col(s)).otherwise(F.col(x))
-    df = recurrence(df, F.coalesce(x_in, F.lit(0.0)), 1 - 1 / period, out, n)
-    return df.withColumn(out, F.when(rn < period, F.col(s)).otherwise(F.col(out))).drop(s)
+    return _seeded(df, x, period, 1 - 1 / period, 1.0, out, n, F.sum)
 
 
 # --- rolling windows ---
