@@ -161,3 +161,22 @@ def structure_signals(v: DataFrame) -> DataFrame:
         F.when(F.coalesce(div, F.lit(False)), F.struct(F.lit("divergence").alias("agent"), (turn * 0.6).cast("double").alias("score"), F.lit(0.5).alias("confidence"), F.lit(18).alias("horizon"))),
     ))
     return v.select("symbol", "ts", F.inline(each))
+
+
+def formation_signals(bars: DataFrame, patterns: DataFrame, candles: DataFrame, waves: DataFrame) -> DataFrame:
+    """Opinions of the agents that read patterns, candles and wave counts, in long form.
+
+    bars: symbol, ts, close, atr, level (the nearest one). patterns: life events with significance and volume_ok. candles:
+    signals. waves: best counts by time with bias and confidence.
+    """
+    rr = F.abs(F.col("objective") - F.col("boundary")) / F.nullif(F.abs(F.col("boundary") - F.col("stop")), F.lit(0.0))
+    p = patterns.where(F.col("stage").isin("complete", "return_move", "resumed") & (F.col("significance") >= 0.35) & (rr >= 3) & F.col("volume_ok"))
+    p = p.groupBy("symbol", "ts").agg(F.sum(F.col("significance") * F.col("bias")).alias("_s"), F.sum("significance").alias("_w"))
+    p = p.where("_w > 0").select("symbol", "ts", F.lit("patterns").alias("agent"), (F.col("_s") / F.col("_w")).alias("score"), F.least(F.col("_w"), F.lit(1.0)).alias("confidence"), F.lit(12).alias("horizon"))
+    c = candles.where("bias <> 0 AND strength >= 0.55 AND sessions >= 2").join(bars.select("symbol", "ts", "close", "atr", "level"), ["symbol", "ts"])
+    c = c.where((F.col("atr") > 0) & (F.abs(F.col("close") - F.col("level")) <= F.col("atr")))
+    c = c.groupBy("symbol", "ts").agg(F.max_by(F.struct("bias", "strength"), F.struct("strength", "sessions")).alias("b"))
+    c = c.select("symbol", "ts", F.lit("candles").alias("agent"), F.col("b.bias").cast("double").alias("score"), F.col("b.strength").alias("confidence"), F.lit(8).alias("horizon"))
+    w = waves.where("bias <> 'neutral' AND confidence >= 0.6 AND n_violations = 0")
+    w = w.select("symbol", "ts", F.lit("waves").alias("agent"), F.when(F.col("bias") == "bullish", 1.0).otherwise(-1.0).alias("score"), "confidence", F.lit(60).alias("horizon"))
+    return p.unionByName(c).unionByName(w)

@@ -124,3 +124,43 @@ def divergence(pivots: DataFrame, bars: DataFrame, oscillator: str) -> DataFrame
     bearish = (F.col("kind") == "peak") & (F.col("price") > F.col("pp")) & (F.col(oscillator) < F.col("po"))
     bullish = (F.col("kind") == "trough") & (F.col("price") < F.col("pp")) & (F.col(oscillator) > F.col("po"))
     return df.withColumn("bias", F.when(bearish, "bearish").when(bullish, "bullish")).where("bias IS NOT NULL")
+
+
+def extremes_since_pivot(bars: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Highest high and lowest low of each symbol since the last pivot was known, the bar that made it known included."""
+    known = pivots.select("symbol", F.col("confirmed_index").alias("i"), F.lit(1).alias("_p"))
+    df = numbered(bars).join(known, ["symbol", "i"], "left")
+    df = df.withColumn("session", F.sum(F.coalesce("_p", F.lit(0))).over(so_far()))
+    w = Window.partitionBy("symbol", "session").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({"high_since": F.max("high").over(w), "low_since": F.min("low").over(w)}).drop("_p")
+
+
+def speed_zone(pivots: DataFrame) -> DataFrame:
+    """Each pivot against the speed lines of the leg before it: where its price lies between origin and extreme."""
+    w = Window.partitionBy("symbol").orderBy("confirmed_index")
+    df = pivots.withColumns({"o": F.lag("price", 2).over(w), "o_at": F.lag("index", 2).over(w), "e": F.lag("price", 1).over(w), "e_at": F.lag("index", 1).over(w)}).where("o IS NOT NULL")
+    args = [F.col(c) for c in ("o", "o_at", "e", "e_at", "index")]
+    third, two = speed_line(*args, 1 / 3), speed_line(*args, 2 / 3)
+    up, px = F.col("e") > F.col("o"), F.col("price")
+    rising = F.when(px >= two, "above_2/3").when(px >= third, "between").otherwise("below_1/3")
+    falling = F.when(px <= two, "below_2/3").when(px <= third, "between").otherwise("above_1/3")
+    return df.select("symbol", "confirmed_index", third.alias("third"), two.alias("two_thirds"), F.when(up, rising).otherwise(falling).alias("zone"))
+
+
+def islands(gaps_: DataFrame, bars: DataFrame, lookback: int = 20) -> DataFrame:
+    """Gaps that follow one the other way within so many bars, and leave an island between them."""
+    at = numbered(bars).select("symbol", "ts", "i")
+    w = Window.partitionBy("symbol").orderBy("i")
+    g = gaps_.join(at, ["symbol", "ts"]).withColumns({"_up": F.lag("up").over(w), "_i": F.lag("i").over(w)})
+    return g.where((F.col("_up") != F.col("up")) & (F.col("i") - F.col("_i") <= lookback)).select("symbol", "ts", F.when(F.col("up"), "bottom").otherwise("top").alias("island"), (F.col("i") - F.col("_i")).alias("bars_apart"))
+
+
+def typed_gaps(gaps_: DataFrame, bars: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Gaps with the bars that the move has lasted (since the last known pivot's place), their type, and a runaway gap's objective: as far again."""
+    at = numbered(bars).select("symbol", "ts", "i")
+    known = pivots.select("symbol", F.col("confirmed_index").alias("i"), F.struct(F.col("index").alias("at"), "price").alias("p"))
+    df = at.join(known, ["symbol", "i"], "left").withColumn("p", F.last("p", ignorenulls=True).over(so_far()))
+    g = gaps_.join(df, ["symbol", "ts"]).withColumn("move_bars", F.coalesce(F.col("i") - F.col("p.at"), F.lit(0)))
+    kind = gap_type(F.col("volume_ratio"), F.col("move_bars"), F.lit(False))
+    mid = (F.col("gap_low") + F.col("gap_high")) / 2
+    return g.select("symbol", "ts", "move_bars", kind.alias("type"), F.when(kind == "runaway", 2 * mid - F.col("p.price")).alias("objective"))

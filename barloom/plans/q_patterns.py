@@ -129,3 +129,24 @@ def market_monitor(spark: SparkSession, sf: str) -> DataFrame:
     t = S.dow_trend(b, K.swings(b)).withColumn("change", F.col("close") / F.nullif(F.lag("close").over(B.by_symbol()), F.lit(0.0)) - 1)
     last = t.groupBy("symbol").agg(F.max_by(F.struct("ts", "close", "change", "direction", "health", "adx", "rsi", (F.col("atr") / F.nullif(F.col("close"), F.lit(0.0))).alias("atr_pct")), "ts").alias("r"))
     return rounded(last.select("symbol", "r.*"))
+
+
+@query()
+def formation_agents(spark: SparkSession, sf: str) -> DataFrame:
+    """Opinions from patterns, candles near levels, and wave counts."""
+    from barloom.operators import routing as R
+
+    b = materialise(I.atr(bars(spark, sf)), "bars")
+    pivots = materialise(K.swings(b), "pivots")
+    life = P.lifecycle(materialise(found(b, pivots), "patterns"), b)
+    ratio = F.coalesce(F.try_divide("volume", F.avg("volume").over(B.trailing(60))), F.lit(1.0))
+    vol = b.select("symbol", "ts", (F.when(F.col("close") >= F.col("open"), ratio >= 1.2).otherwise(ratio >= 0.8)).alias("volume_ok"))
+    span = (F.col("at") - F.col("detected_index") + 12).cast("double")
+    life = life.join(vol, ["symbol", "ts"]).join(b.select("symbol", "ts", "atr"), ["symbol", "ts"])
+    life = life.withColumn("significance", P.significance(span, F.col("height"), F.col("atr"), F.col("volume_ok"), F.col("stage"), F.col("bias"), (F.col("at") - F.col("detected_index")).cast("double")))
+    lv = L.levels(b, pivots).select("symbol", "ts", "resistance", "support")
+    near = F.when(F.coalesce(F.abs(F.col("resistance") - F.col("close")), F.lit(float("inf"))) < F.coalesce(F.abs(F.col("support") - F.col("close")), F.lit(float("inf"))), F.col("resistance")).otherwise(F.col("support"))
+    wide = b.join(lv, ["symbol", "ts"]).withColumn("level", near)
+    trend = b.withColumn("prior_trend", F.coalesce(F.signum(F.lag("close", 1).over(B.by_symbol()) - F.lag("close", 6).over(B.by_symbol())), F.lit(0.0)).cast("int"))
+    waves = W.elliott_best(W.elliott_counts(pivots)).join(pivots.select("symbol", "confirmed_index", "ts"), ["symbol", "confirmed_index"])
+    return rounded(R.formation_signals(wide, life, C.candle_signals(trend), waves))

@@ -164,3 +164,57 @@ def divergence(spark: SparkSession, sf: str) -> DataFrame:
     b = bars(spark, sf).withColumn("osc", F.round(I.sma("close", 5) - I.sma("close", 20), 8))
     d = T.divergence(K.swings(I.atr(b)), b, "osc")
     return d.select("symbol", F.col("confirmed_index").cast("long").alias("confirmed_index"), "kind", "bias")
+
+
+@query(
+    with_bars(
+        """SELECT symbol, ts, max(high) OVER s AS high_since, min(low) OVER s AS low_since FROM (SELECT b.symbol, b.ts, b.high, b.low, sum(CASE WHEN pv.known IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY b.symbol ORDER BY b.ts) AS k
+FROM b LEFT JOIN pv ON pv.symbol = b.symbol AND pv.known = b.n - 1) WINDOW s AS (PARTITION BY symbol, k ORDER BY ts)""",
+        *SWINGS,
+        recursive=True,
+    )
+)
+def extremes_since_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    b = bars(spark, sf)
+    return T.extremes_since_pivot(b, K.swings(I.atr(b))).select("symbol", "ts", "high_since", "low_since")
+
+
+@query(
+    with_bars(
+        """SELECT symbol, known AS confirmed_index, round(t1, 6) AS third, round(t2, 6) AS two_thirds, CASE WHEN e > o THEN CASE WHEN price >= t2 THEN 'above_2/3' WHEN price >= t1 THEN 'between' ELSE 'below_1/3' END ELSE CASE WHEN price <= t2 THEN 'below_2/3' WHEN price <= t1 THEN 'between' ELSE 'above_1/3' END END AS zone
+FROM (SELECT *, CASE WHEN e_at <= o_at THEN o ELSE o + (e - o) / 3 / (e_at - o_at) * (px_at - o_at) END AS t1, CASE WHEN e_at <= o_at THEN o ELSE o + (e - o) * (2.0::DOUBLE / 3) / (e_at - o_at) * (px_at - o_at) END AS t2
+FROM (SELECT *, lag(price, 2) OVER q AS o, lag(px_at, 2) OVER q AS o_at, lag(price) OVER q AS e, lag(px_at) OVER q AS e_at FROM pv WINDOW q AS (PARTITION BY symbol ORDER BY known)) WHERE o IS NOT NULL)""",
+        *SWINGS,
+        recursive=True,
+    )
+)
+def speedlines(spark: SparkSession, sf: str) -> DataFrame:
+    z = T.speed_zone(pivots(spark, sf))
+    return rounded(z.withColumn("confirmed_index", F.col("confirmed_index").cast("long")))
+
+
+@query(
+    with_bars(
+        "SELECT symbol, ts, CASE WHEN up THEN 'bottom' ELSE 'top' END AS island, n - pn AS bars_apart FROM (SELECT *, lag(up) OVER q AS pu, lag(n) OVER q AS pn FROM g WINDOW q AS (PARTITION BY symbol ORDER BY n)) WHERE pu <> up AND n - pn <= 20",
+        *_GAPS,
+        recursive=True,
+    )
+)
+def island_reversals(spark: SparkSession, sf: str) -> DataFrame:
+    b = I.atr(bars(spark, sf))
+    return T.islands(T.gaps(b), b).withColumn("bars_apart", F.col("bars_apart").cast("long"))
+
+
+@query(
+    with_bars(
+        """SELECT symbol, ts, mb AS move_bars, type, round(CASE WHEN type = 'runaway' THEN lo + hi - pp END, 6) AS objective FROM (SELECT *, CASE WHEN (vr >= 1.5 AND mb <= 3) OR mb <= 2 THEN 'breakaway' WHEN mb > 3 AND mb <= 40 AND vr >= 2.4::DOUBLE THEN 'exhaustion' WHEN mb > 3 AND mb <= 40 THEN 'runaway' WHEN mb > 40 THEN 'exhaustion' ELSE 'common' END AS type
+FROM (SELECT g.*, coalesce(g.n - 1 - (SELECT arg_max(px_at, known) FROM pv WHERE pv.symbol = g.symbol AND pv.known <= g.n - 1), 0) AS mb, (SELECT arg_max(price, known) FROM pv WHERE pv.symbol = g.symbol AND pv.known <= g.n - 1) AS pp FROM g))""",
+        *SWINGS,
+        *_GAPS[2:],
+        recursive=True,
+    )
+)
+def gap_types(spark: SparkSession, sf: str) -> DataFrame:
+    b = I.atr(bars(spark, sf))
+    t = T.typed_gaps(T.gaps(b), b, K.swings(b))
+    return rounded(t.withColumn("move_bars", F.col("move_bars").cast("long")))
