@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import prepare, table
 
-#: Candidates in a shard and queries in a block, about; vectors in a leaf.
-SHARD, BLOCK, LEAF = 8192, 2048, 128
+#: Candidates in a shard and queries in a block, about: least and most, as a task holds one of each; vectors in a leaf.
+SHARD, BLOCK, LEAF = (8192, 65_536), (2048, 16_384), 128
 K, FACTOR = 20, 0.8
 
 
@@ -119,7 +119,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad & some)
 
 
-def nearest_neighbours(candidates: DataFrame, queries: DataFrame, k: int = K, factor: float = FACTOR, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def nearest_neighbours(candidates: DataFrame, queries: DataFrame, k: int = K, factor: float = FACTOR, id_col: str = "vec_id", vector_col: str = "embedding", shard: int | None = None, block: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates with the largest inner product with each query.
 
     Nearest first, ties to the smaller id; candidates with the query's own id are left out. All are returned if there are
@@ -136,7 +136,11 @@ def nearest_neighbours(candidates: DataFrame, queries: DataFrame, k: int = K, fa
         return spark.createDataFrame([], result)
     dim, n, top = sizes[0]["d"], sizes[0]["n"], sizes[0]["sq"] ** 0.5 * (1 + 1e-12)
     q = q.where(F.size("v") == dim)
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-q.count() // block))
+    n_queries = q.count()
+    # Larger tables have larger shards and blocks, as every shard is sent to every block's tasks and the other way round.
+    shard = shard or min(SHARD[1], max(SHARD[0], n // 64))
+    block = block or min(BLOCK[1], max(BLOCK[0], n_queries // 16))
+    shards, blocks = max(1, -(-n // shard)), max(1, -(-n_queries // block))
     # Every shard meets every block: a candidate goes to ``blocks`` tasks and a query to ``shards``.
     home = lambda salt, m: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(m)).cast("int")
     count_up = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
