@@ -227,10 +227,10 @@ class WordTokenizer:
     def encode_column(self, texts: pa.Array, end: int) -> pa.Array:
         """Ids of whole texts with the end id after each, as bytes; null counts as empty."""
         texts = texts.fill_null("")
-        # Strings that are special tokens are looked for before the text is put in lower case.
-        special = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
+        # The library looks for special tokens, and composes letters and accents, before it puts a text in lower case.
+        special = np.flatnonzero(pc.match_substring_regex(texts, r"<\||[\x{0300}-\x{036f}]").to_numpy(zero_copy_only=False))
         # The model parts marks from a letter before them; a blank there leaves fewer distinct units.
-        parted = pc.replace_substring_regex(pc.ascii_lower(texts), pattern=r"(\pL)([.,;:!?])", replacement=r"\1 \2")
+        parted = pc.replace_substring_regex(pc.ascii_lower(texts), pattern=r"([a-z\x{df}-\x{f6}\x{f8}-\x{ff}])([.,;:!?])", replacement=r"\1 \2")
         units = pc.ascii_split_whitespace(parted)
         flat = units.flatten().dictionary_encode()
         distinct = flat.dictionary.to_pylist()

@@ -114,7 +114,7 @@ def test_units_encode_as_whole_texts_do(words):
     import pyarrow as pa
 
     tok = repair.load_tokenizer(None)
-    texts = random_texts(3000, 30, alphabet="aabTHe's'sÉé́ß  \n\t.,;#|<>!?09Σσ 一—\x85\xa0\x1c²½ªµ") + ["<|endoftext|>", "a<|endoftext|>b <|ENDOFTEXT|>. x", None, ""]
+    texts = random_texts(3000, 30, alphabet="aabTHe's'sÉé́ß  \n\t.,;#|<>!?09Σσ 一—\x85\xa0\x1c²½ªµ") + ["<|endoftext|>", "a<|endoftext|>b <|ENDOFTEXT|>. x", "J\u030c. T\u0308x, W\u030a A\u030a", None, ""]
     got = tok.encode_column(pa.array(texts), 2).to_pylist()
     for t, raw in zip(texts, got):
         assert np.frombuffer(raw, tok.kind).tolist() == words.encode(t or "", add_special_tokens=False).ids + [2], repr(t)
