@@ -1,13 +1,13 @@
 """Operator 10: token ids in a binary format with Re-Pair grammar compression.
 
 Documents are dealt to shards by ranges of doc_id. In a shard, blocks of whole documents are compressed one by one:
-frequent pairs of neighbouring ids are replaced by nonterminals, again and again, and the block stores the rules with
+repeated pairs of neighbouring ids are replaced by nonterminals until none is left, and the block stores the rules with
 the length each expands to, the shortened sequence, and where each document begins in it. One document is decoded
 without touching the others.
 
-Block layout (little-endian): 4 bytes "RPB1"; six u32: bytes per symbol, first nonterminal, rules R, documents D,
-symbols S, 0; then left[R], right[R] (symbols), length[R] (u32), first symbol[D + 1] (u32), ids[D] (u32), doc_id[D]
-(i64, the smallest value for null), sequence[S] (symbols).
+Block layout (little-endian): 4 bytes "RPB2"; six u32: bits per symbol, first nonterminal, rules R, documents D, symbols
+S, bits per length; then in bits, each array filled up to a whole byte: left[R], right[R] (symbols), length[R]; first
+symbol[D + 1] (u32), ids[D] (u32), doc_id[D] (i64, the smallest value for null); in bits again: sequence[S] (symbols).
 """
 
 from __future__ import annotations
@@ -31,56 +31,62 @@ from barloom.session import shared_dir
 BLOCK_IDS, SHARD_DOCS, SHARDS = 1 << 20, 4096, 20_000
 #: Text that goes through the tokenizer together, about.
 TEXT_BYTES = 8 << 20
-MAGIC, NULL_ID = b"RPB1", -(1 << 63)
+MAGIC, NULL_ID = b"RPB2", -(1 << 63)
 _SLOTS = 1 << 18
 
 
 # --- grammar ---
 
 
-def compress(seq: np.ndarray, last: np.ndarray, first: int, limit: int, rounds: int = 4, least: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The sequence with frequent pairs replaced, where documents end in it, and the rules' left and right symbols.
+def compress(seq: np.ndarray, last: np.ndarray, first: int, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sequence with repeated pairs replaced, where documents end in it, and the rules' left and right symbols.
 
     Rule k makes symbol first + k. last: which places of the sequence end a document; no pair reaches over one.
 
-    In each round every slot of a hash table stands for one pair that fell into it, and its occurrences are counted. The
-    most frequent pairs become rules at once; where their occurrences overlap, every other one from the left is
-    replaced. limit: the number of symbols that the format can tell.
+    Rounds go on until no pair occurs ``least`` times; of a pair's occurrences that overlap (a a a) every other one from
+    the left counts. A round counts all pairs exactly and takes those with at least a quarter of the highest count; where two of
+    them overlap, the more frequent one is replaced. One that is left with too few, or whose slot in the table of names
+    went to a more frequent one, waits for the next round. The most frequent pair never waits, so every round replaces.
     """
-    small = limit <= 1 << 16
-    kind, bits = (np.uint32, 16) if small else (np.uint64, 32)
-    factor, drop = (kind(0x9E3779B1), kind(14)) if small else (kind(0x9E3779B97F4A7C15), kind(46))
-    seq = seq.astype(kind)
+    seq = seq.astype(np.uint32)
     left, right = [], []
     made = 0
-    stands = np.zeros(_SLOTS, kind)
-    for r in range(rounds):
-        room = (limit - first - made) // (rounds - r)
-        if len(seq) < 2 or room < 1:
+    while len(seq) > 1:
+        small = first + made <= 1 << 16
+        kind, bits = (np.uint32, 16) if small else (np.uint64, 32)
+        factor, drop = (kind(0x9E3779B1), kind(14)) if small else (kind(0x9E3779B97F4A7C15), kind(46))
+        pair = (seq[:-1].astype(kind) << kind(bits)) | seq[1:]
+        free = ~last[:-1]
+        twin = np.flatnonzero((pair[1:] == pair[:-1]) & free[1:] & free[:-1])
+        begins = np.r_[True, twin[1:] != twin[:-1] + 1][: len(twin)]
+        nth = np.arange(len(twin))
+        free[twin[(nth - np.maximum.accumulate(np.where(begins, nth, 0))) % 2 == 0] + 1] = False
+        order = np.sort(pair[free])
+        head = np.flatnonzero(np.r_[True, order[1:] != order[:-1]][: len(order)])
+        count = np.diff(np.r_[head, len(order)])
+        top = count.max(initial=0)
+        if top < least:
             break
-        pair = (seq[:-1] << kind(bits)) | seq[1:]
-        slot = ((pair * factor) >> drop).astype(np.int32)
-        stands[slot] = pair
-        match = stands[slot] == pair
-        match &= ~last[:-1]
-        count = np.bincount(slot[match], minlength=_SLOTS)
-        best = np.flatnonzero(count >= least)
-        if not len(best):
-            break
-        if len(best) > room:
-            best = best[np.argsort(-count[best], kind="stable")[:room]]
-        name = np.zeros(_SLOTS, kind)
-        name[best] = first + made + np.arange(len(best))
-        left.append((stands[best] >> kind(bits)).astype(np.int64))
-        right.append((stands[best] & kind((1 << bits) - 1)).astype(np.int64))
-        made += len(best)
-        new = name[slot]
-        match &= new > 0
-        at = np.flatnonzero(match)
-        begins = np.r_[True, at[1:] != at[:-1] + 1]
-        nth = np.arange(len(at))
-        at = at[(nth - np.maximum.accumulate(np.where(begins, nth, 0))) % 2 == 0]
-        seq[at] = new[at]
+        often = np.flatnonzero(count >= max(least, top // 4))
+        often = often[np.argsort(count[often], kind="stable")]
+        codes = np.r_[kind(0), order[head[often]]]
+        # A pair's rank by its count, through a table in which the more frequent of two pairs has the slot.
+        table = np.zeros(_SLOTS, np.int32)
+        np.maximum.at(table, ((codes[1:] * factor) >> drop).astype(np.int32), np.arange(1, len(codes), dtype=np.int32))
+        rank = table[((pair * factor) >> drop).astype(np.int32)]
+        rank[(codes[rank] != pair) | ~free] = 0
+        wins = rank > 0
+        wins[1:] &= rank[1:] > rank[:-1]
+        wins[:-1] &= rank[:-1] > rank[1:]
+        at = np.flatnonzero(wins)
+        new = np.flatnonzero(np.bincount(rank[at], minlength=len(codes)) >= least)
+        name = np.zeros(len(codes), np.uint32)
+        name[new] = first + made + np.arange(len(new))
+        left.append((codes[new] >> kind(bits)).astype(np.int64))
+        right.append((codes[new] & kind((1 << bits) - 1)).astype(np.int64))
+        made += len(new)
+        at = at[name[rank[at]] > 0]
+        seq[at] = name[rank[at]]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         last = last.copy()
@@ -90,13 +96,49 @@ def compress(seq: np.ndarray, last: np.ndarray, first: int, limit: int, rounds:
     return seq, last, np.concatenate(left) if left else none, np.concatenate(right) if right else none
 
 
-def expansions(left: np.ndarray, right: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """All rules' expansions one after the other, and where each begins."""
-    parts: list[np.ndarray] = []
-    for a, b in zip(left.tolist(), right.tolist()):
-        parts.append(np.concatenate([parts[x - first] if x >= first else np.array([x], np.int64) for x in (a, b)]))
-    starts = np.cumsum([0, *map(len, parts)])
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64), starts
+def sizes_and_depths(left: np.ndarray, right: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each rule stands for, and how deep its rules go."""
+    size, depth = [], []
+    for a, b in zip((left - first).tolist(), (right - first).tolist()):
+        size.append((size[a] if a >= 0 else 1) + (size[b] if b >= 0 else 1))
+        depth.append(1 + max(depth[a] if a >= 0 else 0, depth[b] if b >= 0 else 0))
+    return np.array(size, np.int64), np.array(depth, np.int64)
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, one run after the other."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+def expansions(left: np.ndarray, right: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all symbols one after the other, plain ids first; where each symbol's begin; how many they are."""
+    size, depth = sizes_and_depths(left, right, first)
+    size = np.r_[np.ones(first, np.int64), size]
+    starts = np.cumsum(size) - size
+    flat = np.zeros(int(size.sum()), "<u4")
+    flat[:first] = np.arange(first)
+    for level in range(1, depth.max(initial=0) + 1):
+        k = np.flatnonzero(depth == level)
+        for child, begin in ((left[k], starts[first + k]), (right[k], starts[first + k] + size[left[k]])):
+            flat[spread(begin, size[child])] = flat[spread(starts[child], size[child])]
+    return flat, starts, size
+
+
+def to_bits(values: np.ndarray, width: int) -> bytes:
+    """Each value in so many bits, the lowest bit first."""
+    bits = np.empty((len(values), width), np.uint8)
+    for k in range(width):
+        bits[:, k] = (values >> k) & 1
+    return np.packbits(bits.ravel(), bitorder="little").tobytes()
+
+
+def from_bits(data: np.ndarray, n: int, width: int) -> np.ndarray:
+    bits = np.unpackbits(data, count=n * width, bitorder="little").reshape(n, width)
+    out = np.zeros(n, np.int64)
+    for k in range(width):
+        out |= bits[:, k].astype(np.int64) << k
+    return out
 
 
 class Block:
@@ -105,8 +147,8 @@ class Block:
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
             raise ValueError("not a block of this format")
-        width, self.first, r, d, s, _ = struct.unpack_from("<6I", data, 4)
-        kind, at = f"<u{width}", 28
+        width, self.first, r, d, s, long = struct.unpack_from("<6I", data, 4)
+        at = 28
 
         def take(n: int, dtype: str) -> np.ndarray:
             nonlocal at
@@ -114,24 +156,19 @@ class Block:
             at += out.nbytes
             return out
 
-        self.left, self.right = take(r, kind).astype(np.int64), take(r, kind).astype(np.int64)
-        self.length = take(r, "<u4")
+        def take_bits(n: int, width: int) -> np.ndarray:
+            return from_bits(take((n * width + 7) // 8, "u1"), n, width)
+
+        self.left, self.right, self.length = take_bits(r, width), take_bits(r, width), take_bits(r, long)
         self.begin, self.n_ids = take(d + 1, "<u4"), take(d, "<u4")
-        self.doc_id, self.seq = take(d, "<i8"), take(s, kind)
-        self._flat = None
+        self.doc_id, self.seq = take(d, "<i8"), take_bits(s, width)
+        self._table = None
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:
-        if self._flat is None:
-            # One table for plain ids, which stand for themselves, and rules.
-            flat, starts = expansions(self.left, self.right, self.first)
-            plain = np.arange(self.first)
-            self._flat = np.concatenate([plain, flat]).astype("<u4")
-            self._starts = np.concatenate([plain, starts[:-1] + self.first])
-            self._size = np.concatenate([np.ones(self.first, np.int64), self.length])
-        size = self._size[seq]
-        ends = np.cumsum(size, dtype=np.int64)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self._starts[seq] - ends + size, size)
-        return self._flat[at]
+        if self._table is None:
+            self._table = expansions(self.left, self.right, self.first)
+        flat, starts, size = self._table
+        return flat[spread(starts[seq], size[seq])]
 
     def ids(self, k: int) -> np.ndarray:
         """Ids of the k-th document of the block."""
@@ -143,20 +180,17 @@ class Block:
 
 def pack(doc_ids: list[int | None], ids: list[np.ndarray], vocab: int) -> bytes:
     """A block of documents, none of which is without ids."""
-    width = 2 if vocab < 1 << 16 else 4
     sizes = np.array([len(x) for x in ids], np.int64)
     ends = np.zeros(int(sizes.sum()), bool)
     ends[np.cumsum(sizes) - 1] = True
-    seq, ends, left, right = compress(np.concatenate(ids), ends, vocab, 1 << 16 if width == 2 else 1 << 24)
-    length = np.ones(len(left), np.int64)
-    for k, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
-        length[k] = sum(length[x - vocab] if x >= vocab else 1 for x in (a, b))
+    seq, ends, left, right = compress(np.concatenate(ids), ends, vocab)
+    length, _ = sizes_and_depths(left, right, vocab)
+    width, long = (vocab + len(left) - 1).bit_length(), int(length.max(initial=1)).bit_length()
     begin = np.r_[0, np.flatnonzero(ends) + 1]
-    kind = f"<u{width}"
-    head = struct.pack("<6I", width, vocab, len(left), len(ids), len(seq), 0)
-    body = [left.astype(kind), right.astype(kind), length.astype("<u4"), begin.astype("<u4"), sizes.astype("<u4")]
+    head = struct.pack("<6I", width, vocab, len(left), len(ids), len(seq), long)
     docs = np.array([NULL_ID if d is None else d for d in doc_ids], "<i8")
-    return b"".join([MAGIC, head, *(x.tobytes() for x in body), docs.tobytes(), seq.astype(kind).tobytes()])
+    body = [to_bits(left, width), to_bits(right, width), to_bits(length, long), begin.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), docs.tobytes(), to_bits(seq, width)]
+    return b"".join([MAGIC, head, *body])
 
 
 # --- tokens ---

@@ -142,3 +142,30 @@ def test_op10_over_the_smallest_tables(spark, sf, words):
         ids = np.array(words.encode(texts[d], add_special_tokens=False).ids + [2], "<u4")
         assert (got[d].start, got[d].n_tokens, got[d].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
+
+
+def most_occurrences(seq, last):
+    """Of the pairs in documents, the most that one occurs without overlaps."""
+    count, taken = {}, {}
+    for i in range(len(seq) - 1):
+        pair = (int(seq[i]), int(seq[i + 1]))
+        if not last[i] and taken.get(pair) != i - 1:
+            count[pair], taken[pair] = count.get(pair, 0) + 1, i
+    return max(count.values(), default=0)
+
+
+def test_grammar_leaves_no_repeated_pair():
+    rng = np.random.default_rng(5)
+    for vocab, hi, n in ((4, 4, 3000), (100, 60, 4000), (1 << 16, 3000, 30_000), (1 << 17, 1 << 17, 2000)):
+        ids = rng.integers(0, hi, n)
+        ids[n // 2 : n // 2 + 700] = ids[:700]  # a passage twice: rules must grow to hundreds of ids
+        ids[-50:] = 1
+        last = rng.random(n) < 0.001
+        last[[699, n // 2 + 699, n - 1]], last[:699], last[n // 2 : n // 2 + 699] = True, False, False
+        seq, ends, left, right = repair.compress(ids, last.copy(), vocab)
+        assert most_occurrences(seq, ends) < 2
+        assert repair.sizes_and_depths(left, right, vocab)[0].max() > 64
+        flat, starts, size = repair.expansions(left, right, vocab)
+        assert (flat[repair.spread(starts[seq], size[seq])] == ids).all() and ends.sum() == last.sum()
+        uses = np.bincount(np.r_[seq, left, right].astype(np.int64), minlength=vocab + len(left))[vocab:]
+        assert uses.min() >= 1
