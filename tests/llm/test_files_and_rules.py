@@ -68,6 +68,23 @@ def test_rules_on_odd_rows(spark):
     assert repetition_rules(docs(spark, [])).columns[-len(FIELDS) :] == [f.name for f in FIELDS]
 
 
+def test_each_limit_of_repeats_decides_alone(spark):
+    w = [f"w{k}" for k in range(500)]
+    few = w[:60] + w[:8] + w[60:120] + w[60:68] + w[120:180] + w[120:128]  # three runs of 8, in 48 of 204 words
+    texts = {
+        "covered": w[:100] + w[:8] + w[100:200] + w[100:108],  # 32 of 216 words, repeats of 8
+        "longest": w[:450] + w[:20] + w[450:],  # 40 of 520 words, a repeat of 20
+        "passage": w[:300] + w[:30],  # 60 of 330 words, a repeat of 30
+        "neither": w[:300] + w[:10],  # 20 of 310 words, a repeat of 10
+        "base": few,
+    }
+    rows = [(k, " ".join(t), "en", "a", 1, None, None) for k, t in enumerate(texts.values())]
+    got = dict(zip(texts, sorted(repetition_rules(docs(spark, rows)).collect(), key=lambda r: r.doc_id)))
+    assert {k: (r.base_failed, r.kept) for k, r in got.items()} == {"covered": (False, False), "longest": (False, False), "passage": (False, False), "neither": (False, True), "base": (True, False)}
+    assert got["covered"].longest_repeat == 8 and got["covered"].n_covered_words > 0.1 * got["covered"].n_words
+    assert got["longest"].longest_repeat == 20 and got["longest"].n_covered_words <= 0.1 * got["longest"].n_words
+
+
 # --- WARC ---
 
 
