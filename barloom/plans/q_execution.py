@@ -16,13 +16,13 @@ from barloom.plans.q_windows import bars
 from barloom.plans.registry import query
 
 FILLS = """f AS MATERIALIZED (SELECT o_orderpriority AS symbol, o_orderkey, o_orderkey AS ts, round(CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END * (1 + o_orderkey % 5) * CASE WHEN o_orderkey % 11 = 0 THEN -4 ELSE 1 END, 6) AS signed, o_totalprice AS price,
-  row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 16 < 2)"""
+  row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS n FROM orders)"""
 
 
 def fills(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
     side = F.when(k % 3 == 0, -1.0).otherwise(1.0) * (1 + k % 5) * F.when(k % 11 == 0, -4.0).otherwise(1.0)
-    return B.read(spark, sf, "orders").where(k % 16 < 2).select(F.col("o_orderpriority").alias("symbol"), k.alias("ts"), side.alias("signed"), F.col("o_totalprice").alias("price"))
+    return B.read(spark, sf, "orders").select(F.col("o_orderpriority").alias("symbol"), k.alias("ts"), side.alias("signed"), F.col("o_totalprice").alias("price"))
 
 
 @query(

@@ -304,3 +304,39 @@ def test_synthetic_feed_is_repeatable(spark):
     assert one_ == two and len(one_) == 2 * 288
     assert all(r[4] <= min(r[2], r[5]) + 1e-3 and r[3] >= max(r[2], r[5]) - 1e-3 for r in one_)
     assert feed.stream(spark).isStreaming
+
+
+# --- queries over whole tables ---
+
+
+def by_symbol(rows, key, order):
+    out = {}
+    for r in sorted(rows, key=lambda r: r[order]):
+        out.setdefault(r[key], []).append(r)
+    return out
+
+
+def test_positions_and_cash_over_all_orders(spark, sf):
+    from barloom.plans import q_execution as E
+
+    orders = spark.read.parquet(f"{sf}/orders.parquet").collect()
+    fold, cash = {}, {}
+    for symbol, rows in by_symbol(orders, "o_orderpriority", "o_orderkey").items():
+        lots, qty, realised, money = [], 0, 0.0, 1e6
+        for r in rows:
+            k, px = r.o_orderkey, r.o_totalprice
+            signed = (-1 if k % 3 == 0 else 1) * (1 + k % 5) * (-4 if k % 11 == 0 else 1)
+            money -= signed * px + abs(signed) * px / 10_000
+            basis = sum(q * p for q, p in lots) / qty if qty else 0.0
+            if qty * signed < 0:
+                closed = min(abs(signed), abs(qty))
+                realised += (px - basis) * closed * (1 if qty > 0 else -1)
+                lots = [(qty + signed, px if abs(signed) > abs(qty) else basis)]
+            else:
+                lots.append((signed, px))
+            qty += signed
+            fold[symbol, k], cash[symbol, k] = (qty, sum(q * p for q, p in lots) / qty if qty else 0.0, realised), (qty, money, money + qty * px)
+    got = {(r.symbol, r.ts): (r.qty, r.avg_price, r.realised) for r in E.position_fold(spark, sf).collect()}
+    assert len(got) == len(orders) and all(got[k] == pytest.approx(v, rel=1e-9, abs=0.011) for k, v in fold.items())
+    got = {(r.symbol, r.ts): (r.qty, r.cash, r.equity) for r in E.cash_ledger(spark, sf).collect()}
+    assert len(got) == len(orders) and all(got[k] == pytest.approx(v, rel=1e-9, abs=0.011) for k, v in cash.items())
