@@ -41,14 +41,14 @@ def account_guard(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT o_orderkey AS symbol, (o_orderkey % 41 - 20) / 100.0::DOUBLE AS weight FROM orders WHERE o_orderkey % 3 <> 0), p AS (SELECT o_orderkey AS symbol, (o_orderkey % 31 - 15) / 100.0::DOUBLE AS held FROM orders WHERE o_orderkey % 4 <> 0),
+    """WITH t AS (SELECT o_orderkey AS symbol, CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey % 41 - 20) / 100.0::DOUBLE END AS weight FROM orders), p AS (SELECT o_orderkey AS symbol, CASE WHEN o_orderkey % 4 <> 0 THEN (o_orderkey % 31 - 15) / 100.0::DOUBLE END AS held FROM orders),
 j AS (SELECT coalesce(t.symbol, p.symbol) AS symbol, coalesce(held, 0) AS held, coalesce(weight, held, 0) AS want FROM t FULL JOIN p ON t.symbol = p.symbol)
 SELECT symbol, held, CASE symbol % 3 WHEN 0 THEN 0 WHEN 1 THEN CASE WHEN sign(want) <> sign(held) THEN 0 ELSE sign(held) * least(abs(want), abs(held)) END ELSE want END AS weight FROM j"""
 )
 def filter_targets(spark: SparkSession, sf: str) -> DataFrame:
     o, k = B.read(spark, sf, "orders"), F.col("o_orderkey")
-    t = o.where(k % 3 != 0).select(k.alias("symbol"), ((k % 41 - 20) / 100).alias("weight"))
-    p = o.where(k % 4 != 0).select(k.alias("symbol"), ((k % 31 - 15) / 100).alias("held"))
+    t = o.select(k.alias("symbol"), F.when(k % 3 != 0, (k % 41 - 20) / 100).alias("weight"))
+    p = o.select(k.alias("symbol"), F.when(k % 4 != 0, (k % 31 - 15) / 100).alias("held"))
     state = F.when(F.col("symbol") % 3 == 0, "halted").when(F.col("symbol") % 3 == 1, "reduce_only").otherwise("normal")
     return R.filter_targets(t, p, state)
 
@@ -87,7 +87,7 @@ def stop_and_target(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE o AS MATERIALIZED (SELECT event_type AS symbol, ts, epoch_us(ts) / 1e6 AS px_at, CASE WHEN event_id % 29 = 0 THEN 'kill' WHEN event_id % 5 = 0 THEN 'fill' WHEN event_id % 7 < 2 THEN 'reject' ELSE 'submit' END AS event, event_id % 11 = 0 AS reduces, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS n FROM events WHERE event_id % 6 = 1 OR event_id % 5 = 0),
+    """WITH RECURSIVE o AS MATERIALIZED (SELECT event_type AS symbol, ts, epoch_us(ts) / 1e6 AS px_at, CASE WHEN event_id % 29 = 0 THEN 'kill' WHEN event_id % 5 = 0 THEN 'fill' WHEN event_id % 7 < 2 THEN 'reject' ELSE 'submit' END AS event, event_id % 11 = 0 AS reduces, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS n FROM events),
 r(symbol, n, ts, working, since, rejects, blocked, action) AS (
   SELECT DISTINCT symbol, CAST(0 AS BIGINT), CAST(NULL AS TIMESTAMP), false, CAST(0 AS DOUBLE), 0, CAST(0 AS DOUBLE), '' FROM o
   UNION ALL
@@ -100,7 +100,7 @@ r(symbol, n, ts, working, since, rejects, blocked, action) AS (
 def order_routing(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("event_id")
     event = F.when(k % 29 == 0, "kill").when(k % 5 == 0, "fill").when(k % 7 < 2, "reject").otherwise("submit")
-    o = B.read(spark, sf, "events").where((k % 6 == 1) | (k % 5 == 0)).select(F.col("event_type").alias("symbol"), "ts", event.alias("event"), (k % 11 == 0).alias("reduces"))
+    o = B.read(spark, sf, "events").select(F.col("event_type").alias("symbol"), "ts", event.alias("event"), (k % 11 == 0).alias("reduces"))
     return R.route(o)
 
 

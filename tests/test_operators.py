@@ -340,3 +340,41 @@ def test_positions_and_cash_over_all_orders(spark, sf):
     assert len(got) == len(orders) and all(got[k] == pytest.approx(v, rel=1e-9, abs=0.011) for k, v in fold.items())
     got = {(r.symbol, r.ts): (r.qty, r.cash, r.equity) for r in E.cash_ledger(spark, sf).collect()}
     assert len(got) == len(orders) and all(got[k] == pytest.approx(v, rel=1e-9, abs=0.011) for k, v in cash.items())
+
+
+def test_routing_and_targets_over_all_rows(spark, sf):
+    from barloom.plans import q_routing as Z
+
+    events, want = spark.read.parquet(f"{sf}/events.parquet").collect(), []
+    for symbol, rows in by_symbol(events, "event_type", "ts").items():
+        working, sent, rejects, blocked = False, None, 0, None
+        for r in rows:
+            k, at = r.event_id, r.ts.timestamp()
+            if k % 29 == 0:
+                working, action = False, "cancelled"
+            elif k % 5 == 0:
+                working, rejects, action = False, 0, "done"
+            elif k % 7 < 2:
+                working, rejects, action = False, rejects + 1, "rejected"
+                if rejects == 3:
+                    rejects, blocked, action = 0, at + 300, "blocked"
+            elif working and at < sent + 120 and k % 11:
+                action = "busy"
+            elif blocked is not None and at < blocked and k % 11:
+                action = "held"
+            else:
+                working, sent, action = True, at, "replaced" if working else "sent"
+            want.append((symbol, r.ts, action))
+    got = [tuple(r) for r in Z.order_routing(spark, sf).select("symbol", "ts", "action").collect()]
+    assert len(got) == len(events) and sorted(got) == sorted(want)
+    keys = [r.o_orderkey for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect()]
+    got = {r.symbol: (r.held, r.weight) for r in Z.filter_targets(spark, sf).collect()}
+    assert sorted(got) == sorted(keys) and any(k % 12 == 0 for k in keys)
+    for k in keys:
+        held = (k % 31 - 15) / 100 if k % 4 else 0.0
+        want = (k % 41 - 20) / 100 if k % 3 else held
+        if k % 3 == 0:
+            want = 0.0
+        elif k % 3 == 1:
+            want = math.copysign(min(abs(want), abs(held)), held) if want * held > 0 else 0.0
+        assert got[k] == pytest.approx((held, want))
