@@ -91,7 +91,7 @@ def blend(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("symbol", "ts", F.round("consensus", 6).alias("consensus"), F.round("conviction", 6).alias("conviction"), "agents", F.round("weight", 6).alias("weight"))
 
 
-_ORDERS = "o AS (SELECT o_orderkey, o_orderpriority AS symbol, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS ts, round((o_orderkey % 97 - 40) / 100.0::DOUBLE, 6) AS weight FROM orders WHERE o_orderkey % 5 < 3)"
+_ORDERS = "o AS (SELECT o_orderkey, o_orderpriority AS symbol, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS ts, round((o_orderkey % 97 - 40) / 100.0::DOUBLE, 6) AS weight FROM orders)"
 
 
 @query(
@@ -101,7 +101,7 @@ SELECT symbol, ts, round(CASE WHEN abs(net) > 0.6 AND sign(weight) = sign(net) A
 )
 def exposure_caps(spark: SparkSession, sf: str) -> DataFrame:
     """Caps over made-up targets: a weight for each order priority and month."""
-    o = B.read(spark, sf, "orders").where("o_orderkey % 5 < 3").select(F.col("o_orderpriority").alias("symbol"), F.trunc("o_orderdate", "MM").cast("timestamp_ntz").alias("ts"), F.round((F.col("o_orderkey") % 97 - 40) / 100, 6).alias("weight"))
+    o = B.read(spark, sf, "orders").select(F.col("o_orderpriority").alias("symbol"), F.trunc("o_orderdate", "MM").cast("timestamp_ntz").alias("ts"), F.round((F.col("o_orderkey") % 97 - 40) / 100, 6).alias("weight"))
     t = o.groupBy("symbol", "ts").agg((F.round(F.avg("weight"), 9) * 8).alias("weight"))
     return P.exposure_caps(t).select("symbol", "ts", F.round("weight", 6).alias("weight"))
 

@@ -378,3 +378,21 @@ def test_routing_and_targets_over_all_rows(spark, sf):
         elif k % 3 == 1:
             want = math.copysign(min(abs(want), abs(held)), held) if want * held > 0 else 0.0
         assert got[k] == pytest.approx((held, want))
+
+
+def test_caps_average_all_orders(spark, sf):
+    from barloom.plans import q_trading as G
+
+    orders, mean, want = spark.read.parquet(f"{sf}/orders.parquet").collect(), {}, {}
+    for r in orders:
+        mean.setdefault((r.o_orderpriority, r.o_orderdate.replace(day=1, hour=0, minute=0, second=0, microsecond=0)), []).append((r.o_orderkey % 97 - 40) / 100)
+    for ts in {t for _, t in mean}:
+        w = {s: 8 * round(sum(x) / len(x), 9) for (s, t), x in mean.items() if t == ts}
+        gross = sum(map(abs, w.values()))
+        w = {s: x / max(gross, 1) for s, x in w.items()}
+        net = sum(w.values())
+        side = sum(abs(x) for x in w.values() if x * net > 0)
+        for s, x in w.items():
+            want[s, ts] = x * max(1 - (abs(net) - 0.6) / side, 0) if abs(net) > 0.6 and x * net > 0 else x
+    got = {(r.symbol, r.ts): r.weight for r in G.exposure_caps(spark, sf).collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(v, abs=2e-6) for k, v in want.items())
