@@ -149,6 +149,23 @@ def test_trendlines_touch_and_break():
     assert t.bar(13, 23.0, 20.0, 20.5, 1.0) == [] and [e for e, _ in t.bar(14, 23.0, 20.0, 20.5, 1.0)] == ["break"]
 
 
+def test_channels_reach_over_the_whole_series(spark):
+    rng = random.Random(4)
+    pivots = [("A", k, rng.choice(["peak", "trough"]), 100 + rng.gauss(0, 10)) for k in range(0, 1500, 3)]
+    pivots += [("A", 1400, "peak", 900.0), ("A", 1402, "trough", -900.0)]
+    lines = [("A", kind, x1, 100 + rng.gauss(0, 5), rng.gauss(0, 0.05)) for kind in ("uptrend", "downtrend") for x1 in (0, 3, 500, 1100, 1395, 1405, 1490, 2000)]
+    lines += [("B", "uptrend", 0, 1.0, 0.0), ("A", "uptrend", 0, 5000.0, 0.0)]
+    want = {}
+    for s, kind, x1, y1, slope in lines:
+        side = 1 if kind == "uptrend" else -1
+        off = [side * (price - (y1 + slope * (at - x1))) for p, at, k, price in pivots if p == s and at >= x1 and k == ("peak" if side > 0 else "trough")]
+        if off and max(off) > 0:
+            want[s, kind, x1, y1] = (pytest.approx(max(off)), pytest.approx(side * max(off)))
+    e = spark.createDataFrame(lines * 2, "symbol string, kind string, x1 int, y1 double, slope double")
+    got = L.channels(e, spark.createDataFrame(pivots, "symbol string, index int, kind string, price double")).collect()
+    assert len(got) == len(want) and {(r.symbol, r.kind, r.x1, r.y1): (r.width, r.offset) for r in got} == want
+
+
 # --- execution ---
 
 
