@@ -183,20 +183,30 @@ def with_fingerprint(df: DataFrame, text_col: str = "text", out: str = "fp") ->
     return add_columns(df, [T.StructField(out, T.LongType())], make)
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
+    """(doc_id, fp, root, component_id) for each row of docs; root is the smallest fingerprint of the group."""
+    one = with_fingerprint(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).drop("text")
+    one = written(one, "prints")
+    prints = written(one.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("least")), "reps")
+    # Fingerprints are the nodes, not ids: rows of different texts that share an id don't tie their groups together.
+    roots = components(near_links(prints.select("fp", F.col("fp").alias("rep")), radius), "a", "b")
+    prepare(docs.sparkSession)  # batches of texts again: the links are tables by now
+    named = written(prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
+    group = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    group = written(group.where("n > 1").drop("n"), "groups")
+    named = named.join(F.broadcast(group) if group.count() <= BROADCAST_ROWS else group, "root", "left")
+    return one.join(named.select("fp", "root", F.coalesce("component_id", "least").alias("component_id")), "fp", "left").select("doc_id", "fp", "root", "component_id")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id), one row for each row of docs.
 
     component_id is the smallest id reachable over fingerprints that differ in at most ``radius`` bits. Texts that are
     null, empty or without words have fingerprint 0 and are linked like any other. Rows without an id link nothing: they
-    have the component of an equal fingerprint, or null. Repeated rows are repeated; an empty table gives an empty one.
+    have the component of an equal fingerprint, or null. Rows that share an id are linked by their texts only. Repeated
+    rows are repeated; an empty table gives an empty one.
     """
-    one = with_fingerprint(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).drop("text")
-    one = written(one, "prints")
-    prints = written(one.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    roots = components(near_links(prints, radius), "a", "b")
-    prepare(docs.sparkSession)  # batches of texts again: the links are tables by now
-    named = prints.join(roots, prints.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return one.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    return _grouped(docs, id_col, text_col, radius).drop("root")
 
 
 def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,9 +215,14 @@ def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the document with the smallest id stays, once; documents without an id stay."""
-    groups = simhash_groups(docs)
-    kept = clean_name(docs, "kept_id")
-    best = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(kept)).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(best, F.col("doc_id") == F.col(kept), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    """Pipeline stage: of each group the row with the smallest id stays, once; rows without an id stay.
+
+    A row is told by its id and its fingerprint, as rows of different texts may share an id.
+    """
+    groups = _grouped(docs, "doc_id", "text", RADIUS).where(F.col("doc_id") == F.col("component_id"))
+    kept, kept_fp, fp = (clean_name(docs, x) for x in ("kept_id", "kept_fp", "fp"))
+    # All of a group's rows in groups have its smallest id.
+    best = written(groups.groupBy("root").agg(F.min("doc_id").alias(kept), F.min("fp").alias(kept_fp)), "kept")
+    named = docs.where(F.col("doc_id").isNotNull()).join(best.select(kept).distinct(), F.col("doc_id") == F.col(kept), "left_semi")
+    named = with_fingerprint(named, out=fp).join(best, (F.col("doc_id") == F.col(kept)) & (F.col(fp) == F.col(kept_fp)), "left_semi")
+    return named.dropDuplicates(["doc_id", fp]).select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

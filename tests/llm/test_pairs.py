@@ -113,6 +113,18 @@ def test_dedup_stage_keeps_one_of_each_group(spark):
     assert stage_dedup(spark, docs(spark, []), None).count() == 0
 
 
+def test_dedup_with_shared_ids_drops_only_texts_of_which_one_stays(spark):
+    texts = ["alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine", "the river runs past the old stone mill at night", "copper and tin were traded along this coast for ages"]
+    ids = [(5, 0), (5, 1), (5, 1), (3, 1), (7, 0), (5, 2), (2, 2), (9, 3), (2, 3), (None, 0)]
+    rows = [(d, texts[k], "en", "a", 1, None, None) for d, k in ids]
+    assert all((fingerprint(a) ^ fingerprint(b)).bit_count() > 4 for k, a in enumerate(texts) for b in texts[:k])
+    got = sorted(((r.doc_id, r.text) for r in stage_dedup(spark, docs(spark, rows), None).collect()), key=repr)
+    assert got == sorted([(5, texts[0]), (3, texts[1]), (2, texts[2]), (2, texts[3]), (None, texts[0])], key=repr)
+    groups = {(r.doc_id, r.fp & (1 << 64) - 1): r.component_id for r in simhash_groups(docs(spark, rows)).collect()}
+    least = {k: min(d for d, j in ids if j == k and d) for k in range(4)}
+    assert groups == {(d, fingerprint(texts[k])): least[k] for d, k in ids}
+
+
 def test_op5_against_all_pairs(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
     want = slow_groups([(r.doc_id, fingerprint(r.text)) for r in rows])
