@@ -32,68 +32,105 @@ BLOCK_IDS, SHARD_DOCS, SHARDS = 1 << 20, 4096, 20_000
 #: Text that goes through the tokenizer together, about.
 TEXT_BYTES = 8 << 20
 MAGIC, NULL_ID = b"RPB2", -(1 << 63)
-_SLOTS = 1 << 18
+#: Odd factors that spread pairs over the slots of a hash table.
+_MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
 
 # --- grammar ---
 
 
+def _slots(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
+    """A slot from 1 to 2**bits for each pair of symbols."""
+    h = left * _MIX[0]
+    h += right * _MIX[1]
+    h ^= h >> np.uint32(15)
+    h *= _MIX[0]
+    h >>= np.uint32(32 - bits)
+    return h.astype(np.intp) + 1
+
+
 def compress(seq: np.ndarray, last: np.ndarray, first: int, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The sequence with repeated pairs replaced, where documents end in it, and the rules' left and right symbols.
 
     Rule k makes symbol first + k. last: which places of the sequence end a document; no pair reaches over one.
 
     Rounds go on until no pair occurs ``least`` times; of a pair's occurrences that overlap (a a a) every other one from
-    the left counts. A round counts all pairs exactly and takes those with at least a quarter of the highest count; where two of
-    them overlap, the more frequent one is replaced. One that is left with too few, or whose slot in the table of names
-    went to a more frequent one, waits for the next round. The most frequent pair never waits, so every round replaces.
+    the left counts. A round finds the pairs whose slot of a hash table holds a quarter of the fullest one's occurrences
+    or more, counts those pairs exactly and takes the ones with that many; where two of them overlap, the more frequent
+    one is replaced. One that is left with too few, or whose slot in the table of names went to a more frequent one,
+    waits for the next round. The most frequent pair never waits, so every round replaces.
+
+    Later symbols at a boundary stand for what was there before, so a pair that occurs too seldom always will: its place
+    is shut for good, and symbols between two shut places leave the arrays that rounds go through.
     """
-    seq = seq.astype(np.uint32)
+    out, ends, gone = seq.astype(np.uint32), last.copy(), np.zeros(len(seq), bool)
+    sym, place, shut = out.copy(), np.arange(len(out), dtype=np.int32), last.copy()
     left, right = [], []
-    made = 0
-    while len(seq) > 1:
-        small = first + made <= 1 << 16
-        kind, bits = (np.uint32, 16) if small else (np.uint64, 32)
-        factor, drop = (kind(0x9E3779B1), kind(14)) if small else (kind(0x9E3779B97F4A7C15), kind(46))
-        pair = (seq[:-1].astype(kind) << kind(bits)) | seq[1:]
-        free = ~last[:-1]
-        twin = np.flatnonzero((pair[1:] == pair[:-1]) & free[1:] & free[:-1])
-        begins = np.r_[True, twin[1:] != twin[:-1] + 1][: len(twin)]
-        nth = np.arange(len(twin))
-        free[twin[(nth - np.maximum.accumulate(np.where(begins, nth, 0))) % 2 == 0] + 1] = False
-        order = np.sort(pair[free])
-        head = np.flatnonzero(np.r_[True, order[1:] != order[:-1]][: len(order)])
-        count = np.diff(np.r_[head, len(order)])
-        top = count.max(initial=0)
-        if top < least:
+    made, cut = 0, 1 << 30
+    while len(sym) > 1:
+        shut[-1] = True
+        # Frequent pairs show in a small table; the rare ones of the last rounds need a large one to be told apart.
+        bits = max(8, min(len(sym).bit_length() + 1, 20 if cut < 16 else 17 if cut < 100 else 14))
+        slot = _slots(sym[:-1], sym[1:], bits)
+        slot *= ~shut[:-1]
+        held = np.bincount(slot, minlength=(1 << bits) + 1)
+        held[0] = 0
+        seen = held.astype(np.int32).take(slot)
+        cut = max(least, int(held.max()) // 4)
+        while True:
+            at = np.flatnonzero(seen >= cut)
+            pair = (sym[at].astype(np.uint64) << np.uint64(32)) | sym[at + 1]
+            twin = np.flatnonzero(sym[at] == sym[at + 1])
+            if len(twin):
+                run, nth = at[twin], np.arange(len(twin))
+                begins = np.r_[True, run[1:] != run[:-1] + 1]
+                free = np.ones(len(at), bool)
+                free[twin[(nth - np.maximum.accumulate(np.where(begins, nth, 0))) % 2 == 1]] = False
+                at, pair = at[free], pair[free]
+            order = np.sort(pair)
+            head = np.flatnonzero(np.r_[True, order[1:] != order[:-1]][: len(order)])
+            count = np.diff(np.r_[head, len(order)])
+            often = np.flatnonzero(count >= cut)
+            if len(often) or cut == least:
+                break
+            cut = max(least, cut // 2)  # slots were fuller than any pair is frequent
+        if not len(often):
             break
-        often = np.flatnonzero(count >= max(least, top // 4))
         often = often[np.argsort(count[often], kind="stable")]
-        codes = np.r_[kind(0), order[head[often]]]
+        codes = np.r_[np.uint64(0), order[head[often]]]
+        a, b = (codes >> np.uint64(32)).astype(np.uint32), (codes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         # A pair's rank by its count, through a table in which the more frequent of two pairs has the slot.
-        table = np.zeros(_SLOTS, np.int32)
-        np.maximum.at(table, ((codes[1:] * factor) >> drop).astype(np.int32), np.arange(1, len(codes), dtype=np.int32))
-        rank = table[((pair * factor) >> drop).astype(np.int32)]
-        rank[(codes[rank] != pair) | ~free] = 0
-        wins = rank > 0
-        wins[1:] &= rank[1:] > rank[:-1]
-        wins[:-1] &= rank[:-1] > rank[1:]
-        at = np.flatnonzero(wins)
-        new = np.flatnonzero(np.bincount(rank[at], minlength=len(codes)) >= least)
+        table = np.zeros((1 << bits) + 1, np.int32)
+        np.maximum.at(table, _slots(a, b, bits)[1:], np.arange(1, len(codes), dtype=np.int32))
+        rank = table[slot[at]]
+        known = codes[rank] == pair
+        at, rank = at[known], rank[known]
+        side = at[1:] == at[:-1] + 1
+        wins = np.ones(len(at), bool)
+        wins[1:] &= ~side | (rank[1:] > rank[:-1])
+        wins[:-1] &= ~side | (rank[:-1] > rank[1:])
+        at, rank = at[wins], rank[wins]
+        enough = np.bincount(rank, minlength=len(codes)) >= least
+        at, rank = at[enough[rank]], rank[enough[rank]]
+        new = np.flatnonzero(enough)
         name = np.zeros(len(codes), np.uint32)
         name[new] = first + made + np.arange(len(new))
-        left.append((codes[new] >> kind(bits)).astype(np.int64))
-        right.append((codes[new] & kind((1 << bits) - 1)).astype(np.int64))
+        left.append(a[new].astype(np.int64))
+        right.append(b[new].astype(np.int64))
         made += len(new)
-        at = at[name[rank[at]] > 0]
-        seq[at] = name[rank[at]]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        last = last.copy()
-        last[at] = last[at + 1]
-        seq, last = seq[keep], last[keep]
+        shut[:-1] |= seen < least
+        sym[at] = name[rank]
+        shut[at] = shut[at + 1]
+        here, there = place[at], place[at + 1]
+        out[here], ends[here] = sym[at], ends[there]
+        gone[there] = True
+        stays = ~shut
+        stays[1:] |= ~shut[:-1]
+        stays[at], stays[at + 1] = True, False
+        stays = np.flatnonzero(stays)
+        sym, place, shut = sym.take(stays), place.take(stays), shut.take(stays)
     none = np.zeros(0, np.int64)
-    return seq, last, np.concatenate(left) if left else none, np.concatenate(right) if right else none
+    return out[~gone], ends[~gone], np.concatenate(left) if left else none, np.concatenate(right) if right else none
 
 
 def sizes_and_depths(left: np.ndarray, right: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
