@@ -62,24 +62,40 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application below spark.checkpoint.dir, which the driver and all executors share.
 
-    The setting is read from the session. Only where it is unset (tests, a laptop) does this choose a folder of its own.
+    The setting is read from the session. Only on a local master (tests, a laptop) may it be unset; the folder is then one
+    of the machine's own. On a cluster that would be another folder on each machine, so it is an error.
     """
     sc = spark.sparkContext
     known = _SHARED.get(sc.applicationId)
     if known is None:
-        base = sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="barloom_shared_")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = base or "file://" + tempfile.mkdtemp(prefix="barloom_shared_")
         known = _SHARED[sc.applicationId] = f"{base.rstrip('/')}/barloom-{sc.applicationId}"
         atexit.register(_remove, sc, known)
     return known
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
+def new_path(spark: SparkSession, what: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     """df as a table in the shared folder, read back: computed once, its lineage cut, and it survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    path = path or new_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _remove(sc, path: str) -> None:
     """Delete the application's tables at its end, while its JVM is there."""
     try:
