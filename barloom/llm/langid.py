@@ -1,7 +1,7 @@
 """Operator 2: language identification with a bidirectional gated recurrent network over bytes.
 
-The network reads segments of a text's UTF-8 bytes in both directions, gives label probabilities at every position,
-and a document's probabilities are the mean over all its positions. It is trained in numpy by backpropagation through
+The network reads a text's UTF-8 bytes in both directions, in segments of SEGMENT bytes at whose ends its state begins
+anew, gives label probabilities at every position, and a document's probabilities are the mean over all its positions. It is trained in numpy by backpropagation through
 time. Documents are read whole; only training looks at a bounded sample.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import add_columns, clean_name, crc_mod, table
+from barloom.llm.common import add_columns, clean_name, column, crc_mod, table
 
 UNKNOWN = "und"
 #: Bytes in a segment when predicting, and segments that go through the network together.
@@ -26,9 +26,10 @@ _LETTER = regex.compile(r"\p{L}")
 
 @dataclass
 class Sample:
-    """Bounds of what training reads: documents of each language, and segments of so many characters from each."""
+    """Bounds of what training reads: documents of each language and of all, and segments of so many characters from each."""
 
     docs_per_lang: int = 400
+    docs: int = 40_000
     segments_per_doc: int = 6
     chars: int = 64
 
@@ -173,7 +174,7 @@ class ByteBiGRU:
 
 
 def training_segments(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: Sample) -> tuple[list[str], list[str]]:
-    """Segments of text and their languages, from at most docs_per_lang documents of each language.
+    """Segments of text and their languages, from at most docs_per_lang documents of each language and docs of all.
 
     A first pass counts each language; a second keeps the documents whose hash falls below a threshold that the count
     sets, so only about the wanted number of segments ever leave the executors.
@@ -182,7 +183,8 @@ def training_segments(docs: DataFrame, id_col: str, text_col: str, lang_col: str
     counts = {r[0]: r[1] for r in docs.groupBy(lang_col).count().collect()}
     if not counts:
         return [], []
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * sample.docs_per_lang / n + 20 / n))])
+    per_lang = min(sample.docs_per_lang, -(-sample.docs // len(counts)))
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * per_lang / n + 20 / n))])
     spread = F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1 << 30))
     doc = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), spread.alias("key")).where(F.col("key") < share[F.col("lang")] * (1 << 30))
     at = F.transform(
@@ -193,7 +195,7 @@ def training_segments(docs: DataFrame, id_col: str, text_col: str, lang_col: str
     rows.sort(key=lambda r: (r["lang"], r["key"], r["segments"]))
     texts, langs, seen = [], [], dict.fromkeys(counts, 0)
     for r in rows:
-        if seen[r["lang"]] < sample.docs_per_lang:
+        if seen[r["lang"]] < per_lang:
             seen[r["lang"]] += 1
             texts += r["segments"]
             langs += [r["lang"]] * len(r["segments"])
@@ -230,7 +232,7 @@ def predict_language(df: DataFrame, net: ByteBiGRU, text_col: str = "text", lang
 
     def make():
         def fn(b: pa.RecordBatch) -> list[pa.Array]:
-            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+            texts = column(b, text_col).to_pylist()
             ok = [i for i, t in enumerate(texts) if t and net.langs and _LETTER.search(t)]
             lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
             sums = net.pooled([texts[i].encode() for i in ok])

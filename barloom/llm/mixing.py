@@ -11,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import clean_name, table, written
-from barloom.llm.components import BROADCAST_ROWS
+from barloom.llm.common import clean_name, look_up, table, written
 
 SEED, ALPHA = 17, 0.5
 #: Means up to this are inverted at once; a larger one is the sum of equal parts, each with a uniform number of its own.
 WHOLE = 256.0
+#: Sources whose distributions are broadcast, at most.
+SOURCES = 1000
 
 
 def uniform(*parts: Column) -> Column:
@@ -77,14 +78,15 @@ def mix_sources(
     docs = docs.drop(*[c for c in docs.columns if c.lower() in (copy_col.lower(), order_col.lower())])
     rates = written(source_rates(docs, source_col, weights, total, alpha), "rates")
     parts = F.greatest(F.ceil(F.col("rate") / WHOLE), F.lit(1)).cast("int")
-    src, cdf, chunk, copy = (clean_name(docs, x) for x in ("_src", "_cdf", "_parts", copy_col))
-    rates = rates.where(F.col("rate") > 0).select(F.col("source").alias(src), parts.alias(chunk), poisson_cdf(F.col("rate") / parts).alias(cdf))
-    # One row for each source; a source count beyond the bound takes the shuffled way.
-    few = rates.count() <= BROADCAST_ROWS // 100
-    joined = docs.join(F.broadcast(rates) if few else rates, F.col(source_col).eqNullSafe(F.col(src)))
+    src, cdf, chunk, copy, n = (clean_name(docs, x) for x in ("_src", "_cdf", "_parts", copy_col, "_n"))
+    # Null is a key of its own.
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    rates = rates.where(F.col("rate") > 0).select(named("source").alias(src), F.col("n").alias(n), parts.alias(chunk), poisson_cdf(F.col("rate") / parts).alias(cdf))
+    # A row holds a few KB at most, so no more than a thousand sources are broadcast.
+    joined = look_up(docs, named(source_col), rates, src, n, F.col(id_col), few=SOURCES, hot=SOURCES).where(F.col(cdf).isNotNull())
     below = lambda j: F.size(F.filter(F.col(cdf), lambda c: c <= uniform(F.lit(seed), F.col(id_col), j)))
     copies = F.aggregate(F.sequence(F.lit(1), F.col(chunk)), F.lit(0), lambda acc, j: acc + below(j))
-    spread = joined.withColumn(copy, copies).where(F.col(copy) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).drop(src, cdf, chunk)
+    spread = joined.withColumn(copy, copies).where(F.col(copy) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).drop(cdf, chunk)
     keyed = spread.withColumn(order_col, F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(copy)).cast("binary")))
     return keyed.repartition(order_col).sortWithinPartitions(order_col)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import add_columns, table
+from barloom.llm.common import add_columns, column, table
 from barloom.llm.prefix_bpe import load
 
 
@@ -25,7 +25,7 @@ def encode_pieces(df: DataFrame, text_col: str = "text", model: str | None = Non
         begin, end = (np.array([i], "<u4").tobytes() for i in (bpe.bos, bpe.eos))
 
         def fn(b: pa.RecordBatch) -> list[pa.Array]:
-            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+            texts = column(b, text_col).to_pylist()
             ids = [begin + bpe.encode(t or "") + end for t in texts]
             return [pa.array(ids, pa.binary()), pa.array((bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in ids), pa.string())]
 

@@ -3,22 +3,25 @@
 Two fingerprints that differ in at most RADIUS bits agree in all bits of at least BLOCKS - RADIUS of BLOCKS bit blocks.
 So every choice of that many blocks makes shards: the fingerprints with equal bits there. Each shard has a BK-tree, whose
 children hang on edges that carry their distance to the parent; a search follows only edges within the radius. A shard of
-more than SHARD fingerprints is split: the trees of its parts are searched with the other parts' fingerprints, each pair of
-parts in a task of its own. Equal fingerprints are one before any of this.
+more than SHARD fingerprints is split by further blocks of the bits that it doesn't share yet, as long as that leaves
+fewer pairs to look at. Where it doesn't - dense balls of near copies - the trees of the shard's parts are searched with
+the other parts' fingerprints, each pair of parts in a task of its own. Equal fingerprints are one before any of this.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import add_columns, clean_name, prepare, table, written
-from barloom.llm.components import BROADCAST_ROWS, components
+from barloom.llm.common import BROADCAST_ROWS, add_columns, clean_name, column, look_up, prepare, table, written
+from barloom.llm.components import components
 from barloom.llm.simhash import BITS, fingerprint
 
 RADIUS, SHARD = 4, 2048
@@ -107,16 +110,41 @@ def block_count(n: int, radius: int) -> int:
     return m
 
 
-def shard_keys(fp: str, radius: int, blocks: int) -> list:
-    """A column for each choice of blocks: the bits there, and which choice it is."""
-    width = [BITS // blocks + (k < BITS % blocks) for k in range(blocks)]
-    start = [sum(width[:k]) for k in range(blocks)]
-    keys = []
-    for k, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-        mask = sum(((1 << width[c]) - 1) << start[c] for c in chosen)
-        mask -= (mask >> 63) << 64  # as a signed integer
-        keys.append(F.xxhash64(F.col(fp).bitwiseAND(F.lit(mask)), F.lit(k)))
-    return keys
+@cache
+def choices(taken: int, blocks: int, radius: int) -> list[int]:
+    """Masks that each hold the bits ``taken`` and a choice of all but ``radius`` of ``blocks`` blocks of the other bits."""
+    free = [k for k in range(BITS) if not taken >> k & 1]
+    cut = [len(free) * k // blocks for k in range(blocks + 1)]
+    part = [sum(1 << k for k in free[a:b]) for a, b in zip(cut, cut[1:])]
+    return [taken | sum(chosen) for chosen in combinations(part, blocks - radius)]
+
+
+def signed(x: int) -> int:
+    return x - (x >> 63 << 64)
+
+
+def deeper(hot: DataFrame, radius: int) -> DataFrame:
+    """hot (key, taken, fp, rep), shards that are too large, as (above, key, taken, fp, rep): smaller ones, above being the key they come from.
+
+    A shard whose free bits are too few for blocks has no smaller ones.
+    """
+    blocks, full = radius + 2, (1 << BITS) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            above, taken, fp, rep = (b.column(k).to_numpy() for k in range(4))
+            for t in np.unique(taken).tolist():
+                own = taken == t
+                if BITS - (t & full).bit_count() < blocks:
+                    continue
+                for mask in choices(t & full, blocks, radius):
+                    m = np.int64(signed(mask))
+                    # A shard below is known by the one above, the bits it shares and their values.
+                    cols = above[own], fp[own] & m, np.full(own.sum(), m), fp[own], rep[own]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["above", "bits", "taken", "fp", "rep"])
+
+    out = hot.select("key", "taken", "fp", "rep").mapInArrow(run, "above long, bits long, taken long, fp long, rep long")
+    return out.select("above", F.xxhash64("above", "taken", "bits").alias("key"), "taken", "fp", "rep")
 
 
 def near_links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
@@ -124,23 +152,36 @@ def near_links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> D
 
     A shard's key is a hash of its bits; shards that meet under one key only make a tree larger, as distances decide.
     """
-    spark = prints.sparkSession
-    prepare(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")  # of three integers each
-    blocks = block_count(prints.count(), radius)
-    keyed = prints.select("fp", "rep", F.explode(F.array(*shard_keys("fp", radius, blocks))).alias("key"))
-    hot = written(keyed.groupBy("key").count().where(F.col("count") > shard).select("key", F.ceil(F.col("count") / shard).alias("parts")), "hot")
-    n_hot = hot.count()
-    if n_hot:
-        keyed = keyed.join(F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, "key", "left")
+    prepare(prints.sparkSession)
+    masks = [signed(m) for m in choices(0, block_count(prints.count(), radius), radius)]
+    keys = [F.struct(F.xxhash64(F.col("fp").bitwiseAND(F.lit(m)), F.lit(m)).alias("key"), F.lit(m).alias("taken")) for m in masks]
+    keyed = prints.select("fp", "rep", F.explode(F.array(*keys)).alias("k")).select("k.key", "k.taken", "fp", "rep")
+    zero = F.lit(0).cast("long")
+    done = []
+
+    def part_of(df: DataFrame, few: DataFrame, how: str) -> DataFrame:
+        return df.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, "key", how)
+
+    while True:
+        hot = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard), "hot")
+        if hot.isEmpty():
+            done.append(keyed.select("key", zero.alias("i"), zero.alias("j"), zero.alias("part"), "fp", "rep"))
+            break
+        done.append(part_of(keyed, hot.select("key"), "left_anti").select("key", zero.alias("i"), zero.alias("j"), zero.alias("part"), "fp", "rep"))
+        large = written(part_of(keyed, hot, "inner").select("key", "taken", "fp", "rep", "n"), "large")
+        below = written(deeper(large, radius), "below")
+        pairs = below.groupBy("above", "key").agg(F.count(F.lit(1)).alias("m")).groupBy("above").agg(F.sum(F.col("m") * F.col("m")).alias("pairs"))
+        split = hot.join(pairs, F.col("key") == F.col("above")).where(F.col("pairs") * 2 < F.col("n") * F.col("n")).select("key")
+        split = written(split, "split")
+        # What further blocks don't part meets in pairs of parts.
+        whole = part_of(large, split, "left_anti").withColumn("parts", F.ceil(F.col("n") / shard))
         part = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts"))
-        other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        keyed = keyed.select("key", "fp", "rep", F.coalesce(part, F.lit(0)).alias("part"), other.alias("other")).select(
-            "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "fp", "rep"
-        )
-    else:
-        zero = F.lit(0).cast("long")
-        keyed = keyed.select("key", zero.alias("i"), zero.alias("j"), zero.alias("part"), "fp", "rep")
+        whole = whole.select("key", "fp", "rep", part.alias("part"), F.explode(F.sequence(zero, F.col("parts") - 1)).alias("other"))
+        done.append(whole.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "fp", "rep"))
+        keyed = below.join(F.broadcast(split) if split.count() <= BROADCAST_ROWS else split, F.col("above") == split["key"], "left_semi").select("key", "taken", "fp", "rep")
+    keyed = done[0]
+    for df in done[1:]:
+        keyed = keyed.unionByName(df)
     dealt = keyed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +216,7 @@ def with_fingerprint(df: DataFrame, text_col: str = "text", out: str = "fp") ->
 
     def make():
         def fn(b: pa.RecordBatch) -> list[pa.Array]:
-            prints = [fingerprint(t) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
-            return [pa.array([x - (x >> 63 << 64) for x in prints], pa.int64())]
+            return [pa.array([signed(fingerprint(t)) for t in column(b, text_col).to_pylist()], pa.int64())]
 
         return fn
 
@@ -187,15 +227,18 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFr
     """(doc_id, fp, root, component_id) for each row of docs; root is the smallest fingerprint of the group."""
     one = with_fingerprint(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).drop("text")
     one = written(one, "prints")
-    prints = written(one.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("least")), "reps")
-    # Fingerprints are the nodes, not ids: rows of different texts that share an id don't tie their groups together.
-    roots = components(near_links(prints.select("fp", F.col("fp").alias("rep")), radius), "a", "b")
-    prepare(docs.sparkSession)  # batches of texts again: the links are tables by now
-    named = written(prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
-    group = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    group = written(group.where("n > 1").drop("n"), "groups")
-    named = named.join(F.broadcast(group) if group.count() <= BROADCAST_ROWS else group, "root", "left")
-    return one.join(named.select("fp", "root", F.coalesce("component_id", "least").alias("component_id")), "fp", "left").select("doc_id", "fp", "root", "component_id")
+    prints = written(one.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "reps")
+    # Fingerprints are the nodes, not ids: rows of different texts that share an id don't tie their groups together. Those
+    # of rows without any id link nothing.
+    nodes = prints.where(F.col("least").isNotNull()).select("fp", F.col("fp").alias("rep"))
+    roots = components(near_links(nodes, radius), "a", "b")
+    named = written(prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "named")
+    group = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    group = written(group.where("m > 1").withColumnRenamed("root", "r"), "groups")
+    named = look_up(named, F.col("root"), group, "r", "m", F.col("fp"))
+    named = named.select(F.col("fp").alias("f"), "n", "root", F.coalesce("component_id", "least").alias("component_id"))
+    # Empty texts and large groups of copies share a fingerprint: such a key's rows stay where they are.
+    return look_up(one, F.col("fp"), written(named, "named"), "f", "n", F.col("doc_id"))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -217,12 +260,24 @@ def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group the row with the smallest id stays, once; rows without an id stay.
 
-    A row is told by its id and its fingerprint, as rows of different texts may share an id.
+    A row is told by its id and its fingerprint, as rows of different texts may share an id. Of rows that have both in
+    common the first one by text, then by all its columns as JSON, stays, in whatever order they come.
     """
     groups = _grouped(docs, "doc_id", "text", RADIUS).where(F.col("doc_id") == F.col("component_id"))
     kept, kept_fp, fp = (clean_name(docs, x) for x in ("kept_id", "kept_fp", "fp"))
     # All of a group's rows in groups have its smallest id.
-    best = written(groups.groupBy("root").agg(F.min("doc_id").alias(kept), F.min("fp").alias(kept_fp)), "kept")
-    named = docs.where(F.col("doc_id").isNotNull()).join(best.select(kept).distinct(), F.col("doc_id") == F.col(kept), "left_semi")
-    named = with_fingerprint(named, out=fp).join(best, (F.col("doc_id") == F.col(kept)) & (F.col(fp) == F.col(kept_fp)), "left_semi")
-    return named.dropDuplicates(["doc_id", fp]).select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    each = groups.groupBy("root", "fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    best = each.groupBy("root").agg(F.min(F.struct("fp", "doc_id", "n")).alias("b"))
+    best = written(best.select(F.col("b.doc_id").alias(kept), F.col("b.fp").alias(kept_fp), F.col("b.n").alias("n")), "kept")
+
+    def rows_of(chosen: DataFrame) -> DataFrame:
+        named = docs.where(F.col("doc_id").isNotNull()).join(chosen.select(kept).distinct(), F.col("doc_id") == F.col(kept), "left_semi")
+        return with_fingerprint(named, out=fp).join(chosen, (F.col("doc_id") == F.col(kept)) & (F.col(fp) == F.col(kept_fp)), "left_semi")
+
+    out = rows_of(best.where("n = 1")).select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    again = best.where("n > 1")
+    if again.isEmpty():
+        return out
+    nth = clean_name(docs, "nth")
+    order = Window.partitionBy("doc_id", fp).orderBy("text", F.to_json(F.struct(*docs.columns)))
+    return out.unionByName(rows_of(again).withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*docs.columns))

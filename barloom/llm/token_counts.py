@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import add_columns, table
+from barloom.llm.common import add_columns, column, table
 from barloom.llm.prefix_bpe import load
 
 #: Tokens that a context of the production model holds.
@@ -26,7 +26,7 @@ def count_tokens(df: DataFrame, text_col: str = "text", model: str | None = None
         bpe = load(model)
 
         def fn(b: pa.RecordBatch) -> list[pa.Array]:
-            texts = [t or "" for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
+            texts = [t or "" for t in column(b, text_col).to_pylist()]
             counts = [bpe.count(t) for t in texts]
             fits = [len(t) if n <= budget else bpe.cut(t, budget) for t, n in zip(texts, counts)]
             return [pa.array(counts, pa.int64()), pa.array(fits, pa.int64())]
