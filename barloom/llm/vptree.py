@@ -2,9 +2,9 @@
 
 Inner products become distances by one more component: a candidate x gets sqrt(M^2 - |x|^2), with M the largest norm, and
 a query gets 0, so all candidates have the same norm and the nearest has the largest inner product. Candidates are dealt
-to shards by a hash of their id; each shard has a tree; blocks of queries meet every shard. A subtree is passed over if
-the triangle inequality, tightened by 1/factor, says that it holds nothing nearer than a query's k-th so far: factor 1 is
-exact, less is faster and may miss. Scores are inner products of the original vectors.
+to shards by a hash of their id and each shard has a tree, built once; the queries stream past it in blocks. A subtree is
+passed over if the triangle inequality, tightened by 1/factor, says that it holds nothing nearer than a query's k-th so
+far: factor 1 is exact, less is faster and may miss. Scores are inner products of the original vectors.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import prepare, table
 
-#: Candidates in a shard and queries in a block, about: least and most, as a task holds one of each; vectors in a leaf.
-SHARD, BLOCK, LEAF = (8192, 65_536), (2048, 16_384), 128
+#: Candidates in a shard, about: least and most, as a task holds one; queries searched together; vectors in a leaf.
+SHARD, BLOCK, LEAF = (8192, 65_536), 2048, 128
+#: Queries that pass one tree. More of them than that are dealt to several tasks for each shard, each with a tree.
+PASS = 1 << 20
 K, FACTOR = 20, 0.8
 
 
@@ -29,9 +31,13 @@ def _dots(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 class VPTree:
-    """A tree over distinct vectors. copies[i]: ids that have vector i, ascending."""
+    """A tree over distinct vectors. copies[i]: ids that have vector i, ascending.
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, top: float, keep: int):
+    Distances are those of vectors divided by ``unit``, the largest absolute component of all, so that squares stay finite;
+    top is the largest norm of such vectors.
+    """
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, top: float, keep: int, unit: float = 1.0):
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], vectors[order]
         _, first, which = np.unique(vectors.view(f"V{vectors.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
@@ -40,8 +46,9 @@ class VPTree:
         cut = np.searchsorted(which[by], np.arange(len(first) + 1))
         # Of equal vectors no more than ``keep`` can be among the nearest: those with the smallest ids.
         self.copies = [ids[by[a : min(b, a + keep)]] for a, b in zip(cut[:-1], cut[1:])]
-        room = np.sqrt(np.maximum(top * top - (self.vector * self.vector).sum(axis=1), 0))
-        self.point = np.concatenate([self.vector, room[:, None]], axis=1)
+        scaled = self.vector / unit
+        room = np.sqrt(np.maximum(top * top - (scaled * scaled).sum(axis=1), 0))
+        self.point = np.concatenate([scaled, room[:, None]], axis=1)
         self.root = self._build(np.arange(len(first)))
 
     def _build(self, at: np.ndarray):
@@ -58,7 +65,8 @@ class VPTree:
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query place, id, score) of the k nearest of each query, its own id left out."""
-        q = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1)
+        # A query's length doesn't matter for which candidates are nearest.
+        q = np.concatenate([queries / np.abs(queries).max(axis=1, keepdims=True), np.zeros((len(queries), 1))], axis=1)
         norm = (self.point**2).sum(axis=1)
         qnorm = (q**2).sum(axis=1)
         room = k + 1  # a query's own vector takes a place
@@ -119,68 +127,91 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad & some)
 
 
-def nearest_neighbours(candidates: DataFrame, queries: DataFrame, k: int = K, factor: float = FACTOR, id_col: str = "vec_id", vector_col: str = "embedding", shard: int | None = None, block: int | None = None) -> DataFrame:
+def nearest_neighbours(candidates: DataFrame, queries: DataFrame, k: int = K, factor: float = FACTOR, id_col: str = "vec_id", vector_col: str = "embedding", shard: int | None = None, block: int = BLOCK, at_once: int = PASS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates with the largest inner product with each query.
 
     Nearest first, ties to the smaller id; candidates with the query's own id are left out. All are returned if there are
     fewer than k. Unusable vectors (see usable) take no part; vectors must have one length, and rows with another than the
-    most common are unusable too. Repeated candidate rows count once, as do repeated queries. Empty tables give an empty one.
+    most common are unusable too. Repeated candidate rows count once, as do repeated queries; of different vectors with one
+    id the smallest counts. Empty tables give an empty one. Distances tell inner products apart that differ by more than
+    about 1e-15 of the largest norm times the query's.
+
+    A candidate goes to one task for each ``at_once`` queries, a query to one task for each ``shard`` candidates.
     """
     spark = candidates.sparkSession
     prepare(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     c, q = usable(candidates, id_col, vector_col), usable(queries, id_col, vector_col)
-    sizes = c.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("sq")).orderBy(F.desc("n"), "d").limit(1).collect()
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    norm = largest * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / largest) * (x / largest)))
+    sizes = c.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("norm"), F.max(largest).alias("unit")).orderBy(F.desc("n"), "d").limit(1).collect()
     result = "query_id long, rank int, vec_id long, score double"
     if not sizes:
         return spark.createDataFrame([], result)
-    dim, n, top = sizes[0]["d"], sizes[0]["n"], sizes[0]["sq"] ** 0.5 * (1 + 1e-12)
+    dim, n, unit = sizes[0]["d"], sizes[0]["n"], sizes[0]["unit"]
+    top = min(sizes[0]["norm"] / unit * (1 + 1e-12), dim**0.5)
     q = q.where(F.size("v") == dim)
-    n_queries = q.count()
-    # Larger tables have larger shards and blocks, as every shard is sent to every block's tasks and the other way round.
+    # Larger tables have larger shards, as every query is sent to every shard.
     shard = shard or min(SHARD[1], max(SHARD[0], n // 64))
-    block = block or min(BLOCK[1], max(BLOCK[0], n_queries // 16))
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-n_queries // block))
-    # Every shard meets every block: a candidate goes to ``blocks`` tasks and a query to ``shards``.
+    shards, passes = max(1, -(-n // shard)), max(1, -(-q.count() // at_once))
     home = lambda salt, m: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(m)).cast("int")
     count_up = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     both = (
-        c.where(F.size("v") == dim).select(home(1, shards).alias("s"), count_up(blocks).alias("b"), F.lit(0).alias("is_query"), "vec_id", "v")
-        .unionByName(q.select(count_up(shards).alias("s"), home(2, blocks).alias("b"), F.lit(1).alias("is_query"), "vec_id", "v"))
+        c.where(F.size("v") == dim).select(home(1, shards).alias("s"), count_up(passes).alias("p"), F.lit(0).alias("is_query"), "vec_id", "v")
+        .unionByName(q.select(count_up(shards).alias("s"), home(2, passes).alias("p"), F.lit(1).alias("is_query"), "vec_id", "v"))
     )
-    dealt = both.repartition(max(1, min(shards * blocks, 100_000)), "s", "b").sortWithinPartitions("s", "b", "is_query", "vec_id")
+    cell = (F.col("s").cast("long") * passes + F.col("p")).alias("cell")
+    dealt = both.select(cell, "is_query", "vec_id", "v").repartition(max(1, min(shards * passes, 100_000)), "cell").sortWithinPartitions("cell", "is_query", "vec_id", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answer(c_ids, c_vec, q_ids, q_vec):
-            if not c_ids or not q_ids:
-                return None
-            ids, first = np.unique(np.concatenate(c_ids), return_index=True)
-            qi, qfirst = np.unique(np.concatenate(q_ids), return_index=True)
-            vec, qv = np.concatenate(c_vec)[first], np.concatenate(q_vec)[qfirst]
-            r, i, s = VPTree(ids, np.ascontiguousarray(vec), top, k + 1).search(qv, qi, k, factor)
-            return pa.RecordBatch.from_arrays([pa.array(qi[r]), pa.array(i), pa.array(s)], names=["query_id", "vec_id", "score"])
-
-        now, held = None, ([], [], [], [])
+        now, tree, ids, vectors = None, None, [], []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            """Search what queries are held; the held candidates are a tree by then, or there are none."""
+            if tree is not None and ids:
+                one, first = np.unique(np.concatenate(ids), return_index=True)
+                at, found, score = tree.search(np.concatenate(vectors)[first], one, k, factor)
+                yield pa.RecordBatch.from_arrays([pa.array(one[at]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
+            ids.clear()
+            vectors.clear()
+
+        asking, last = False, None
         for b in batches:
-            s, bl, isq = (b.column(x).to_numpy() for x in range(3))
-            vid = b.column(3).to_numpy()
-            col = b.column(4)
-            vec = col.flatten().to_numpy().reshape(-1, dim)
-            cell = s.astype(np.int64) << 32 | bl
-            cuts = np.r_[0, np.flatnonzero((cell[1:] != cell[:-1]) | (isq[1:] != isq[:-1])) + 1, len(cell)]
+            cells, kind, vid = (b.column(x).to_numpy() for x in range(3))
+            vec = b.column(3).flatten().to_numpy().reshape(-1, dim)
+            cuts = np.r_[0, np.flatnonzero((cells[1:] != cells[:-1]) | (kind[1:] != kind[:-1])) + 1, len(cells)]
             for a, e in zip(cuts[:-1], cuts[1:]):
                 if a == e:
                     continue
-                if cell[a] != now:
-                    if now is not None and (out := answer(*held)) is not None:
-                        yield out
-                    now, held = cell[a], ([], [], [], [])
-                held[2 * isq[a]].append(vid[a:e].copy())
-                held[2 * isq[a] + 1].append(vec[a:e].copy())
-        if now is not None and (out := answer(*held)) is not None:
-            yield out
+                if cells[a] != now:
+                    if asking:
+                        yield from flush()
+                    now, tree, asking, last = cells[a], None, False, None
+                    ids.clear()
+                    vectors.clear()
+                if kind[a] and not asking:
+                    if ids:
+                        one, first = np.unique(np.concatenate(ids), return_index=True)
+                        tree = VPTree(one, np.ascontiguousarray(np.concatenate(vectors)[first]), top, k + 1, unit)
+                    ids.clear()
+                    vectors.clear()
+                    asking = True
+                if asking:
+                    for x in range(a, e, block):
+                        y = min(e, x + block)
+                        new = vid[x:y] != last  # a repeated query that the block before ended with
+                        if sum(map(len, ids)) + y - x > block:
+                            yield from flush()
+                        ids.append(vid[x:y][new].copy())
+                        vectors.append(vec[x:y][new].copy())
+                        last = vid[y - 1]
+                else:
+                    ids.append(vid[a:e].copy())
+                    vectors.append(vec[a:e].copy())
+        if asking:
+            yield from flush()
 
     found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
+    # Each shard has sent k rows for a query at most.
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
