@@ -1,37 +1,41 @@
 """Operator 8: WARC archives, and an index merged from their sorted capture runs.
 
-Records are built by Spark expressions and written by Spark's own writer, so archives go wherever Spark can write: whole
-records one after the other, gzip-compressed, several files to a folder. Reading gives one capture run for each file. The
-runs are sorted by URL key and time, dealt to ranges of the key, and each range merges its parts of all runs with a loser
-tree; ranges follow one another, so the whole is in global order.
+Records are built by Spark expressions and written by Spark's own writer, so archives go wherever Spark can write. Each
+record is a gzip member of its own, so a record is read by seeking to its offset; a file ends with the record that takes
+it over FILE_BYTES. Reading gives one capture run for each file. The runs are sorted by URL key and time, dealt to ranges
+of the key, and each range merges its parts of all runs with a loser tree over cursors; ranges follow one another, so the
+whole is in global order.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
-import uuid
+import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import prepare, table, written
-from barloom.llm.components import BROADCAST_ROWS
-from barloom.session import shared_dir
+from barloom.llm.common import look_up, prepare, table, written
+from barloom.session import new_path
 
-#: Payloads from this size on are stored once; records in a file at most.
-LEAST_BYTES, FILE_RECORDS = 1000, 10_000
+#: Payloads from this size on are stored once; compressed bytes after which a file ends.
+LEAST_BYTES, FILE_BYTES = 1000, 32 << 20
+#: Captures in a range of the index, about, and in what a cursor reads at a time.
+RANGE_ROWS, CURSOR_ROWS = 200_000, 1024
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_ID = "urn:x-page:"
 FIRST_DATE = "2024-01-01T00:00:00Z"
 EOL = "\r\n"
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
-    """Write a WARC/1.1 record for each row of pages to files in the folder ``path``.
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", file_bytes: int = FILE_BYTES) -> None:
+    """Write a WARC/1.1 record for each row of pages to files below the folder ``path``.
 
     Of records with equal payloads of at least LEAST_BYTES bytes, the one with the largest id is a response and the others
     are revisits of it; all else is a response. A null payload is empty. A null url has no target header. The date of a
@@ -43,11 +47,10 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         {"bytes": F.octet_length("payload"), "digest": F.sha1(F.col("payload").cast("binary"))}
     )
     # Only payloads that come up twice or more: the table has a row for each group of copies.
-    first = written(
-        rows.where(F.col("bytes") >= LEAST_BYTES).groupBy("digest").agg(F.max("id").alias("rep"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col("rep").isNotNull()).select("digest", "rep"),
-        "copies",
-    )
-    rows = rows.join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, "digest", "left")
+    first = rows.where(F.col("bytes") >= LEAST_BYTES).groupBy("digest").agg(F.max("id").alias("rep"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col("rep").isNotNull())
+    first = written(first.withColumnRenamed("digest", "copied"), "copies")
+    # Short payloads have no key, so empty pages meet nobody.
+    rows = look_up(rows, F.when(F.col("bytes") >= LEAST_BYTES, F.col("digest")), first, "copied", "n", F.col("id"))
     revisit = F.col("rep").isNotNull() & ~F.col("id").eqNullSafe(F.col("rep"))
     name = lambda c: F.concat(F.lit(f"<{RECORD_ID}"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     second = F.unix_seconds(F.lit(FIRST_DATE).cast("timestamp")) + F.coalesce(F.col("id"), F.lit(0))
@@ -67,8 +70,50 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit(EOL),
     )
-    # A record ends with two line ends; the writer adds the last character.
-    rows.select(F.concat(head, block, F.lit(EOL + "\r")).alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records = rows.select(F.concat(head, block, F.lit(EOL * 2)).cast("binary").alias("value"))
+    prepare(pages.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = held = 0
+        for b in batches:
+            parts, members = [], []
+            for record in b.column(0):
+                # The writer ends each value with the line end that is set, which is one zero byte here. A member ends
+                # with its size, so with a zero byte if that is under 16 MB; else an empty member follows that does.
+                data = gzip.compress(record.as_buffer(), 6, mtime=0)
+                data = data[:-1] if not data[-1] else data + gzip.compress(b"", mtime=0)[:-1]
+                parts.append(part)
+                members.append(data)
+                held += len(data) + 1
+                if held >= file_bytes:
+                    part, held = part + 1, 0
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(members, pa.binary())], names=["part", "value"])
+
+    members = records.mapInArrow(run, "part int, value binary").select("part", F.col("value").cast("string").alias("value"))
+    members.write.partitionBy("part").option("lineSep", "\0").option("compression", "none").text(path)
+
+
+def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of the gzip members of a file, opened one after the other; empty ones count to what is before them."""
+    view, at, now = memoryview(data), 0, None
+    while at < len(view):
+        opened, parts, end = zlib.decompressobj(31), [], at
+        while not opened.eof and end < len(view):
+            parts.append(opened.decompress(view[end : end + 65536]))
+            end += len(view[end : end + 65536])
+        if not opened.eof:
+            raise ValueError(f"the member at {at} has no end")
+        end -= len(opened.unused_data)
+        content = b"".join(parts)
+        if content or now is None:
+            if now is not None:
+                yield now
+            now = at, end - at, content
+        else:
+            now = now[0], end - now[0], now[2]
+        at = end
+    if now is not None:
+        yield now
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -105,13 +150,12 @@ CAPTURE = T.StructType(
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """A row for each record of the archives in ``path``; offset and length are those in the uncompressed file.
+    """A row for each record of the archives below ``path``; offset and length are those of its gzip member in the file.
 
-    The payload's size and digest are those of the payload read, and for revisits, which have none, those in its headers. With
+    A file is one binary value of at most 2 GB; its records are opened one at a time. The payload's size and digest are those of the payload read, and for revisits, which have none, those in its headers. With
     payloads, a binary column ``payload`` holds it, null for revisits.
     """
     prepare(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a whole file
     fields = CAPTURE.fields + ([T.StructField("payload", T.BinaryType())] if payloads else [])
 
     def number(uri: str | None) -> int | None:
@@ -124,9 +168,9 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
 
         kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[{"bigint": "long"}.get(f.dataType.simpleString(), f.dataType.simpleString())] for f in fields]
         for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for name, content in ((x.as_py(), y.as_buffer()) for x, y in zip(b.column(0), b.column(1))):
                 rows = []
-                for at, size, h, block in parse_warc(gzip.decompress(content)):
+                for at, size, (_, _, h, block) in ((at, size, x) for at, size, record in members(content) for x in parse_warc(record)):
                     head, _, payload = block.partition(b"\r\n\r\n")
                     revisit = h["warc-type"] == "revisit"
                     if revisit:
@@ -138,13 +182,13 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
                             raise ValueError(f"{name}: the payload at {at} isn't what its digest says")
                     row = (number(h["warc-record-id"]), h.get("warc-target-uri"), h["warc-date"], n, digest, h["warc-type"], number(h.get("warc-refers-to")) if revisit else None, name, at, size)
                     rows.append(row + ((None if revisit else payload,) if payloads else ()))
-                    if len(rows) == 1000:
+                    if len(rows) == (10 if payloads else 1000):
                         yield out(rows)
                         rows = []
                 if rows:
                     yield out(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(run, T.StructType(fields))
 
 
@@ -157,10 +201,11 @@ def url_key(url):
 
 
 class LoserTree:
-    """Merges sorted runs: each inner node keeps the loser of its match, so a step replays one path from leaf to root."""
+    """Merges sorted runs, which are iterators: each inner node keeps the loser of its match, so a step replays one path from leaf to root."""
 
-    def __init__(self, runs: list[list[tuple]]):
-        self.runs, self.at = runs, [0] * len(runs)
+    def __init__(self, runs: list):
+        self.runs = [iter(r) for r in runs]
+        self.head = [next(r, None) for r in self.runs]
         self.n = max(1, len(runs))
         self.loser = [-1] * self.n
         for k in range(len(runs)):
@@ -170,11 +215,9 @@ class LoserTree:
         """Whether run a's head comes before run b's; an empty place wins while the tree fills, a finished run loses."""
         if a < 0 or b < 0:
             return a < 0
-        if self.at[a] == len(self.runs[a]):
-            return False
-        if self.at[b] == len(self.runs[b]):
-            return True
-        x, y = self.runs[a][self.at[a]], self.runs[b][self.at[b]]
+        x, y = self.head[a], self.head[b]
+        if x is None or y is None:
+            return x is not None
         return x < y or (x == y and a < b)
 
     def _replay(self, k: int) -> None:
@@ -188,44 +231,49 @@ class LoserTree:
     def __iter__(self) -> Iterator[tuple]:
         while self.runs:
             k = self.loser[0]
-            if self.at[k] == len(self.runs[k]):
+            if self.head[k] is None:
                 return
-            yield self.runs[k][self.at[k]]
-            self.at[k] += 1
+            yield self.head[k]
+            self.head[k] = next(self.runs[k], None)
             self._replay(k)
 
 
-def merge_index(captures: DataFrame) -> DataFrame:
+def merge_index(captures: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """captures (page_id, url, date, run and more) with url_key and history_rank, the place in the order by URL key, date and id.
 
-    Null ids come first; records that are equal in all three are in order of their run and offset.
+    Null ids come first; records that are equal in all three are in order of their run and offset. A range holds about
+    range_rows captures as Arrow columns, also of a URL that many have, as ranges are cut by all of the order; keys are
+    Python values only where a cursor is.
     """
     spark = captures.sparkSession
     prepare(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     keyed = captures.withColumn("url_key", url_key(F.col("url")))
     # Range bounds come from Spark's sample; each range then holds a sorted part of every run.
     order = ["url_key", "date", "page_id", "run", "offset"]
-    dealt = keyed.repartitionByRange(*order).sortWithinPartitions("run", *order[:3], "offset").withColumn("part", F.spark_partition_id())
+    ranges = max(1, -(-captures.count() // range_rows))
+    dealt = keyed.repartitionByRange(ranges, *order).sortWithinPartitions("run", *order[:3], "offset").withColumn("part", F.spark_partition_id())
     names = dealt.columns
     at = {c: names.index(c) for c in (*order, "part")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns: list[pa.RecordBatch] = list(batches)
-        if not columns:
+        if not (held := list(batches)):
             return
-        whole = pa.Table.from_batches(columns)
-        keys = [whole.column(at[c]).to_pylist() for c in order]
-        runs: list[list[tuple]] = []
-        last = None
-        for place, (key, date, page, name, offset) in enumerate(zip(*keys)):
-            if name != last or not runs:
-                runs.append([])
-                last = name
-            runs[-1].append((key, date, page is not None, page or 0, name, offset, place))
-        merged = pa.array([x[-1] for x in LoserTree(runs)], pa.int64())
-        out = whole.take(merged).append_column("pos", pa.array(range(len(merged)), pa.int64()))
-        yield from out.combine_chunks().to_batches(max_chunksize=10_000)
+        whole = pa.Table.from_batches(held).combine_chunks()
+        keys = whole.select([at[c] for c in order])
+        runs = keys.column(3).combine_chunks().dictionary_encode().indices.to_numpy()
+        cuts = [0, *(np.flatnonzero(runs[1:] != runs[:-1]) + 1).tolist(), len(runs)]
+
+        def cursor(a: int, e: int) -> Iterator[tuple]:
+            for x in range(a, e, CURSOR_ROWS):
+                part = keys.slice(x, min(CURSOR_ROWS, e - x))
+                for place, (key, date, page, name, offset) in enumerate(zip(*(c.to_pylist() for c in part.columns)), x):
+                    yield key, date, page is not None, page or 0, name, offset, place
+
+        merged = np.fromiter(map(itemgetter(-1), LoserTree([cursor(a, e) for a, e in zip(cuts, cuts[1:])])), np.int64, len(runs))
+        for x in range(0, len(merged), 10_000):
+            rows = merged[x : x + 10_000]
+            out = whole.take(pa.array(rows)).append_column("pos", pa.array(np.arange(x, x + len(rows))))
+            yield from out.combine_chunks().to_batches()
 
     merged = written(dealt.mapInArrow(run, T.StructType(dealt.schema.fields + [T.StructField("pos", T.LongType())])), "captures")
     # One number for each range: how many captures the ranges before it hold.
@@ -238,7 +286,7 @@ def merge_index(captures: DataFrame) -> DataFrame:
 
 
 def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/barloom/warc-{uuid.uuid4().hex}"
+    path = new_path(spark, "barloom/warc")
     write_warc(table(spark, sf_dir, "pages"), path)
     captures = written(read_warc(spark, path), "runs")
     return merge_index(captures).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "history_rank")
