@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from barloom.llm.common import add_columns, table
+from barloom.llm.common import add_columns, column, table
 
 BLANKS, SYMBOLS, WINDOW = " \t\n\x0b\x0c\r", "#*$%&|<>", 5
-#: Words that go through one suffix array, unless a single document has more.
-WORDS = 400_000
+#: Words that go through one suffix array, unless a single document has more; beyond so many words ranks of shorter runs aren't kept.
+WORDS, KEPT = 400_000, 1 << 21
 
 
 @dataclass(frozen=True)
@@ -37,8 +37,8 @@ class Rules:
     longest: int = 12
 
 
-def suffix_ranks(symbols: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """Ranks of all suffixes by their first 1, 2, 4, ... symbols, until no two are equal.
+def suffix_ranks(symbols: np.ndarray, ends: np.ndarray, keep: bool = True) -> list[np.ndarray]:
+    """Ranks of all suffixes by their first 1, 2, 4, ... symbols, until no two are equal; only the last without keep.
 
     symbols: the sequences one after the other, no symbol in two sequences; ends: for each place, where its sequence
     ends. Equal ranks at level k mean equal runs of 2**k symbols. A group's rank is the place of its first member in the
@@ -66,11 +66,12 @@ def suffix_ranks(symbols: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
         group = np.maximum.accumulate(np.where(first, at, 0))
         part = np.maximum.accumulate(np.where(new, at, 0))
         rank[active] = old + part - group
-        levels.append(rank.astype(np.int32))
+        if keep:
+            levels.append(rank.astype(np.int32))
         size = np.diff(np.r_[np.flatnonzero(new), len(active)])
         active = active[np.repeat(size, size) > 1]
         step *= 2
-    return levels
+    return levels if keep else [rank.astype(np.int32)]
 
 
 def longest_repeat_at(levels: list[np.ndarray], ends: np.ndarray, least: int) -> np.ndarray:
@@ -100,6 +101,30 @@ def longest_repeat_at(levels: list[np.ndarray], ends: np.ndarray, least: int) ->
     return out
 
 
+def walked_repeat_at(symbols: np.ndarray, rank: np.ndarray, ends: np.ndarray, least: int) -> np.ndarray:
+    """What longest_repeat_at gives, from the last ranks alone: place after place, a common prefix is one shorter at least than that of the place before."""
+    n = len(rank)
+    order = np.empty(n, np.int64)
+    order[rank] = np.arange(n)
+    out = np.zeros(n, np.int64)
+    sym, at, place, end, found = memoryview(np.ascontiguousarray(symbols)), memoryview(rank), memoryview(order), memoryview(np.ascontiguousarray(ends)), memoryview(out)
+    shared = 0
+    for i in range(n):
+        k = at[i]
+        if not k:
+            shared = 0
+            continue
+        j = place[k - 1]
+        most = min(end[i] - i, end[j] - j)
+        while shared < most and sym[i + shared] == sym[j + shared]:
+            shared += 1
+        if shared >= least:
+            found[i] = max(found[i], shared)
+            found[j] = max(found[j], shared)
+        shared = max(0, shared - 1)
+    return out
+
+
 def covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Which of n places lie in at least one of the spans."""
     change = np.zeros(n + 1, np.int64)
@@ -119,12 +144,13 @@ def repetition(docs: list[list[bytes]], least: int) -> tuple[np.ndarray, np.ndar
     codes, names = pd.factorize(flat)
     doc = np.repeat(np.arange(len(docs)), size)
     ends = np.repeat(np.cumsum(size), size)
-    levels = suffix_ranks(doc * np.int64(len(names)) + codes, ends)
+    symbols, kept = doc * np.int64(len(names)) + codes, total <= KEPT
+    levels = suffix_ranks(symbols, ends, kept)
 
     def per_doc(marks: np.ndarray) -> np.ndarray:
         return np.bincount(doc[marks], minlength=len(docs))
 
-    run = longest_repeat_at(levels, ends, min(WINDOW, least))
+    run = longest_repeat_at(levels, ends, min(WINDOW, least)) if kept else walked_repeat_at(symbols, levels[0], ends, min(WINDOW, least))
     window = np.flatnonzero(run >= WINDOW)
     in_window = per_doc(covered(total, window, np.full(len(window), WINDOW)))
     starts = np.flatnonzero(run >= least)
@@ -158,7 +184,7 @@ def repetition_rules(df: DataFrame, text_col: str = "text", rules: Rules = Rules
 
     def make():
         def fn(b: pa.RecordBatch) -> list[pa.Array]:
-            texts = [t or "" for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
+            texts = [t or "" for t in column(b, text_col).to_pylist()]
             words = [t.encode().split() for t in texts]
             n_words = np.array([len(w) for w in words], np.int64)
             chars = [len(t) - sum(map(t.count, BLANKS)) for t in texts]
