@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import bisect
 import struct
-import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm.common import prepare, table
-from barloom.session import shared_dir
+from barloom.session import new_path
 
 #: Ids in a block, unless one document has more; documents in a shard, about; beyond so many shards they grow instead.
 BLOCK_IDS, SHARD_DOCS, SHARDS = 1 << 20, 4096, 20_000
@@ -355,15 +355,17 @@ def write_token_file(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     Each row of the file is a block: shard, block in the shard, ids before it in the shard, its ids, its bytes. The order
     of (shard, block) is that of the ids. A null text is empty: it has the end id alone. Null ids come first; rows with
-    the same id come one after the other, in order of their ids' bytes. An empty table gives a file without blocks.
+    the same id come one after the other, in an order that only their token ids decide, and if they are many they take
+    several shards. An empty table gives a file without blocks.
     """
     spark = df.sparkSession
     prepare(spark)
-    n_docs = df.count()
-    shards = min(SHARDS, max(1, -(-n_docs // shard_docs)))
+    n_docs, n_ids = df.agg(F.count(F.lit(1)), F.count(id_col)).first()
+    shards = min(SHARDS, max(1, -(-n_ids // shard_docs)))
+    nulls = min(SHARDS, -(-(n_docs - n_ids) // shard_docs))
     cuts = [k / shards for k in range(1, shards)]
-    bounds = df.approxQuantile(id_col, cuts, 1 / (4 * shards)) if cuts else []
-    bounds = sorted({int(x) for x in bounds})
+    # A bound that comes up several times is an id with so many shards of its own.
+    bounds = sorted(int(x) for x in df.approxQuantile(id_col, cuts, 1 / (4 * shards))) if cuts and n_ids else []
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,9 +375,13 @@ def write_token_file(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
         def flush() -> pa.RecordBatch:
             part = pa.Table.from_batches(held).combine_chunks()
             held.clear()
-            docs, texts = part.column(0).combine_chunks(), part.column(1).combine_chunks()
-            shard = [0 if d is None else bisect.bisect_left(bounds, d) for d in docs.to_pylist()]
-            return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), docs, tok.encode_column(texts, end)], names=["shard", "doc_id", "ids"])
+            docs, ids = part.column(0).combine_chunks(), tok.encode_column(part.column(1).combine_chunks(), end)
+            shard = []
+            for k, d in enumerate(docs.to_pylist()):
+                least, above = (-nulls, 0) if d is None else (bisect.bisect_left(bounds, d), bisect.bisect_right(bounds, d))
+                spread = zlib.crc32(ids[k].as_buffer()) * (above - least) >> 32 if above - least > 1 else 0
+                shard.append(nulls + least + spread)
+            return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), docs, ids], names=["shard", "doc_id", "ids"])
 
         for b in batches:  # together as many as hold some text, so that distinct units are met once for all of it
             held.append(b)
@@ -384,7 +390,7 @@ def write_token_file(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
         if held:
             yield flush()
 
-    dealt = docs.mapInArrow(coded, "shard int, doc_id long, ids binary").repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    dealt = docs.mapInArrow(coded, "shard int, doc_id long, ids binary").repartitionById(nulls + shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load_tokenizer(model)
@@ -400,7 +406,7 @@ def write_token_file(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
             return row
 
         for b in batches:
-            for s, d, raw in zip(*(c.to_pylist() for c in b.columns)):
+            for s, d, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if s != shard:
                     if held:
                         yield flush()
@@ -418,9 +424,7 @@ def write_token_file(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     """All documents of a token file: doc_id, start (ids of all documents before it), n_tokens, ids (u32 bytes)."""
-    # A batch holds few blocks, each of about BLOCK_IDS symbols.
     prepare(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
     stored = spark.read.schema(WRITTEN).parquet(path)
     # One number for each shard, thousands of documents: where it begins.
     totals = stored.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()
@@ -431,8 +435,8 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for shard, before, data in zip(*(b.column(c).to_pylist() for c in ("shard", "before", "data"))):
-                block = Block(data)
+            for shard, before, data in zip(*(b.column(c) for c in ("shard", "before", "data"))):
+                shard, before, block = shard.as_py(), before.as_py(), Block(data.as_py())
                 start = first[shard] + before + np.cumsum(block.n_ids, dtype=np.int64) - block.n_ids
                 ids = block.all_ids()
                 for k in range(0, len(ids), 256):
@@ -448,6 +452,6 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
 
 def op10_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    path = f"{shared_dir(spark)}/barloom/token-file-{uuid.uuid4().hex}"
+    path = new_path(spark, "barloom/token-file")
     write_token_file(docs, path)
     return read_token_file(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
