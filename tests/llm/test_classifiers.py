@@ -1,10 +1,16 @@
 """Operators 2 and 6: gradients, held-out accuracy, odd rows."""
 
+import math
+import random
+import re
+import zlib
+
 import numpy as np
 import pytest
+import regex
 
-from barloom.llm.langid import UNKNOWN, ByteBiGRU, fit_langid, op2_language_id, predict_language
-from barloom.llm.quality_rank import CUT, FEATURES, fit_bradley_terry, fit_quality, op6_quality, score_quality, text_features
+from barloom.llm.langid import SEGMENT, UNKNOWN, ByteBiGRU, fit_langid, fit_on_documents, op2_language_id, predict_language
+from barloom.llm.quality_rank import CUT, FEATURES, fit_bradley_terry, fit_on_labels, fit_quality, op6_quality, score_quality, text_features
 from tests.llm.helpers import ROWS, docs, plain
 
 
@@ -96,3 +102,106 @@ def test_held_out_quality(spark):
     rows = [r for r in op6_quality(spark, sf).collect() if r.held_out and r.doc_id in truth]
     assert len(rows) > 40 and np.mean([truth[r.doc_id] == r.predicted for r in rows]) > 0.95
     assert plain(op6_quality(spark, sf), "doc_id", "score") == plain(op6_quality(spark, sf), "doc_id", "score")
+
+
+# --- both queries against plain loops ---
+
+
+def slow_language(net, text):
+    """One byte after the other, with nothing batched: (language, score)."""
+    if not text or not net.langs or not regex.search(r"\p{L}", text):
+        return UNKNOWN, 0.0
+    data, total = text.encode(), np.zeros(len(net.langs))
+    v, c = net.v.astype("f8"), net.c.astype("f8").ravel()
+
+    def states(d, part):
+        h, out, n = np.zeros(d.h), [], d.h
+        u = d.u.astype("f8")
+        for x in part:
+            w, r_ = d.w[:, x].astype("f8"), u @ h
+            z, r = (1 / (1 + np.exp(-(w[a : a + n] + r_[a : a + n]))) for a in (0, n))
+            cand = np.tanh(w[2 * n :] + r * r_[2 * n :])
+            h = z * h + (1 - z) * cand
+            out.append(h)
+        return out
+
+    for a in range(0, len(data), SEGMENT):
+        part = data[a : a + SEGMENT]
+        for f, b in zip(states(net.f, part), states(net.b, part[::-1])[::-1]):
+            p = np.exp(v @ np.concatenate([f, b]) + c)
+            total += p / p.sum()
+    k = int(total.argmax())
+    return net.langs[k], total[k] / len(data)
+
+
+def slow_features(text):
+    data = (text or "").encode()
+    if not data:
+        return [0.0] * len(FEATURES)
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    lines = [x for x in data.split(b"\n") if re.search(rb"[^\x20\x09-\x0D]", x)]
+    n, m = max(1, len(words)), max(1, len(lines))
+    share = lambda kind: math.sqrt(len(re.findall(kind, data)) / len(data))
+    kinds = [rb"[A-Z]", rb"[0-9]", rb"[.,;:]", rb"[!?]", rb"[|]", rb"[#*$%&<>]", rb"[\"'()\-/=@\[\]\\^_`{}~+]", rb"[ \t\r\v\f]", rb"[\x00-\x08\x0e-\x1f\x7f]"]
+    return [math.log(1 + len(words)), math.log(1 + len(data) / n), len(set(words)) / n**0.9, sum(a == b for a, b in zip(words, words[1:])) / n, math.log(1 + n / m), 1 - len(set(lines)) / m, *map(share, kinds)]
+
+
+def slow_quality(model, text):
+    z = [min(8.0, max(-8.0, (x - m) / s)) for x, m, s in zip(slow_features(text), model.mean, model.scale)]
+    return 1 / (1 + math.exp(-(sum(a * b for a, b in zip(z, model.weights)) - model.threshold + math.log(CUT / (1 - CUT)))))
+
+
+def test_op2_equals_a_loop_over_bytes(spark, sf):
+    net, texts = fit_on_documents(spark, sf), {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = op2_language_id(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        lang, score = slow_language(net, texts[r.doc_id])
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        assert r.lang_pred == lang and abs(r.score - score) < 2e-3
+
+
+def test_op6_equals_scalar_features(spark, sf):
+    model, texts = fit_on_labels(spark, sf), {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = op6_quality(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        assert np.allclose(text_features(texts[r.doc_id]), slow_features(texts[r.doc_id]))
+        score = slow_quality(model, texts[r.doc_id])
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert abs(r.score - score) < 1e-9 and (r.predicted == (score >= CUT) or abs(score - CUT) < 1e-9)
+
+
+def test_learned_weights_are_at_the_least_loss():
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((80, len(FEATURES)))
+    label = (x[:, 1] + rng.standard_normal(80) > 0).astype(int)
+    model = fit_bradley_terry(x, label, pairs=300, seed=3)
+    pick = np.random.default_rng(3)
+    good, bad = pick.choice(np.flatnonzero(label == 1), 300), pick.choice(np.flatnonzero(label == 0), 300)
+    z = np.clip((x - model.mean) / model.scale, -8, 8)
+
+    def loss(w):
+        return sum(math.log(1 + math.exp(-sum((z[a, k] - z[b, k]) * w[k] for k in range(len(w))))) for a, b in zip(good, bad)) / 300 + 0.5e-3 * sum(v * v for v in w)
+
+    best = loss(model.weights)
+    for k in random.Random(1).sample(range(len(FEATURES)), 5):
+        for step in (-0.05, 0.05):
+            w = model.weights.copy()
+            w[k] += step
+            assert loss(w) > best
+
+
+def test_rows_that_share_an_id_are_learned_once(spark):
+    rows = [(1, f"good text number {k} about nothing", "en", "a", 1, None, None) for k in range(50)] + [(2, "### $$$ |||", "en", "a", 1, None, None)]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    a, b = (fit_quality(docs(spark, r), labels) for r in (rows, rows[::-1]))
+    assert np.allclose(a.weights, b.weights) and a.threshold == b.threshold
+
+
+@pytest.mark.parametrize("name", ["Score", "LANG_PRED", "Predicted", "SCORE"])
+def test_clashing_names_in_any_case_are_replaced(spark, net, name):
+    rows = docs(spark).drop("score").withColumnRenamed("source", name)
+    out = score_quality(predict_language(rows, net), fit_quality(docs(spark), spark.createDataFrame([(1, 1), (5, 0)], "doc_id long, quality int")))
+    names = [c.lower() for c in out.columns]
+    assert len(set(names)) == len(names) and out.select("score", "predicted", "lang_pred").count() == len(ROWS)

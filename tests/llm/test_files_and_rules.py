@@ -1,23 +1,28 @@
 """Operators 1, 8 and 9, and the pipeline."""
 
+import collections
+import gzip
 import hashlib
 import math
+import os
 import random
 import re
 
 import numpy as np
+import public_tokenizers
 import pytest
+import sentencepiece
 
 import corpus_pipeline
-from barloom.llm.langid import fit_on_documents, predict_language
+from barloom.llm.langid import fit_on_documents
 from barloom.llm.mixing import mix_sources, op1_poisson_mix
-from barloom.llm.piece_codec import encode_pieces
-from barloom.llm.quality_rank import fit_on_labels, score_quality
-from barloom.llm.repetition import FIELDS, repetition, repetition_rules
-from barloom.llm.simhash import fingerprint
+from barloom.llm.quality_rank import fit_on_labels
+from barloom.llm import repetition as repetition_module
+from barloom.llm.repetition import FIELDS, Rules, op9_repetition_rules, repetition, repetition_rules
 from barloom.llm.warc import LoserTree, merge_index, op8_warc_index, parse_warc, read_warc, write_warc
 from tests.llm.helpers import ROWS, docs, plain
-from tests.llm.test_pairs import slow_groups
+from tests.llm.test_classifiers import slow_language, slow_quality
+from tests.llm.test_pairs import slow_fingerprint, slow_groups
 
 # --- repetition ---
 
@@ -48,6 +53,51 @@ def test_suffix_array_repeats_equal_brute_force():
             assert [tuple(map(int, x)) for x in zip(*repetition(batch, least))] == [slow_repetition(d, least) for d in batch]
 
 
+def test_repeats_of_very_long_texts_equal_those_of_short_ones(monkeypatch):
+    rng = random.Random(3)
+    batch = [[rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(rng.randint(0, 300))] for _ in range(20)] + [[b"x", b"y"] * 500]
+    want = repetition(batch, 8)
+    monkeypatch.setattr(repetition_module, "KEPT", 10)
+    assert all((a == b).all() for a, b in zip(repetition(batch, 8), want))
+
+
+def slow_rules(text, rules):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n, place = len(words), {}
+    run = [0] * n
+    for i in range(n - 4):  # longest repeats from places that share five words
+        place.setdefault(tuple(words[i : i + 5]), []).append(i)
+    for same in place.values():
+        for i in same:
+            for j in same:
+                if i != j:
+                    k = 5
+                    while max(i, j) + k < n and words[i + k] == words[j + k]:
+                        k += 1
+                    run[i] = max(run[i], k)
+    window = len({i + k for i in range(n) if run[i] for k in range(5)})
+    covered = len({i + k for i in range(n) if run[i] >= rules.least_words for k in range(run[i])})
+    longest = max([r for r in run if r >= rules.least_words], default=0)
+    failed = n < 10 or 100 * window > 20 * n
+    return n, window, covered, longest, failed, not failed and covered <= rules.covered * n and longest <= rules.longest
+
+
+def test_op9_over_the_smallest_tables(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = op9_repetition_rules(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        t = texts[r.doc_id] or ""
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (r.n_words, r.n_repeat_words, r.n_covered_words, r.longest_repeat, r.base_failed, r.kept) == slow_rules(t, Rules())
+        assert (r.word_chars, r.n_symbols, r.n_dup_lines) == (len(re.sub(r"[\x20\x09-\x0D]", "", t)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)))
+
+
+def test_clashing_names_in_any_case_are_replaced(spark):
+    out = repetition_rules(docs(spark).selectExpr("doc_id", "text", "1 AS Kept", "2 AS N_WORDS"))
+    assert len({c.lower() for c in out.columns}) == len(out.columns) and out.where("kept IS NOT NULL AND n_words >= 0").count() == len(ROWS)
+
+
 def test_rules_on_odd_rows(spark):
     extra = [(20, "a b c d e f " * 4 + "\n\nline\nline\n x", "en", "a", 1, "x", 1), (21, "one two three four five six seven eight nine ten eleven #|#", "en", "a", 1, None, None)]
     rows = [r for r in ROWS if r[0] != 5] + extra
@@ -121,6 +171,24 @@ def test_archives_on_odd_rows(spark, tmp_path):
         list(parse_warc(b"WARC/1.1\r\nContent-Length: 1\r\n\r\nab"))
 
 
+def test_records_are_members_at_their_offsets(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(k, f"http://h{k % 7}.example/p{k}", "".join(rng.choices("abcdefgh<>/ ", k=rng.randint(0, 4000)))) for k in range(300)] + [(900, "http://big.example/", "0123456789abcdef" * (18 << 16)), (901, None, "after")]
+    path = f"file://{tmp_path}/warc"
+    write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path, file_bytes=50_000)
+    got = read_warc(spark, path, payloads=True).collect()
+    assert {r.page_id: bytes(r.payload).decode() for r in got} == {i: h for i, _, h in rows} and len(got) == len(rows)
+    files = {r.run for r in got}
+    assert len(files) > 5 and all(os.path.getsize(f.removeprefix("file:")) < 60_000 for f in files)
+    for r in got:
+        with open(r.run.removeprefix("file:"), "rb") as f:
+            f.seek(r.offset)
+            [(_, _, headers, block)] = parse_warc(gzip.decompress(f.read(r.length)))
+        assert headers["warc-record-id"] == f"<urn:x-page:{r.page_id}>" and block.endswith(bytes(r.payload))
+    merged = merge_index(read_warc(spark, path), range_rows=40).orderBy("history_rank").collect()
+    assert [(r.url_key, r.page_id) for r in merged] == sorted((r.url_key, r.page_id) for r in merged) and [r.history_rank for r in merged] == list(range(1, len(rows) + 1))
+
+
 def test_op8_history_is_in_order(spark, sf):
     rows = op8_warc_index(spark, sf).orderBy("history_rank").collect()
     assert [(r.url_key, r.page_id) for r in rows] == sorted((r.url_key, r.page_id) for r in rows)
@@ -183,18 +251,26 @@ def test_mixture_is_shuffled_and_repeatable(spark, sf):
 # --- pipeline ---
 
 
-def test_pipeline_equals_its_steps_by_hand(spark, sf):
-    rows = spark.read.parquet(f"{sf}/documents.parquet")
-    columns = rows.columns
-    kept = predict_language(rows, fit_on_documents(spark, sf)).where("lang_pred <> 'und' AND score >= 0.3").select(*columns)
-    kept = score_quality(kept, fit_on_labels(spark, sf)).where("predicted = 1").select(*columns).collect()
-    comp = slow_groups([(r.doc_id, fingerprint(r.text)) for r in kept])
+def test_pipeline_equals_plain_loops(spark, sf):
+    """Only the two fitted models are the pipeline's own."""
+    net, model = fit_on_documents(spark, sf), fit_on_labels(spark, sf)
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    read = [(r, *slow_language(net, r.text)) for r in rows]
+    kept = [r for r, lang, score in read if lang != "und" and score >= 0.3]
+    kept = [r for r in kept if slow_quality(model, r.text) >= 0.3]
+    comp = slow_groups([(r.doc_id, slow_fingerprint(r.text)) for r in kept])
     kept = [r for r in kept if comp[r.doc_id] == r.doc_id]
-    mixed = mix_sources(spark.createDataFrame(kept, rows.schema)).select(*columns)
-    coded = encode_pieces(mixed)
-    want = sorted((r.doc_id, len(r.ids) // 4, hashlib.sha256(r.ids).hexdigest()) for r in coded.collect())
-    got = plain(corpus_pipeline.run(spark, sf), "doc_id", "n_tokens", "ids_sha256")
-    assert sorted(got) == want and 0 < len({d for d, _, _ in got}) < rows.count()
+    size = collections.Counter(r.source for r in kept)
+    all_ = sum(n**0.5 for n in size.values())
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = []
+    for r in kept:
+        rate = size[r.source] ** 0.5 / all_ * len(kept) / size[r.source]
+        u = int(hashlib.md5(f"17:{r.doc_id}:1".encode()).hexdigest()[:13], 16) / 2**52
+        ids = [1, *lib.encode(r.text), 2]
+        want += [(r.doc_id, r.source, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest())] * poisson(rate, u)
+    got = plain(corpus_pipeline.run(spark, sf), "doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert got == sorted(want, key=repr) and 0 < len({x[0] for x in got}) < len(rows)
 
 
 def test_stages_keep_the_columns(spark, sf):

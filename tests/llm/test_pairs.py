@@ -7,6 +7,7 @@ import pytest
 import xxhash
 
 from barloom.llm import simhash_dedup
+from barloom.llm.common import look_up
 from barloom.llm.components import components
 from barloom.llm.simhash import fingerprint
 from barloom.llm.simhash_dedup import BKTree, near_links, op5_simhash_bktree, shard_links, simhash_groups, stage_dedup
@@ -90,6 +91,34 @@ def test_links_over_shards_and_split_shards(spark, shard):
     assert {d: got.get(d, d) for d in want} == want
 
 
+def test_hot_shards_are_split_by_further_bits(spark):
+    """Fingerprints that share 30 bits, which further blocks part, and a dense ball, which they don't."""
+    rng = np.random.default_rng(4)
+    prints = set()
+    for _ in range(120):
+        fp = int(rng.integers(0, 1 << 34))
+        prints |= {fp, fp ^ 1 << int(rng.integers(0, 34)), fp ^ 31 << int(rng.integers(0, 20)), fp ^ 15 << int(rng.integers(0, 30))}
+    prints |= {(1 << 63) ^ sum(1 << int(k) for k in rng.integers(40, 64, rng.integers(0, 3))) for _ in range(60)}
+    prints = sorted(prints)
+    rows = [(fp - (fp >> 63 << 64), i) for i, fp in enumerate(prints)]
+    df = spark.createDataFrame(rows, "fp long, rep long")
+    got = {r.node: r.root for r in components(near_links(df, shard=16), "a", "b").collect()}
+    want = slow_groups(list(enumerate(prints)))
+    assert {d: got.get(d, d) for d in want} == want
+    hot = df.selectExpr("1L AS key", f"{-(1 << 34)} AS taken", "fp", "rep").where("fp >= 0")
+    below = simhash_dedup.deeper(hot, 4).groupBy("key").count().collect()
+    assert max(r["count"] for r in below) < hot.count() / 2
+
+
+def test_looking_up_hot_keys(spark):
+    left = spark.createDataFrame([(k, "hot" if k % 3 else f"k{k % 50}" if k % 2 else None) for k in range(600)], "id long, key string")
+    right = left.where("key IS NOT NULL").groupBy("key").count().selectExpr("key AS name", "count AS n", "length(key) AS size")
+    want = sorted((r.id, r.key, len(r.key) if r.key else None) for r in left.collect())
+    for few in (0, 1000):
+        got = look_up(left, left.key, right, "name", "n", left.id, few=few, hot=10)
+        assert got.columns == ["id", "key", "size"] and sorted(map(tuple, got.collect())) == want
+
+
 def test_components_of_chains_stars_and_nothing(spark):
     chain = [(i, i + 1) for i in range(20, 60)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3), (5, 4), (4, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect()}
@@ -125,6 +154,15 @@ def test_dedup_with_shared_ids_drops_only_texts_of_which_one_stays(spark):
     assert groups == {(d, fingerprint(texts[k])): least[k] for d, k in ids}
 
 
+def test_dedup_does_not_depend_on_the_order_of_rows(spark):
+    texts = ["alpha beta gamma delta epsilon zeta", "Alpha beta gamma delta epsilon zeta", "ALPHA beta  gamma delta epsilon zeta", "one two three four five six seven eight"]
+    rows = [(1, texts[1], "en", "b", 1, None, None), (1, texts[0], "en", "a", 1, None, None), (1, texts[2], "en", "c", 1, None, None), (1, texts[2], "de", "c", 1, None, None), (2, texts[3], None, None, 1, None, None), (2, texts[0], None, None, 1, None, None)]
+    for k in range(4):
+        order = rows[k:] + rows[:k]
+        got = stage_dedup(spark, spark.createDataFrame(order, docs(spark).schema).repartition(1 + k), None).collect()
+        assert sorted((r.doc_id, r.text, r.lang) for r in got) == [(1, min(texts[:3]), "de"), (2, texts[3], None)]
+
+
 def test_op5_against_all_pairs(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
     want = slow_groups([(r.doc_id, fingerprint(r.text)) for r in rows])
@@ -172,11 +210,12 @@ def test_search_on_odd_rows(spark):
     assert nearest_neighbours(df, df.limit(0), k=5).count() == 0
 
 
-def test_shards_and_blocks_do_not_change_exact_results(spark):
+@pytest.mark.parametrize("at_once", [30, 1 << 20])
+def test_shards_and_blocks_do_not_change_exact_results(spark, at_once):
     rng = np.random.default_rng(5)
     rows = [(int(i), rng.standard_normal(6).tolist()) for i in range(300)] + [(300 + i, [1.0] * 6) for i in range(80)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = [(r.query_id, r["rank"], r.vec_id) for r in nearest_neighbours(df, df.where("vec_id % 3 = 0"), k=4, factor=1.0, shard=50, block=30).orderBy("query_id", "rank").collect()]
+    got = [(r.query_id, r["rank"], r.vec_id) for r in nearest_neighbours(df, df.where("vec_id % 3 = 0"), k=4, factor=1.0, shard=50, block=7, at_once=at_once).orderBy("query_id", "rank").collect()]
     assert got == [x[:3] for x in slow_search(rows, [r for r in rows if r[0] % 3 == 0], 4)]
 
 
@@ -186,3 +225,14 @@ def test_op3_recall(spark, sf):
     got = [tuple(r) for r in op3_vptree_search(spark, sf).orderBy("query_id", "rank").collect()]
     hits = {(a, c) for a, _, c, _ in want} & {(a, c) for a, _, c, _ in got}
     assert len(got) == len(want) and len(hits) >= 0.95 * len(want)
+
+
+def test_search_with_huge_candidates_tiny_queries_and_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.standard_normal(4) * 1e200).tolist()) for i in range(60)]
+    rows += [(60, rows[3][1]), (60, rows[4][1])]
+    asked = [(i, (rng.standard_normal(4) * 1e-100).tolist()) for i in range(50, 70)]
+    df, q = (spark.createDataFrame(x, "vec_id long, embedding array<double>") for x in (rows, asked))
+    one = {i: min(v for j, v in rows if j == i) for i, _ in rows}
+    got = [tuple(r) for r in nearest_neighbours(df, q, k=3, factor=1.0, shard=9, block=4).orderBy("query_id", "rank").collect()]
+    assert got == slow_search(list(one.items()), asked, 3)

@@ -80,7 +80,19 @@ def test_queries_over_the_smallest_tables(spark, sf, lib):
     for r in op7_token_counts(spark, sf).collect():
         n = len(lib.encode(texts[r.doc_id]))
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 4096)
-    assert op4_sentencepiece(spark, sf).count() == len(texts)
+    got = op4_sentencepiece(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        ids = [lib.bos_id(), *lib.encode(texts[r.doc_id]), lib.eos_id()]
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
+
+
+def test_clashing_names_in_any_case_are_replaced(spark):
+    rows = docs(spark).selectExpr("doc_id", "text AS Text", "1 AS N_TOKENS", "2 AS IDS", "3 AS Decoded", "4 AS FIT_chars")
+    out = count_tokens(encode_pieces(rows))
+    assert sorted(c.lower() for c in out.columns) == ["decoded", "doc_id", "fit_chars", "ids", "n_tokens", "text"]
+    assert out.select("ids", "n_tokens", "decoded").count() == len(ROWS)
 
 
 # --- operator 10 ---
@@ -169,3 +181,17 @@ def test_grammar_leaves_no_repeated_pair():
         assert (flat[repair.spread(starts[seq], size[seq])] == ids).all() and ends.sum() == last.sum()
         uses = np.bincount(np.r_[seq, left, right].astype(np.int64), minlength=vocab + len(left))[vocab:]
         assert uses.min() >= 1
+
+
+def test_token_file_deals_many_rows_of_one_id_to_several_shards(spark, words, tmp_path):
+    rows = [(7 if k % 2 else None if k % 4 else k, f"text number {k} of them", None, None, None, None, None) for k in range(120)]
+    path = f"file://{tmp_path}/tokens"
+    repair.write_token_file(docs(spark, rows), path, shard_docs=10)
+    blocks = spark.read.parquet(path).collect()
+    ids_of = [set(repair.Block(bytes(b.data)).doc_id.tolist()) for b in sorted(blocks)]
+    assert sum(7 in x for x in ids_of) >= 4 and sum(repair.NULL_ID in x for x in ids_of) >= 3
+    got = repair.read_token_file(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda d: (d is not None, d))
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+    want = {np.array(words.encode(r[1], add_special_tokens=False).ids + [2], "<u4").tobytes() for r in rows}
+    assert {bytes(r.ids) for r in got} == want and len(got) == len(rows)
