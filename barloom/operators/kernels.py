@@ -10,7 +10,11 @@ import heapq
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from barloom.session import ship_package
 
@@ -104,6 +108,36 @@ def scan(bars: DataFrame, start: Callable[[], dict], step: Callable[[dict, tuple
     return bars.select(*dict.fromkeys([*keep, "symbol", "ts", *columns])).groupBy("symbol").applyInPandas(run, schema)
 
 
+def scan_stacked(parts: list[DataFrame], then: list[str], start: Callable[[], object], step: Callable[[object, dict], tuple[object, list[tuple]]], schema: str) -> DataFrame:
+    """Rows (symbol, *those of schema) that a step brings from the rows of several tables, in order of symbol and i.
+
+    Each part has symbol and i; of rows of one i those of an earlier part come first, then those with smaller ``then``.
+    Columns that only some parts have are null in the others. Rows stream past in Arrow batches, so memory holds a symbol's
+    state and not its history.
+    """
+    stacked = parts[0].withColumn("_k", F.lit(0))
+    for k, part in enumerate(parts[1:], 1):
+        stacked = stacked.unionByName(part.withColumn("_k", F.lit(k)), allowMissingColumns=True)
+    ship_package(stacked.sparkSession)
+    out = T.StructType([stacked.schema["symbol"], *T.StructType.fromDDL(schema).fields])
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol = state = None
+        begun = False
+        for b in batches:
+            rows = []
+            for row in b.to_pylist():
+                if not begun or row["symbol"] != symbol:
+                    symbol, state, begun = row["symbol"], start(), True
+                state, made = step(state, row)
+                rows += [(symbol, *m) for m in made]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    return stacked.repartition("symbol").sortWithinPartitions("symbol", "i", "_k", *then).mapInArrow(run, out)
+
+
 def parabolic_sar(bars: DataFrame) -> DataFrame:
     return scan(bars, sar_start, lambda s, v: sar_step(s, *v), ["high", "low"], f"symbol string, ts {dict(bars.dtypes)['ts']}, sar double, is_long boolean, flipped boolean")
 

@@ -135,10 +135,118 @@ def test_levels_merge_and_turn_once():
     book = L.LevelBook()
     book.pivot("peak", 100.0, 5, 10.0, 2.0)
     book.pivot("peak", 101.0, 15, 30.0, 2.0)
-    assert len(book.levels) == 1 and book.levels[0]["price"] == pytest.approx(100.75) and book.levels[0]["touches"] == 2
-    assert not book.close(102.5, 20) and len(book.close(102.5, 21)) == 1 and book.levels[0]["role"] == "support"
+    level = book.nearest(100.0, "resistance")
+    assert len(book) == 1 and level[0] == pytest.approx(100.75) and level[2] == 2
+    assert not book.close(102.5, 20) and book.close(102.5, 21) == 1 and book.nearest(105.0, "support") is level
     assert not book.close(90.0, 22) and not book.close(90.0, 23)
-    assert book.nearest(105.0, "support", False)["id"] == 1 and book.nearest(90.0, "support", False) is None
+    assert book.nearest(105.0, "support") is level and book.nearest(90.0, "support") is None and book.closest(90.0) == level[0]
+
+
+def slow_levels(rows, pivots, most=40):
+    """Every level looked at on every bar; rows: close, atr; pivots: bar -> (kind, price, place, volume)."""
+    held, out = [], []
+
+    def strength(v, now):
+        x = 0.5 * min(1, math.log(1 + v["touches"]) / math.log(6)) + 0.3 * 0.5 ** ((now - v["last"]) / 200) + 0.2 * min(1, (v["last"] - v["first"]) / 60)
+        return min(1, x * 1.1 if v["flipped"] else x)
+
+    for i, (close, atr) in enumerate(rows):
+        for kind, price, place, volume in pivots.get(i, ()):
+            near = next((v for v in held if abs(v["price"] - price) <= max(0.6 * atr, price * 0.0005)), None)
+            if near:
+                near["price"] = (near["price"] * near["volume"] + price * volume) / (near["volume"] + volume)
+                near["volume"] += volume
+                near["touches"] += 1
+                near["last"] = max(near["last"], place)
+            else:
+                held.append({"price": price, "role": "resistance" if kind == "peak" else "support", "touches": 1, "first": place, "last": place, "volume": volume, "flipped": False, "run": 0})
+                if len(held) > most:
+                    now = max(v["last"] for v in held)
+                    held = sorted(held, key=lambda v: -strength(v, now))[:most]
+        turned = 0
+        for v in held:
+            out_of = close > v["price"] * 1.01 if v["role"] == "resistance" else close < v["price"] * 0.99
+            v["run"] = v["run"] + 1 if out_of else 0
+            if v["run"] >= 2 and not v["flipped"]:
+                v.update(role="support" if v["role"] == "resistance" else "resistance", flipped=True, last=i, run=0)
+                turned += 1
+        row = []
+        for role, sign in (("resistance", 1), ("support", -1)):
+            v = min((v for v in held if v["role"] == role and (v["price"] - close) * sign > 0), key=lambda v: abs(v["price"] - close), default=None)
+            row += [None, None, None, None] if v is None else [v["price"], v["touches"], strength(v, i), abs(v["price"] - close) / atr if atr > 0 else None]
+        near = min((v["price"] for v in held), key=lambda p: abs(p - close), default=None)
+        out.append((*row, near, len(held), turned))
+    return out
+
+
+def test_levels_equal_a_book_that_looks_at_all(spark):
+    b = I.atr(bars(spark, walk(900, 21), spread=0.8))
+    pivots = K.swings(b)
+    rows = b.orderBy("ts").collect()
+    known = {}
+    for p in pivots.collect():
+        known.setdefault(p.confirmed_index, []).append((p.kind, p.price, p["index"], p.volume))
+    assert sum(map(len, known.values())) > 45
+    got = L.levels(b, pivots).orderBy("ts").collect()
+    want = slow_levels([(r.close, r.atr) for r in rows], known)
+    for g, (r, rt, rs, up, s, st, ss, down, near, n, flips) in zip(got, want, strict=True):
+        assert (g.resistance_touches, g.support_touches, g.n_levels, g.n_flips) == (rt, st, n, flips)
+        for a, c in ((g.resistance, r), (g.resistance_strength, rs), (g.headroom_up, up), (g.support, s), (g.support_strength, ss), (g.headroom_down, down), (g.nearest, near)):
+            assert a is None and c is None or a == pytest.approx(c, abs=1e-9)
+    assert sum(g.n_flips for g in got) > 0
+
+
+def test_a_full_book_drops_the_weakest():
+    rng = random.Random(6)
+    book, pivots = L.LevelBook(most=12), {}
+    rows = [(100 + 30 * math.sin(k / 9) + rng.gauss(0, 2), 0.4) for k in range(300)]
+    for k in range(300):
+        if k % 2:
+            pivots[k] = [(rng.choice(["peak", "trough"]), rng.uniform(60, 140), max(0, k - 3), float(rng.randint(1, 9)))]
+    for i, (want, (close, _)) in enumerate(zip(slow_levels(rows, pivots, 12), rows)):
+        for kind, price, place, volume in pivots.get(i, ()):
+            book.pivot(kind, price, place, volume, 0.4)
+        turned = book.close(close, i)
+        near = [book.nearest(close, role) for role in ("resistance", "support")]
+        assert (turned, len(book)) == (want[10], want[9])
+        assert [x and pytest.approx(x[0]) for x in near] == [want[0], want[4]]
+
+
+def test_trendlines_equal_plain_lines(spark):
+    b = I.atr(bars(spark, walk(900, 22), spread=0.8))
+    pivots = K.swings(b)
+    known = {p.confirmed_index: p for p in pivots.collect()}
+    rows, seen, live, fan, want, holding = b.orderBy("ts").collect(), {"peak": [], "trough": []}, {}, [], [], []
+    for i, r in enumerate(rows):
+        if i in known:
+            p = known[i]
+            seen[p.kind].append((p["index"], p.price))
+            kind = "uptrend" if p.kind == "trough" else "downtrend"
+            if len(seen[p.kind]) > 1:
+                (x1, y1), (x2, y2) = seen[p.kind][-2:]
+                if y1 != y2 and (y2 > y1) == (kind == "uptrend"):
+                    old = live.get(kind)
+                    same = old is not None and old[:2] == [x1, y1]
+                    live[kind] = [x1, y1, (y2 - y1) / (x2 - x1), *(old[3:5] if same else (2, False)), 0]
+                else:
+                    live.pop(kind, None)
+        for kind, line in live.items():
+            x1, y1, slope, touches, broken, run = line
+            if broken:
+                continue
+            value, up = y1 + slope * (i - x1), kind == "uptrend"
+            if abs((r.low if up else r.high) - value) <= 0.5 * r.atr:
+                line[3] += 1
+                want.append((r.ts, "touch", kind, line[3]))
+            line[5] = run + 1 if (r.close < value - abs(value) * 0.01 if up else r.close > value + abs(value) * 0.01) else 0
+            if line[5] >= 2:
+                line[4] = True
+                fan = (fan + [kind] if fan and fan[-1] == kind else [kind])[-3:]
+                want.append((r.ts, "fan_break" if len(fan) == 3 else "break", kind, line[3]))
+        holding.append((r.ts, sum(not x[4] for x in live.values()), len(fan)))
+    assert sorted((r.ts, r.event, r.kind, r.touches) for r in L.trendlines(b, pivots).collect()) == sorted(want)
+    assert [(r.ts, r.n_active, r.fan) for r in L.line_states(b, pivots).orderBy("ts").collect()] == holding
+    assert any(e == "break" for _, e, _, _ in want)
 
 
 def test_trendlines_touch_and_break():
@@ -269,12 +377,40 @@ def test_curves(spark):
     assert m.mean_r > 0 > m.risk_weighted_r and m.trades_without_risk == 1 and m.risk_dispersion == 5000
 
 
+def assert_two_states(x):
+    """The same fit, one return at a time."""
+    calm = [abs(v) <= np.quantile(np.abs(x), 0.7) for v in x]
+    parts = [[v for v, c in zip(x, calm) if c == k] for k in (True, False)]
+    state = [(len(p) / len(x), float(np.mean(p)), float(np.std(p, ddof=1))) for p in parts]
+    before = None
+    for rounds in range(1, 201):
+        share, now = [], 0.0
+        for v in x:
+            logs = [math.log(w) - math.log(s * math.sqrt(2 * math.pi)) - (v - m) ** 2 / (2 * s * s) for w, m, s in state]
+            top = max(logs)
+            now += top + math.log(sum(math.exp(a - top) for a in logs))
+            share.append(1 / (1 + math.exp(min(700, logs[0] - logs[1]))))
+        state = []
+        for part in ([1 - a for a in share], share):
+            mass = sum(part)
+            mean = sum(a * v for a, v in zip(part, x)) / mass
+            state.append((mass / len(x), mean, math.sqrt(sum(a * (v - mean) ** 2 for a, v in zip(part, x)) / mass)))
+        if before is not None and abs(now - before) < 1e-6:
+            break
+        before = now
+    fit = Q.fit_two_states(x)
+    assert fit["rounds"] == rounds and fit["mean"] == pytest.approx([m for _, m, _ in state], abs=1e-9) and fit["std"] == pytest.approx([s for _, _, s in state], rel=1e-6)
+    assert fit["states"].tolist() == [int(a > 0.5) for a in share] and fit["last"] == pytest.approx(share[-1], abs=1e-9)
+
+
 def test_distribution_and_regimes(spark):
     rows = [("k", float(x)) for x in np.linspace(-0.10, 0.10, 1001)]
     assert Q.distribution(spark.createDataFrame(rows, "k string, ret double"), "k").first().var_95 == pytest.approx(-0.09, abs=1e-3)
     rng = np.random.default_rng(8)
     fit = Q.fit_two_states(np.concatenate([rng.normal(0, 0.005, 600), rng.normal(0, 0.03, 600)]))
     assert fit["std"][1] / fit["std"][0] > 2 and fit["states"][-100:].mean() > 0.5 > fit["states"][:100].mean()
+    assert_two_states(np.concatenate([rng.normal(0, 0.005, 60), rng.normal(0.01, 0.03, 40)]))
+    assert_two_states(np.concatenate([rng.normal(0, 1e-4, 400), rng.normal(0, 5.0, 30)]))
     assert Q.deflated_sharpe(2.0, 1, 500) > Q.deflated_sharpe(2.0, 1000, 500) and Q.deflated_sharpe(1.0, 5, 5) == 0
     with pytest.raises(ValueError):
         Q.walk_forward(F.lit(10), 0, 1)
