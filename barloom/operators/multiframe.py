@@ -65,8 +65,9 @@ def checklist(df: DataFrame) -> DataFrame:
     """The 23 items of each bar in long form: number, weight, bias, confidence, status.
 
     df has a row for each bar with: ready, permitted, alignment, n_direction, direction, trend_confidence, pivots_used,
-    headroom_up, headroom_down, n_levels, line_bias, volume_ratio, retraced, leg_up, gap_bias, reversal_mass, reversal_net,
-    continuation_mass, continuation_net, n_patterns, ma_bias, ma_ready, rsi, rsi_ready, divergence_net, elliott_bias,
+    headroom_up, headroom_down, n_levels, line_bias, n_lines, volume_ratio, retraced, leg_up, gap_bias, and of the live
+    patterns of each family reversal_mass and continuation_mass (summed significance), _net (that with the patterns'
+    sides) and _n (how many); ma_bias, ma_ready, rsi, rsi_ready, bullish_divergences, bearish_divergences, elliott_bias,
     elliott_confidence, plus_di, minus_di, adx, dmi_ready, candle_bias, has_candle. A null stands for what isn't known.
     """
     zero, one = F.lit(0), F.lit(1.0)
@@ -78,24 +79,24 @@ def checklist(df: DataFrame) -> DataFrame:
     dmi = F.when((F.col("adx") > 20) & (F.abs(F.col("plus_di") - F.col("minus_di")) > 1e-9), F.signum(F.col("plus_di") - F.col("minus_di"))).otherwise(0)
 
     def mass(kind: str) -> tuple[Column, Column, Column]:
-        m, net = F.col(f"{kind}_mass"), F.col(f"{kind}_net")
-        return F.signum(net), F.least(F.coalesce(m / F.greatest(F.col("n_patterns"), F.lit(1)), zero), one), F.coalesce(m > 0, F.lit(False))
+        n = F.coalesce(f"{kind}_n", zero)
+        return F.signum(f"{kind}_net"), F.least(F.col(f"{kind}_mass") / F.greatest(n, F.lit(1)), one), n > 0
 
     items: dict[int, tuple] = {
         1: (F.col("permitted"), F.when(F.col("permitted") != 0, F.least(one, 2 * F.abs("alignment"))).otherwise(0.5), F.col("ready")),
         3: (F.col("permitted"), one, F.col("n_direction") > 0),
         4: (trend, F.col("trend_confidence"), F.col("pivots_used") >= 2),
         5: (F.when(up > down, 1).when(up < down, -1).otherwise(0), one, F.col("n_levels") > 0),
-        6: (F.col("line_bias"), one, F.col("line_bias").isNotNull()),
+        6: (F.col("line_bias"), one, F.col("n_lines") > 0),
         7: (F.when((vr >= 1.3) & (trend != 0), trend).when((vr < 0.7) & (trend > 0), -1).otherwise(0), one, vr.isNotNull()),
         8: (F.when(r < 0, leg).when(r.between(0.38, 0.62), leg).when(r > 0.66, -leg).otherwise(0), one, r.isNotNull()),
         9: (F.coalesce("gap_bias", zero), one, F.lit(True)),
         10: mass("reversal"),
         11: mass("continuation"),
-        12: (zero, one, F.coalesce(F.col("n_patterns") > 0, F.lit(False))),
+        12: (zero, one, F.coalesce("reversal_n", zero) + F.coalesce("continuation_n", zero) > 0),
         13: (F.col("ma_bias"), one, F.col("ma_ready")),
         14: (F.when(F.col("rsi") >= 70, -1).when(F.col("rsi") <= 30, 1).otherwise(0), one, F.col("rsi_ready")),
-        15: (F.signum(F.coalesce("divergence_net", zero)), one, F.lit(True)),
+        15: (F.signum(F.coalesce("bullish_divergences", zero) - F.coalesce("bearish_divergences", zero)), one, F.lit(True)),
         17: (F.col("elliott_bias"), F.col("elliott_confidence"), F.col("elliott_bias").isNotNull()),
         18: (zero, one, F.col("elliott_bias").isNotNull()),
         19: (zero, one, F.col("elliott_bias").isNotNull()),
@@ -111,17 +112,20 @@ def checklist(df: DataFrame) -> DataFrame:
 
 
 def verdict(items: DataFrame, state: DataFrame) -> DataFrame:
-    """One row for each bar: score, bias, coverage, agreement, conviction and blockers. state: symbol, ts, ready, permitted."""
+    """One row for each bar: score, bias, coverage, agreement, conviction and blockers. state: symbol, ts, ready, permitted.
+
+    agreement is the difference of the weights for and against over their sum; without a permitted direction no side is.
+    """
     on = F.col("status") == "answered"
     w = F.col("weight") * F.col("confidence")
     g = items.groupBy("symbol", "ts").agg(
         F.sum(F.when(on, F.col("bias") * w).otherwise(0.0)).alias("_s"), F.sum(F.when(on, w).otherwise(0.0)).alias("_w"), (F.count_if(on) / F.count(F.lit(1))).alias("coverage"),
-        F.count_if(on & (F.col("bias") > 0) & (F.col("weight") > 0)).alias("_up"), F.count_if(on & (F.col("bias") < 0) & (F.col("weight") > 0)).alias("_down"),
+        F.sum(F.when(on & (F.col("bias") > 0), w).otherwise(0.0)).alias("_up"), F.sum(F.when(on & (F.col("bias") < 0), w).otherwise(0.0)).alias("_down"),
     )
     g = g.withColumn("score", F.when(F.col("_w") <= 0, 0.0).otherwise(F.col("_s") / F.col("_w"))).join(state, ["symbol", "ts"])
     bias = F.when(F.col("score") >= 0.12, 1).when(F.col("score") <= -0.12, -1).otherwise(0)
-    agree = F.when(F.col("_up") + F.col("_down") == 0, 0.0).otherwise(F.greatest("_up", "_down") / (F.col("_up") + F.col("_down")))
+    agree = F.when(F.col("_up") + F.col("_down") <= 0, 0.0).otherwise(F.abs(F.col("_up") - F.col("_down")) / (F.col("_up") + F.col("_down")))
     g = g.withColumns({"bias": bias, "agreement": agree})
-    g = g.withColumn("conviction", F.abs("score") * (0.4 + 0.6 * F.col("coverage")) * (0.5 + 0.5 * F.col("agreement")))
-    blocked = F.array_compact(F.array(F.when(~F.col("ready"), "not ready"), F.when(F.col("coverage") < 0.55, "coverage"), F.when((F.col("bias") != 0) & (F.col("permitted") == -F.col("bias")), "higher timeframe")))
+    g = g.withColumn("conviction", F.least(F.lit(1.0), F.abs("score") * (0.4 + 0.6 * F.col("coverage")) * (0.5 + 0.5 * F.col("agreement"))))
+    blocked = F.array_compact(F.array(F.when(~F.col("ready"), "not ready"), F.when(F.col("coverage") < 0.55, "coverage"), F.when((F.col("bias") != 0) & (F.col("permitted") != F.col("bias")), "higher timeframe")))
     return g.withColumn("blockers", blocked).drop("_s", "_w", "_up", "_down", "ready", "permitted")

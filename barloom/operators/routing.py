@@ -144,39 +144,68 @@ def route(orders: DataFrame) -> DataFrame:
 
 
 def structure_signals(v: DataFrame) -> DataFrame:
-    """Opinions of the checklist and the structure agents in long form.
+    """Opinions of the checklist, the structure and the divergence agents in long form.
 
-    v: symbol, ts, bias, conviction, coverage, n_blockers, direction, health, permitted, headroom_up, headroom_down, adx,
-    retraced, rsi, divergence_net.
+    v, a row for each bar: symbol, ts, ready, permitted; the verdict's bias, score, agreement, conviction, coverage and
+    n_blockers; direction, health, trend_confidence, headroom_up, headroom_down, uptrend_touches, downtrend_touches, fan,
+    retraced, leg_up, adx, dmi_ready, rsi, bullish_divergences, bearish_divergences.
     """
+    zero, one, free = F.lit(0), F.lit(1.0), F.lit(float("inf"))
     trend = F.when(F.col("direction") == "up", 1).when(F.col("direction") == "down", -1).otherwise(0)
-    room = F.coalesce(F.when(trend > 0, F.col("headroom_up")).otherwise(F.col("headroom_down")), F.lit(float("inf")))
     check = (F.col("n_blockers") == 0) & (F.col("bias") != 0) & (F.col("conviction") >= 0.20) & (F.col("coverage") >= 0.55)
-    shape = (trend != 0) & (F.col("permitted") == trend) & (F.col("health") == "intact") & (room >= 1.5) & (F.coalesce("retraced", F.lit(0.0)) <= 0.66) & (F.col("adx") >= 20)
-    turn = F.signum("divergence_net")
-    div = (F.abs("divergence_net") >= 1) & (turn == -trend) & F.when(turn < 0, F.col("rsi") >= 60).otherwise(F.col("rsi") <= 40)
+    room = F.coalesce(F.when(trend > 0, F.col("headroom_up")).otherwise(F.col("headroom_down")), free)
+    touches = F.when(trend > 0, F.col("uptrend_touches")).otherwise(F.col("downtrend_touches"))
+    along = F.col("leg_up") == (trend > 0)
+    back = F.col("retraced")
+    # A leg of the trend that is more than two thirds undone ends the case; one between two fifths and three fifths is best.
+    pulled = F.when(along & back.between(0.40, 0.60), 0.25).when(along & back.between(0.0, 0.66), 0.10).otherwise(0.0)
+    drive = F.when(~F.col("dmi_ready"), 0.4).otherwise(0.4 + 0.6 * F.greatest(F.lit(0.0), F.least(one, (F.col("adx") - 20) / 20)))
+    sure = clamp(F.col("trend_confidence") * drive, 0.0, 1.0)
+    shape = F.col("ready") & (trend != 0) & (F.col("permitted") == trend) & F.col("health").isin("intact", "confirmed") & (room >= 1.5) & (F.coalesce("fan", zero) < 3)
+    shape = shape & ~F.coalesce(along & (back > 0.66), F.lit(False)) & (~F.col("dmi_ready") | (F.col("adx") >= 20)) & (sure > 0.05)
+    strength = F.least(one, 0.45 + F.least(F.lit(0.25), 0.08 * F.coalesce(touches, zero)) + pulled)
+    up, down = F.coalesce("bullish_divergences", zero), F.coalesce("bearish_divergences", zero)
+    turn, n = F.when(up > down, 1).otherwise(-1), F.when(up > down, up).otherwise(down)
+    div = F.col("ready") & (n >= 2) & (trend == -turn) & F.when(turn < 0, F.col("rsi") >= 60).otherwise(F.col("rsi") <= 40)
+
+    def opinion(holds, agent: str, score, confidence, horizon: int):
+        return F.when(F.coalesce(holds, F.lit(False)), F.struct(F.lit(agent).alias("agent"), score.cast("double").alias("score"), confidence.cast("double").alias("confidence"), F.lit(horizon).alias("horizon")))
+
     each = F.array_compact(F.array(
-        F.when(check, F.struct(F.lit("checklist").alias("agent"), (F.col("bias") * F.least(F.lit(1.0), 2 * F.col("conviction"))).cast("double").alias("score"), clamp(F.col("conviction"), 0.0, 1.0).alias("confidence"), F.lit(48).alias("horizon"))),
-        F.when(F.coalesce(shape, F.lit(False)), F.struct(F.lit("structure").alias("agent"), (trend * F.least(F.lit(1.0), F.col("adx") / 40)).cast("double").alias("score"), F.least(F.lit(1.0), 0.5 + room / 10).alias("confidence"), F.lit(36).alias("horizon"))),
-        F.when(F.coalesce(div, F.lit(False)), F.struct(F.lit("divergence").alias("agent"), (turn * 0.6).cast("double").alias("score"), F.lit(0.5).alias("confidence"), F.lit(18).alias("horizon"))),
+        opinion(check, "checklist", F.col("score"), F.least(one, 0.35 + 0.65 * F.col("agreement")), 48),
+        opinion(shape, "structure", trend * strength, sure, 36),
+        opinion(div, "divergence", turn * 0.5, F.least(F.lit(0.7), 0.25 + 0.15 * n), 18),
     ))
     return v.select("symbol", "ts", F.inline(each))
 
 
-def formation_signals(bars: DataFrame, patterns: DataFrame, candles: DataFrame, waves: DataFrame) -> DataFrame:
+def formation_signals(bars: DataFrame, living: DataFrame, candles: DataFrame, waves: DataFrame) -> DataFrame:
     """Opinions of the agents that read patterns, candles and wave counts, in long form.
 
-    bars: symbol, ts, close, atr, level (the nearest one). patterns: life events with significance and volume_ok. candles:
-    signals. waves: best counts by time with bias and confidence.
+    bars: symbol, ts, ready, permitted, close, atr, nearest (level). living: patterns.live. candles: signals. waves: the best
+    count as known on each bar, with its bias (1, -1, 0), confidence and n_violations.
     """
-    rr = F.abs(F.col("objective") - F.col("boundary")) / F.nullif(F.abs(F.col("boundary") - F.col("stop")), F.lit(0.0))
-    p = patterns.where(F.col("stage").isin("complete", "return_move", "resumed") & (F.col("significance") >= 0.35) & (rr >= 3) & F.col("volume_ok"))
-    p = p.groupBy("symbol", "ts").agg(F.sum(F.col("significance") * F.col("bias")).alias("_s"), F.sum("significance").alias("_w"))
-    p = p.where("_w > 0").select("symbol", "ts", F.lit("patterns").alias("agent"), (F.col("_s") / F.col("_w")).alias("score"), F.least(F.col("_w"), F.lit(1.0)).alias("confidence"), F.lit(12).alias("horizon"))
-    c = candles.where("bias <> 0 AND strength >= 0.55 AND sessions >= 2").join(bars.select("symbol", "ts", "close", "atr", "level"), ["symbol", "ts"])
-    c = c.where((F.col("atr") > 0) & (F.abs(F.col("close") - F.col("level")) <= F.col("atr")))
-    c = c.groupBy("symbol", "ts").agg(F.max_by(F.struct("bias", "strength"), F.struct("strength", "sessions")).alias("b"))
-    c = c.select("symbol", "ts", F.lit("candles").alias("agent"), F.col("b.bias").cast("double").alias("score"), F.col("b.strength").alias("confidence"), F.lit(8).alias("horizon"))
-    w = waves.where("bias <> 'neutral' AND confidence >= 0.6 AND n_violations = 0")
-    w = w.select("symbol", "ts", F.lit("waves").alias("agent"), F.when(F.col("bias") == "bullish", 1.0).otherwise(-1.0).alias("score"), "confidence", F.lit(60).alias("horizon"))
+    from barloom.bars import numbered
+    from barloom.operators import patterns as P
+
+    state = bars.where("ready").select("symbol", "ts", "permitted")
+    sig, bias = F.col("significance"), F.col("bias")
+    met = (F.col("objective") > 0) & F.when(bias > 0, F.col("high") >= F.col("objective")).otherwise(F.col("low") <= F.col("objective"))
+    fresh = living.where((sig >= 0.35) & (P.reward_risk(F.col("objective"), F.col("broke_at"), F.col("stop")) >= 3) & P.volume_confirms(bias, F.col("volume_ratio")) & (F.col("i") - F.col("breakout_index") <= 20) & ~met)
+    lead = F.max_by(F.struct("bias", "significance", "stage", (F.col("end_index") - F.col("first_index")).alias("bars")), F.struct("significance", "detected_index", "id"))
+    p = fresh.groupBy("symbol", "ts").agg(lead.alias("b"), F.sum(F.when(bias > 0, sig).otherwise(0.0)).alias("up"), F.sum(F.when(bias < 0, sig).otherwise(0.0)).alias("down")).join(state, ["symbol", "ts"])
+    p = p.withColumn("consensus", F.col("b.bias") * (F.col("up") - F.col("down")) / (F.col("up") + F.col("down"))).where("permitted = b.bias AND consensus > 0")
+    p = p.withColumn("confidence", clamp(F.col("b.significance") * F.col("consensus") + F.when(F.col("b.stage") == "return_move", 0.1).otherwise(0.0), 0.0, 1.0)).where("confidence >= 0.1")
+    p = p.select("symbol", "ts", F.lit("patterns").alias("agent"), (F.col("b.bias") * F.least(F.lit(1.0), 0.5 + 0.5 * F.col("consensus"))).alias("score"), "confidence", F.greatest(F.lit(12), F.col("b.bars")).alias("horizon"))
+    # A candle counts on its bar and the three after it.
+    at = numbered(bars).select("symbol", "ts", "i")
+    c = candles.where("bias <> 0 AND strength >= 0.55 AND sessions >= 2").join(at, ["symbol", "ts"]).withColumn("i", F.explode(F.sequence(F.col("i"), F.col("i") + 3))).drop("ts")
+    # Of equal ones the one that came first counts.
+    c = c.join(at, ["symbol", "i"]).groupBy("symbol", "ts").agg(F.max_by(F.struct("bias", "strength", "sessions"), F.struct("strength", "sessions")).alias("b"))
+    c = c.join(bars.where("ready AND atr > 0").select("symbol", "ts", "permitted", "close", "atr", "nearest"), ["symbol", "ts"])
+    c = c.where((F.col("permitted") == F.col("b.bias")) & (F.abs(F.col("close") - F.col("nearest")) <= F.col("atr")))
+    sure = F.least(F.lit(1.0), F.col("b.strength") * (0.7 + 0.1 * F.col("b.sessions")))
+    c = c.select("symbol", "ts", F.lit("candles").alias("agent"), (F.col("b.bias") * F.least(F.lit(1.0), 0.4 + 0.4 * F.col("b.strength"))).alias("score"), sure.alias("confidence"), F.lit(8).alias("horizon"))
+    w = waves.where("bias <> 0 AND confidence >= 0.6 AND n_violations = 0").join(state, ["symbol", "ts"]).where("permitted = bias")
+    w = w.select("symbol", "ts", F.lit("waves").alias("agent"), (0.5 * F.col("bias")).alias("score"), F.least(F.lit(1.0), 0.8 * F.col("confidence")).alias("confidence"), F.lit(60).alias("horizon"))
     return p.unionByName(c).unionByName(w)

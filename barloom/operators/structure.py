@@ -126,6 +126,16 @@ def divergence(pivots: DataFrame, bars: DataFrame, oscillator: str) -> DataFrame
     return df.withColumn("bias", F.when(bearish, "bearish").when(bullish, "bullish")).where("bias IS NOT NULL")
 
 
+def divergence_counts(pivots: DataFrame, bars: DataFrame, oscillators: list[str]) -> DataFrame:
+    """Each pivot with how many oscillators at its confirmation went the other way than price since the pivot of its kind before."""
+    osc = numbered(bars).select("symbol", F.col("i").alias("confirmed_index"), *oscillators)
+    w = Window.partitionBy("symbol", "kind").orderBy("confirmed_index")
+    peak, before = F.col("kind") == "peak", F.lag("price").over(w)
+    beyond = F.when(peak, F.col("price") > before).otherwise(F.col("price") < before)
+    against = [F.when(F.when(peak, F.col(o) < F.lag(o).over(w)).otherwise(F.col(o) > F.lag(o).over(w)), 1).otherwise(0) for o in oscillators]
+    return pivots.join(osc, ["symbol", "confirmed_index"]).withColumn("diverging", F.when(beyond, sum(against[1:], against[0])).otherwise(0))
+
+
 def extremes_since_pivot(bars: DataFrame, pivots: DataFrame) -> DataFrame:
     """Highest high and lowest low of each symbol since the last pivot was known, the bar that made it known included."""
     known = pivots.select("symbol", F.col("confirmed_index").alias("i"), F.lit(1).alias("_p"))

@@ -21,21 +21,36 @@ from barloom.plans.registry import query
 from barloom.session import materialise
 
 
-def found(b: DataFrame, pivots: DataFrame) -> DataFrame:
-    return P.recognise(pivots, b).unionByName(P.flags(b)).unionByName(P.spikes(b, S.reversal_bars(b), pivots))
+def found(b: DataFrame, pivots: DataFrame, trend: str | None = None) -> DataFrame:
+    return P.recognise(pivots, b, trend=trend).unionByName(P.flags(b)).unionByName(P.spikes(b, S.extremes_since_pivot(b, pivots), pivots))
+
+
+def trended(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Bars with their ATR and the trend's sign, and pivots, both as tables."""
+    b = materialise(I.atr(bars(spark, sf)), "bars")
+    pivots = materialise(K.swings(b), "pivots")
+    way = S.dow_trend(b, pivots).select("symbol", "ts", M.sign_of(F.col("direction")).alias("way"))
+    return materialise(b.join(way, ["symbol", "ts"]), "trended"), pivots
 
 
 @query()
 def patterns(spark: SparkSession, sf: str) -> DataFrame:
-    b = I.atr(bars(spark, sf))
-    return rounded(found(b, K.swings(b)))
+    b, pivots = trended(spark, sf)
+    return rounded(found(b, pivots, "way").withColumn("points", F.array_join("points", ",")))
 
 
 @query()
 def pattern_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
-    b = I.atr(bars(spark, sf))
-    b = materialise(b, "bars")
-    return rounded(P.lifecycle(materialise(found(b, K.swings(b)), "patterns"), b))
+    b, pivots = trended(spark, sf)
+    return rounded(P.lifecycle(materialise(found(b, pivots, "way"), "patterns"), b))
+
+
+@query()
+def live_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """The significance of each live pattern on every bar, and what all of them say together."""
+    b, pivots = trended(spark, sf)
+    living = materialise(P.live(P.lifecycle(materialise(found(b, pivots, "way"), "patterns"), b), b), "living")
+    return rounded(living.select("symbol", "ts", "id", "pattern", "stage", "bias", "significance").join(P.pattern_bias(living), ["symbol", "ts"], "left"))
 
 
 @query()
@@ -44,41 +59,52 @@ def frame_stack(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("symbol", "ts", "direction", "permitted", F.round("alignment", 6).alias("alignment"), "n_direction")
 
 
-def evidence(spark: SparkSession, sf: str) -> DataFrame:
-    """The wide row of each bar that the checklist reads."""
+def study(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """What the checklist and the agents read: ``evidence``, a wide row for each bar, ``living`` patterns and candle ``signals``."""
     b = B.event_bars(spark, sf).select(*B.BAR)
     # Many operators read the same bars and pivots: both are tables, so each is computed once.
     b = materialise(b, "bars")
-    a = materialise(I.dmi(I.rsi(I.atr(M.ma_slope_bias(b)))), "features")
-    stack = materialise(M.frame_stack(b).select("symbol", "ts", "direction", "health", F.col("confidence").alias("trend_confidence"), "pivots_used", "permitted", "alignment", "n_direction"), "stack")
-    pivots = materialise(K.swings(a), "pivots")
     keys = ["symbol", "ts"]
-    lv = L.levels(a, pivots).select(*keys, "headroom_up", "headroom_down", "n_levels")
-    last_leg = S.legs(pivots).select("symbol", "ts", F.struct(F.col("start_price").alias("start"), F.col("price").alias("end"), "is_up").alias("leg"))
-    lines = L.trendlines(a, pivots).where("valid AND event = 'touch'").groupBy(*keys).agg(F.max_by(F.when(F.col("kind") == "uptrend", 1).otherwise(-1), "touches").alias("line_bias"))
-    div = S.divergence(pivots, a.withColumn("osc", F.col("rsi")), "osc").groupBy(*keys).agg(F.sum(F.when(F.col("bias") == "bullish", 1).otherwise(-1)).alias("divergence_net"))
-    ell = W.elliott_best(W.elliott_counts(pivots)).join(pivots.select("symbol", "confirmed_index", "ts"), ["symbol", "confirmed_index"]).select(*keys, F.struct(F.when(F.col("bias") == "bullish", 1).when(F.col("bias") == "bearish", -1).otherwise(0).alias("bias"), "confidence").alias("ell"))
-    trend = b.withColumn("prior_trend", F.coalesce(F.signum(F.lag("close", 1).over(B.by_symbol()) - F.lag("close", 6).over(B.by_symbol())), F.lit(0.0)).cast("int"))
+    stack = materialise(M.frame_stack(b).select(*keys, "direction", "health", F.col("confidence").alias("trend_confidence"), "pivots_used", "permitted", "alignment", "n_direction"), "stack")
+    a = I.stochastic(I.macd(I.dmi(I.rsi(I.atr(M.ma_slope_bias(b))))))
+    a = materialise(a.join(stack.select(*keys, M.sign_of(F.col("direction")).alias("way")), keys), "features")
+    pivots = materialise(K.swings(a), "pivots")
+    lv = L.levels(a, pivots).select(*keys, "headroom_up", "headroom_down", "nearest", "n_levels")
+    lines = L.line_states(a, pivots).select(*keys, "line_bias", F.col("n_active").alias("n_lines"), "uptrend_touches", "downtrend_touches", "fan")
+    last_leg = S.legs(pivots).select(*keys, F.struct(F.col("start_price").alias("start"), F.col("price").alias("end"), "is_up").alias("leg"))
+    ell = W.elliott_best(W.elliott_counts(pivots)).join(pivots.select("symbol", "confirmed_index", "ts"), ["symbol", "confirmed_index"])
+    ell = ell.select(*keys, F.struct(F.when(F.col("bias") == "bullish", 1).when(F.col("bias") == "bearish", -1).otherwise(0).alias("bias"), "confidence", "n_violations").alias("ell"))
+    div = materialise(S.divergence_counts(pivots, a, ["rsi", "macd", "slow_k"]), "divergences")
+    trend = a.withColumn("prior_trend", F.col("way"))
     signals = materialise(C.candle_signals(trend), "candles")
     nb = C.net_bias(trend, signals).withColumnRenamed("net_bias", "candle_bias")
     has = signals.groupBy(*keys).agg(F.lit(True).alias("has_candle"))
-    born = materialise(found(a, pivots), "patterns")
-    pat = P.lifecycle(born, a).where("stage IN ('complete', 'return_move', 'resumed')")
+    living = materialise(P.live(P.lifecycle(materialise(found(a, pivots, "way"), "patterns"), a), a), "living")
     reversal = F.col("pattern").isin([k for k, (_, r) in P.KINDS.items() if r])
-    pat = pat.groupBy(*keys).agg(*[f(F.when(reversal if kind == "reversal" else ~reversal, v)).alias(f"{kind}_{name}") for kind in ("reversal", "continuation") for f, v, name in ((F.count, F.lit(1), "mass"), (F.sum, F.col("bias"), "net"))], F.count(F.lit(1)).alias("n_patterns"))
-    gaps = S.gaps(a).select(*keys, F.when(F.col("up"), 1).otherwise(-1).alias("gap_bias"))
-    ell = materialise(ell, "waves")
-    df = a.join(stack, keys).join(lv, keys).join(lines, keys, "left").join(div, keys, "left").join(nb, keys).join(has, keys, "left").join(pat, keys, "left").join(gaps, keys, "left")
+    of = {"reversal": reversal, "continuation": ~reversal}
+    sig = F.col("significance")
+    pat = living.groupBy(*keys).agg(*[f.alias(f"{k}_{n}") for k, on in of.items() for n, f in (("mass", F.sum(F.when(on, sig))), ("net", F.sum(F.when(on, sig * F.col("bias")))), ("n", F.count_if(on)))])
+    gaps = materialise(S.gaps(a), "gaps")
+    # An exhaustion gap comes at the end of its move.
+    way = F.when(F.col("up"), 1).otherwise(-1) * F.when(F.col("type") == "exhaustion", -1).otherwise(1)
+    gap_sides = gaps.select(*keys, "up").join(S.typed_gaps(gaps, a, pivots), keys).select(*keys, way.alias("gap_bias"))
+    df = a.join(stack, keys).join(lv, keys).join(lines, keys).join(nb, keys).join(has, keys, "left").join(pat, keys, "left").join(gap_sides, keys, "left")
     df = materialise(df, "joined")
     df = B.as_of(df, last_leg, ["symbol"], "ts", ["leg"])
-    df = B.as_of(df, ell, ["symbol"], "ts", ["ell"])
-    recent = B.by_symbol().rowsBetween(-20, 0)
-    carry = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    df = B.as_of(df, materialise(ell, "waves"), ["symbol"], "ts", ["ell"])
+    for kind, name in (("peak", "bearish_divergences"), ("trough", "bullish_divergences")):
+        df = B.as_of(df, div.where(F.col("kind") == kind).select(*keys, F.col("diverging").alias(name)), ["symbol"], "ts", [name])
+    recent = F.last("gap_bias", ignorenulls=True).over(B.by_symbol().rowsBetween(-20, 0))
     df = df.withColumns({
         "ready": (F.col("n") >= 50) & (F.col("pivots_used") >= 2), "rsi_ready": F.col("n") >= 15, "dmi_ready": F.col("n") >= 29, "leg_up": F.col("leg.is_up"), "retraced": S.signed_retracement(F.col("leg.start"), F.col("leg.end"), F.col("close")),
-        "elliott_bias": F.col("ell.bias"), "elliott_confidence": F.col("ell.confidence"), "gap_bias": carry("gap_bias", recent), "line_bias": carry("line_bias", B.so_far()), "divergence_net": carry("divergence_net", B.so_far()), "has_candle": F.coalesce("has_candle", F.lit(False)),
+        "elliott_bias": F.col("ell.bias"), "elliott_confidence": F.col("ell.confidence"), "gap_bias": recent, "has_candle": F.coalesce("has_candle", F.lit(False)),
     })
-    return materialise(df, "evidence")
+    return {"evidence": materialise(df, "evidence"), "living": living, "signals": signals}
+
+
+def evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """The wide row of each bar that the checklist reads."""
+    return study(spark, sf)["evidence"]
 
 
 @query()
@@ -136,17 +162,6 @@ def formation_agents(spark: SparkSession, sf: str) -> DataFrame:
     """Opinions from patterns, candles near levels, and wave counts."""
     from barloom.operators import routing as R
 
-    b = materialise(I.atr(bars(spark, sf)), "bars")
-    pivots = materialise(K.swings(b), "pivots")
-    life = P.lifecycle(materialise(found(b, pivots), "patterns"), b)
-    ratio = F.coalesce(F.try_divide("volume", F.avg("volume").over(B.trailing(60))), F.lit(1.0))
-    vol = b.select("symbol", "ts", (F.when(F.col("close") >= F.col("open"), ratio >= 1.2).otherwise(ratio >= 0.8)).alias("volume_ok"))
-    span = (F.col("at") - F.col("detected_index") + 12).cast("double")
-    life = life.join(vol, ["symbol", "ts"]).join(b.select("symbol", "ts", "atr"), ["symbol", "ts"])
-    life = life.withColumn("significance", P.significance(span, F.col("height"), F.col("atr"), F.col("volume_ok"), F.col("stage"), F.col("bias"), (F.col("at") - F.col("detected_index")).cast("double")))
-    lv = L.levels(b, pivots).select("symbol", "ts", "resistance", "support")
-    near = F.when(F.coalesce(F.abs(F.col("resistance") - F.col("close")), F.lit(float("inf"))) < F.coalesce(F.abs(F.col("support") - F.col("close")), F.lit(float("inf"))), F.col("resistance")).otherwise(F.col("support"))
-    wide = b.join(lv, ["symbol", "ts"]).withColumn("level", near)
-    trend = b.withColumn("prior_trend", F.coalesce(F.signum(F.lag("close", 1).over(B.by_symbol()) - F.lag("close", 6).over(B.by_symbol())), F.lit(0.0)).cast("int"))
-    waves = W.elliott_best(W.elliott_counts(pivots)).join(pivots.select("symbol", "confirmed_index", "ts"), ["symbol", "confirmed_index"])
-    return rounded(R.formation_signals(wide, life, C.candle_signals(trend), waves))
+    t = study(spark, sf)
+    waves = t["evidence"].select("symbol", "ts", F.col("ell.bias").alias("bias"), F.col("ell.confidence").alias("confidence"), F.col("ell.n_violations").alias("n_violations"))
+    return rounded(R.formation_signals(t["evidence"], t["living"], t["signals"], waves))

@@ -123,8 +123,8 @@ def trend_regime(spark: SparkSession, sf: str) -> DataFrame:
 def structure_agents(spark: SparkSession, sf: str) -> DataFrame:
     """Opinions of the agents that read the checklist and the structure."""
     e = evidence(spark, sf)
-    v = verdict_of(checklist(e), e.select("symbol", "ts", "ready", "permitted")).select("symbol", "ts", "bias", "conviction", "coverage", F.size("blockers").alias("n_blockers"))
-    w = v.join(e.select("symbol", "ts", "direction", "health", "permitted", "headroom_up", "headroom_down", "adx", "retraced", "rsi", "divergence_net"), ["symbol", "ts"])
+    v = verdict_of(checklist(e), e.select("symbol", "ts", "ready", "permitted")).select("symbol", "ts", "bias", "score", "agreement", "conviction", "coverage", F.size("blockers").alias("n_blockers"))
+    w = v.join(e, ["symbol", "ts"])
     return rounded(R.structure_signals(w))
 
 
