@@ -270,14 +270,18 @@ def stage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     best = each.groupBy("root").agg(F.min(F.struct("fp", "doc_id", "n")).alias("b"))
     best = written(best.select(F.col("b.doc_id").alias(kept), F.col("b.fp").alias(kept_fp), F.col("b.n").alias("n")), "kept")
 
-    def rows_of(chosen: DataFrame) -> DataFrame:
-        named = docs.where(F.col("doc_id").isNotNull()).join(chosen.select(kept).distinct(), F.col("doc_id") == F.col(kept), "left_semi")
-        return with_fingerprint(named, out=fp).join(chosen, (F.col("doc_id") == F.col(kept)) & (F.col(fp) == F.col(kept_fp)), "left_semi")
-
-    out = rows_of(best.where("n = 1")).select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
-    again = best.where("n > 1")
-    if again.isEmpty():
+    with_id = docs.where(F.col("doc_id").isNotNull())
+    told = (F.col("doc_id") == F.col(kept)) & (F.col(fp) == F.col(kept_fp))
+    # As many rows as documents stay: both sides are shuffled, texts once.
+    out = with_fingerprint(with_id, out=fp).join(best.where("n = 1").hint("merge"), told, "left_semi")
+    out = out.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    again = best.where("n > 1").drop("n")
+    n_again = again.count()
+    if not n_again:
         return out
+    few = F.broadcast if n_again <= BROADCAST_ROWS else lambda d: d
+    twice = with_id.join(few(again.select(kept).distinct()), F.col("doc_id") == F.col(kept), "left_semi")
+    twice = with_fingerprint(twice, out=fp).join(few(again), told, "left_semi")
     nth = clean_name(docs, "nth")
     order = Window.partitionBy("doc_id", fp).orderBy("text", F.to_json(F.struct(*docs.columns)))
-    return out.unionByName(rows_of(again).withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*docs.columns))
+    return out.unionByName(twice.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*docs.columns))
