@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.bars import latest_wins
+from barloom.session import remove
 
 KEYS = ["symbol", "timeframe", "ts"]
 
@@ -16,28 +17,45 @@ KEYS = ["symbol", "timeframe", "ts"]
 class BarStore:
     """Bars in Parquet files below a folder that every executor can reach.
 
-    Each put appends a version; reads take the newest version of each key, so writers never rewrite what readers hold.
-    compact() folds the versions into one.
+    Each put adds a folder with a version; reads take the newest version of each key, so writers never rewrite what readers
+    hold. compact() folds the versions into a new generation, which counts once it is whole; the one before it stays for
+    those who still read it until the next compact(). One writer at a time may put or compact.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _numbers(self, folder: str, prefix: str) -> list[int]:
+        """Numbers of the whole tables prefix<number> in a folder: names alone are read."""
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(path)]
+        return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit())
+
+    def _generation(self) -> int:
+        """The newest generation that is whole: compaction writes the first version of a later one in one job."""
+        whole = lambda g: self._has(f"{self.path}/g{g}/version=0/_SUCCESS")
+        return next((g for g in reversed(self._numbers(self.path, "g")) if g == 0 or whole(g)), 0)
+
+    def _has(self, file: str) -> bool:
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(file)
+        return path.getFileSystem(sc._jsc.hadoopConfiguration()).exists(path)
+
     def _all(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.path}/data")
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return None
-            raise
+        now = f"{self.path}/g{self._generation()}"
+        return self.spark.read.parquet(now) if self._numbers(now, "version=") else None
 
     def put(self, bars: DataFrame, timeframe: str) -> None:
         """Insert bars, or replace those with the same key; times are cut to whole seconds."""
-        old = self._all()
-        version = 0 if old is None else (old.agg(F.max("version")).first()[0] or 0) + 1
+        now = f"{self.path}/g{self._generation()}"
+        version = max(self._numbers(now, "version="), default=-1) + 1
         ts = F.date_trunc("SECOND", "ts").cast("timestamp_ntz")
-        rows = bars.withColumns({"ts": ts, "timeframe": F.lit(timeframe), "version": F.lit(version).cast("long"), "batch": F.lit(uuid.uuid4().hex)})
-        rows.write.mode("append").parquet(f"{self.path}/data")
+        rows = bars.withColumns({"ts": ts, "timeframe": F.lit(timeframe), "batch": F.lit(uuid.uuid4().hex)})
+        rows.write.parquet(f"{now}/version={version}")
 
     def table(self) -> DataFrame | None:
         rows = self._all()
@@ -71,10 +89,13 @@ class BarStore:
         return t.count()
 
     def compact(self) -> None:
-        t = self.table()
-        if t is not None:
-            t.withColumns({"version": F.lit(0).cast("long"), "batch": F.lit("")}).write.mode("overwrite").parquet(f"{self.path}/compacted")
-            self.spark.read.parquet(f"{self.path}/compacted").write.mode("overwrite").parquet(f"{self.path}/data")
+        t, now = self.table(), self._generation()
+        if t is None:
+            return
+        t.withColumn("batch", F.lit("")).write.mode("overwrite").parquet(f"{self.path}/g{now + 1}/version=0")
+        for g in self._numbers(self.path, "g"):
+            if g < now:
+                remove(self.spark, f"{self.path}/g{g}")
 
     def load(self, symbol: str, timeframe: str, fetch: Callable[[], DataFrame]) -> DataFrame:
         """What the table has of the symbol, or else what ``fetch`` brings, which is then kept."""

@@ -446,8 +446,14 @@ def test_store_upserts_and_reads(spark, tmp_path):
     assert [r.close for r in store.get("TEST", "5m").collect()] == [1, 2, 30, 40]
     assert [r.close for r in store.get("TEST", "5m", newest=2).collect()] == [30, 40]
     assert store.coverage().first().bars == 4 and store.count(symbol="TEST") == 4
+    held = store.table()
     store.compact()
-    assert store.count() == 4
+    assert store.count() == 4 and held.count() == 4
+    store.put(b.where("close > 3").withColumn("close", F.col("close") * 100), "5m")
+    assert [r.close for r in store.get("TEST", "5m").collect()] == [1, 2, 30, 400]
+    b.limit(0).write.parquet(f"file://{tmp_path}/bars/g9/half")  # a compaction that never ended
+    store.compact()
+    assert [r.close for r in store.get("TEST", "5m").collect()] == [1, 2, 30, 400]
     assert store.load("NEW", "5m", lambda: bars(spark, [7.0], "NEW")).count() == 1
 
 
