@@ -40,20 +40,22 @@ def stream_sar(spark: SparkSession, sf: str) -> DataFrame:
     return show(live.drain(live.stateful(src, K.sar_start, lambda s, v: K.sar_step(s, *v), ["high", "low"], "symbol string, ts timestamp_ntz, sar double, is_long boolean, flipped boolean")), "sar", "is_long", "flipped")
 
 
-@query("SELECT DISTINCT event_type AS symbol, user_id FROM events")
+@query("SELECT DISTINCT event_type AS symbol, user_id, date_trunc('hour', ts)::TIMESTAMP AS ts FROM events")
 def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    """Keys of the event stream, each once within a watermark that spans the table."""
+    """Keys of the event stream, each once for each hour: a key's state goes once the watermark is past its hour."""
     schema = B.read(spark, sf, "events").schema
-    e = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet").select(F.col("event_type").alias("symbol"), "user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return live.drain(live.first_seen_stream(e, ["symbol", "user_id"], within="3650 days")).select("symbol", "user_id")
+    e = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    e = e.select(F.col("event_type").alias("symbol"), "user_id", hour.alias("ts"))
+    return live.drain(live.first_seen_stream(e, ["symbol", "user_id", "ts"], within="1 hour")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def _charts(spark: SparkSession, sf: str) -> DataFrame:
-    """One chart document for each event type, with holes in its arrays."""
+    """One chart document for each event type and day, with holes in its arrays."""
     e = B.read(spark, sf, "events").withColumn("t", F.unix_seconds(F.col("ts").cast("timestamp")) + F.col("event_id") * 0)
     hole = lambda n, c: F.when(F.col("event_id") % n != 0, F.col(c))
     r = F.struct("event_id", "t", hole(5, "value").alias("open"), (F.col("value") + 1).alias("high"), hole(3, "value").alias("low"), hole(7, "value").alias("close"), hole(4, "value").alias("volume"))
-    g = e.groupBy(F.col("event_type").alias("symbol")).agg(F.array_sort(F.collect_list(r)).alias("r"))
+    g = e.groupBy(F.col("event_type").alias("symbol"), F.to_date("ts")).agg(F.array_sort(F.collect_list(r)).alias("r"))
     return g.select("symbol", F.to_json(F.struct(F.col("r.t").alias("timestamp"), *[F.col(f"r.{c}").alias(c) for c in ("open", "high", "low", "close", "volume")]), {"ignoreNullFields": "false"}).alias("payload"))
 
 
@@ -69,23 +71,23 @@ def parse_chart(spark: SparkSession, sf: str) -> DataFrame:
 SELECT symbol, ts, value AS open, value + 2 AS high, value - 2 AS low, value + 0.5::DOUBLE AS close, 10.0::DOUBLE AS volume FROM k WHERE k = 1 AND ts + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-20 00:00:00'"""
 )
 def closed_klines(spark: SparkSession, sf: str) -> DataFrame:
-    """Klines with repeated open times and forming bars."""
+    """Klines with repeated open times and forming bars, a document for each event type and day."""
     e = B.read(spark, sf, "events").withColumn("open_ms", F.unix_millis(F.window("ts", "1 hour").getField("start").cast("timestamp")))
     text = lambda c: c.cast("string")
     v = F.col("value")
     r = F.struct("event_id", F.array(text(F.col("open_ms")), text(v), text(v + 2), text(v - 2), text(v + 0.5), F.lit("10"), text(F.col("open_ms") + 3_600_000)).alias("k"))
-    p = e.groupBy(F.col("event_type").alias("symbol")).agg(F.to_json(F.array_sort(F.collect_list(r))["k"]).alias("payload"))
+    p = e.groupBy(F.col("event_type").alias("symbol"), F.to_date("ts")).agg(F.to_json(F.array_sort(F.collect_list(r))["k"]).alias("payload"))
     now = F.unix_millis(F.lit("2024-01-20 00:00:00").cast("timestamp"))
     return feeds.parse_klines(p, now)
 
 
 @query("SELECT event_type AS symbol, date_trunc('hour', ts)::TIMESTAMP AS ts, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) >= 1")
 def funding_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Settlements from overlapping pages: every stamp once; counted with how many events each hour had."""
+    """Settlements from overlapping pages of a day: every stamp once; counted with how many events each hour had."""
     e = B.read(spark, sf, "events").select(F.col("event_type").alias("symbol"), F.window("ts", "1 hour").getField("start").alias("h"), "event_id")
     page = e.withColumn("page", F.explode(F.array(F.col("event_id") % 7, F.col("event_id") % 5)))
     r = F.struct(F.unix_millis(F.col("h").cast("timestamp")).alias("fundingTime"), F.lit("0.0001").alias("fundingRate"), F.lit("nan").alias("markPrice"))
-    pages = page.groupBy("symbol", "page").agg(F.to_json(F.collect_list(r)).alias("payload"))
+    pages = page.groupBy("symbol", "page", F.to_date("h")).agg(F.to_json(F.collect_list(r)).alias("payload"))
     f = feeds.parse_funding(pages).where("mark_price IS NULL AND rate = 0.0001").select("symbol", "ts")
     n = e.groupBy("symbol", F.col("h").alias("ts")).agg(F.count(F.lit(1)).alias("n"))
     return f.join(n, ["symbol", "ts"])
@@ -99,7 +101,7 @@ def contract_search(spark: SparkSession, sf: str) -> DataFrame:
     p = B.read(spark, sf, "part")
     kind = F.when(F.col("p_partkey") % 3 == 0, "CURRENT_QUARTER").otherwise("PERPETUAL")
     c = F.struct(F.concat(F.upper("p_brand"), "p_partkey").alias("symbol"), F.upper("p_brand").alias("baseAsset"), F.lit("USDT").alias("quoteAsset"), kind.alias("contractType"), F.lit("TRADING").alias("status"), (F.col("p_size") * 1000 + F.col("p_partkey")).alias("onboardDate"), F.lit("2.5").alias("maintMarginPercent"))
-    docs = p.groupBy((F.col("p_partkey") % 16).alias("k")).agg(F.to_json(F.struct(F.collect_list(c).alias("symbols"))).alias("payload"))
+    docs = p.groupBy(F.floor(F.col("p_partkey") / 1000).alias("k")).agg(F.to_json(F.struct(F.collect_list(c).alias("symbols"))).alias("payload"))
     return feeds.search_contracts(feeds.parse_contracts(docs), "brand#1").select("symbol", "base", "onboard_ms")
 
 

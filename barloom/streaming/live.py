@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from barloom.session import shared_dir, ship_package
+from barloom.session import materialise, shared_dir, ship_package
 
 
 def roll_up_stream(ticks: DataFrame, every: str, late: str = "0 seconds", symbol: str = "symbol", ts: str = "ts", price: str = "price") -> DataFrame:
@@ -92,11 +92,17 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def replay(spark: SparkSession, bars: DataFrame, parts: int = 3) -> DataFrame:
-    """A stream of bars that come in several files, the older first."""
+    """A stream of bars that come in several parts, the older first, about one in each batch.
+
+    The bars are computed once. Within a part all of a symbol's bars are in one file, so files may come in any order there.
+    """
     path = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
     day = F.to_date("ts")
-    first, last = bars.agg(F.min(day), F.max(day)).first()
-    span = (last - first).days + 1
+    held = materialise(bars.repartition("symbol"), "barloom/bars")
+    first, last = held.agg(F.min(day), F.max(day)).first()
+    span = (last - first).days + 1 if last else 1
+    part = F.floor(F.datediff(day, F.lit(first)) * parts / span)
     for k in range(parts):
-        bars.where((F.datediff(day, F.lit(first)) * parts / span >= k) & (F.datediff(day, F.lit(first)) * parts / span < k + 1)).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        held.where(part == k).repartition("symbol").write.mode("append").parquet(path)
+    files = len(spark.read.schema(bars.schema).parquet(path).inputFiles())
+    return spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", max(1, files // parts)).parquet(path)
