@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -100,11 +101,12 @@ def fill_orders(pending: list[dict], bar: dict, slip_bps: float = 2.0, fee_bps:
 # --- the way of a trade ---
 
 
-def trade_step(t: dict, high: float, low: float, open_: float, close: float, bias: int, breakeven: float = 1.5, add: float = 1.0, trail_after: float = 2.0, trail: float = 1.5, layers: int = 3) -> tuple[dict, str, float]:
+def trade_step(t: dict, high: float, low: float, open_: float, close: float, bias: int, breakeven: float = 1.5, add: float = 1.0, trail_after: float = 2.0, trail: float = 1.5, layers: int = 3, age: int = 0, most_bars: int = 0) -> tuple[dict, str, float]:
     """The trade after a bar, what to do, and the price that a stop or target would give.
 
-    The stop comes before the target, both before a turned signal; only then does the best price so far move the stop, and
-    never away from price. t: side, entry, stop, objective, risk (per unit at the start), best, layer, at_breakeven.
+    The stop comes before the target, both before a turned signal and that before the trade's age (in bars, 0: no limit);
+    only then does the best price so far move the stop, and never away from price. t: side, entry, stop, objective, risk
+    (per unit at the start), best, layer, at_breakeven.
     """
     side, stop = t["side"], t["stop"]
     if low <= stop if side > 0 else high >= stop:
@@ -112,7 +114,7 @@ def trade_step(t: dict, high: float, low: float, open_: float, close: float, bia
         return t, "exit_stop", open_ if gapped else stop
     if t["objective"] > 0 and (high >= t["objective"] if side > 0 else low <= t["objective"]):
         return t, "exit_target", t["objective"]
-    if bias == -side:
+    if bias == -side or (most_bars and age >= most_bars):
         return t, "exit_signal", close
     t = {**t, "best": max(t["best"], high) if side > 0 else min(t["best"], low)}
 
@@ -134,17 +136,51 @@ def trade_step(t: dict, high: float, low: float, open_: float, close: float, bia
     return t, "hold", 0.0
 
 
+def add_layer(t: dict, held: float, qty: float, price: float) -> dict:
+    """A trade of ``held`` units after another layer: its mean entry, which the stop moves up to if that is tighter."""
+    entry = (t["entry"] * held + price * qty) / (held + qty)
+    tighter = (entry - t["stop"]) * t["side"] > 0
+    return {**t, "entry": entry, "layer": t["layer"] + 1, "stop": entry if tighter else t["stop"], "at_breakeven": t["at_breakeven"] or tighter}
+
+
 # --- whole runs ---
 
 RUN = "run_id string, ts {ts}, symbol string, event string, qty double, price double, pnl double, risk double, fees double, equity double, gross double, net double, open_positions int"
 
 
-def simulate(bars: DataFrame, start: float = 100_000.0, slip_bps: float = 2.0, fee_bps: float = 1.0, threshold: float = 0.02, stop_atr: float = 2.0, reward: float = 3.0, participation: float | None = None) -> DataFrame:
-    """Runs over bars (run_id, symbol, ts, OHLCV, atr, weight): target weights decided at a close fill at the next open.
+@dataclass(frozen=True)
+class Desk:
+    """Limits of a simulated account, as shares of its equity; those of exposure grow with a run's leverage."""
+
+    risk: float = 0.005
+    layer_decay: float = 0.5
+    layers: int = 3
+    order: float = 0.35
+    symbol: float = 0.20
+    gross: float = 1.0
+    net: float = 0.6
+    least: float = 25.0
+
+
+def allowed(notional: float, position: float, gross: float, net: float, equity: float, leverage: float, desk: Desk) -> float:
+    """What the limits leave of an order that opens or adds; nothing if that is too small to send."""
+    e = equity * leverage
+    side = math.copysign(1.0, notional)
+    room = min(desk.order * e, desk.symbol * e - abs(position), desk.gross * e - gross, desk.net * e - side * net)
+    size = min(abs(notional), max(room, 0.0))
+    return side * size if size >= desk.least else 0.0
+
+
+def simulate(bars: DataFrame, start: float = 100_000.0, slip_bps: float = 2.0, fee_bps: float = 1.0, stop_atr: float = 2.0, reward: float = 3.0, participation: float | None = None, most_bars: int = 0, desk: Desk = Desk()) -> DataFrame:
+    """Runs over bars (run_id, symbol, ts, OHLCV, atr, weight[, conviction, leverage]): what a close decides fills at the next open.
+
+    Without a trade a weight opens one, as large as the risk to its stop, the weight and the account's limits allow. With
+    one, weights only give its bias: its stop, objective, a turned bias or its age (most_bars) end it, and winners get
+    layers, each smaller than the one before. conviction scales sizes, leverage a run's limits; both are 1 where missing.
 
     Rows: 'equity' for every time, 'fill' for every fill, 'trade' for every closed trade (qty is its largest, risk what was
-    planned when it opened; exits carry none). Runs are independent and go to tasks of their own; within one, bars are
-    taken in order of time and symbol, as its account is one.
+    planned when it opened and grew; exits carry none). Runs are independent and go to tasks of their own; within one, bars
+    are taken in order of time and symbol, as its account is one.
     """
     ship_package(bars.sparkSession)
     ts = dict(bars.dtypes)["ts"]
@@ -190,39 +226,58 @@ def simulate(bars: DataFrame, start: float = 100_000.0, slip_bps: float = 2.0, f
             if abs(held[symbol]["qty"]) < EPS or (held[symbol]["qty"] > 0) != (before["qty"] > 0):
                 row("trade", symbol, t, tr["peak"], px, tr["pnl"] - tr["fees"], tr["risk"], tr["fees"])
                 trades.pop(symbol)
-                paths.pop(symbol, None)
                 if abs(held[symbol]["qty"]) > EPS:
                     trades[symbol] = {"pnl": 0.0, "risk": fill["risk"], "fees": fee * (1 - part), "peak": abs(held[symbol]["qty"])}
 
-        for t, symbol, o, h, lo, c, v, atr, weight in zip(*(pdf[x].tolist() for x in ("ts", "symbol", "open", "high", "low", "close", "volume", "atr", "weight"))):
+        def size(symbol: str, c: float, gap: float, share: float, layer: int, lev: float) -> float:
+            """Signed quantity of a first or further layer: by risk and weight, then by the account's limits."""
+            worth = {s: value(s) for s in held}
+            equity = cash + sum(worth.values())
+            if not (gap > 0 and c > 0 and equity > 0):  # nor if one is NaN
+                return 0.0
+            qty = min(desk.risk * equity * lev / gap, abs(share) * equity * lev / c) * desk.layer_decay ** (layer - 1)
+            now = worth.get(symbol, 0.0)
+            room = allowed(math.copysign(qty * c, share), now, sum(map(abs, worth.values())), sum(worth.values()), equity, lev, desk)
+            return room / c
+
+        columns = ("ts", "symbol", "open", "high", "low", "close", "volume", "atr", "weight", "conviction", "leverage")
+        for t, symbol, o, h, lo, c, v, atr, weight, sure, lev in zip(*(pdf[x].tolist() for x in columns)):
             fills, waiting = fill_orders(pending.pop(symbol, []), {"open": o, "high": h, "low": lo, "close": c, "volume": v}, slip_bps, fee_bps, participation)
             if waiting:
                 pending[symbol] = waiting
             for f in fills:
                 book(symbol, t, f)
             mark[symbol] = c
-            equity = cash + sum(value(s) for s in held)
             qty = held.get(symbol, {"qty": 0.0})["qty"]
-            target, bias = weight, (weight > 0) - (weight < 0)
+            bias = (weight > 0) - (weight < 0)
             path = paths.get(symbol)
-            if path is None and abs(qty) > EPS and atr > 0:
-                side = 1 if qty > 0 else -1
+            if path is not None:
+                path["age"] += 1
+                path, action, _ = trade_step(path, h, lo, o, c, bias, layers=desk.layers, age=path["age"], most_bars=most_bars)
+                paths[symbol] = path
+                if action.startswith("exit"):  # whatever still waits is withdrawn
+                    paths.pop(symbol)
+                    pending.pop(symbol, None)
+                    if abs(qty) > EPS:
+                        pending[symbol] = [{"qty": -qty, "risk": 0.0}]
+                elif action == "add" and symbol not in pending and (c - path["entry"]) * path["side"] > 0:
+                    more = size(symbol, c, stop_atr * atr, weight * sure, path["layer"] + 1, lev)
+                    if more:
+                        pending[symbol] = [{"qty": more, "risk": stop_atr * atr * abs(more)}]
+                        paths[symbol] = add_layer(path, abs(qty), abs(more), c)
+            elif bias and abs(qty) <= EPS and symbol not in pending:
                 gap = stop_atr * atr
-                path = paths[symbol] = {"side": side, "entry": held[symbol]["avg"], "stop": held[symbol]["avg"] - side * gap, "objective": held[symbol]["avg"] + side * reward * gap, "risk": gap, "best": c, "layer": 1, "at_breakeven": False}
-            elif path is not None and abs(qty) > EPS:
-                paths[symbol], action, _ = trade_step(path, h, lo, o, c, bias)
-                if action.startswith("exit"):
-                    target = 0.0
-            if c > 0 and symbol not in pending:
-                delta = target * equity / c - qty
-                if abs(delta * c) > threshold * max(equity, 0.0) or (target == 0 and abs(qty) > EPS):
-                    turns = qty * (qty + delta) < 0
-                    opened = abs(qty + delta) if turns else max(0.0, abs(qty + delta) - abs(qty))
-                    pending[symbol] = [{"qty": delta, "risk": stop_atr * atr * opened}]
+                first = size(symbol, c, gap, weight * sure, 1, lev)
+                if first:
+                    pending[symbol] = [{"qty": first, "risk": gap * abs(first)}]
+                    paths[symbol] = {"side": bias, "entry": c, "stop": c - bias * gap, "objective": c + bias * reward * gap, "risk": gap, "best": c, "layer": 1, "at_breakeven": False, "age": 0}
             row("equity", symbol, t)
         for symbol, tr in list(trades.items()):  # marked out at the end
             open_gain = (mark[symbol] - held[symbol]["avg"]) * held[symbol]["qty"]
             row("trade", symbol, t, tr["peak"], mark[symbol], tr["pnl"] + open_gain - tr["fees"], tr["risk"], tr["fees"])
         return pd.DataFrame(rows, columns=names)
 
-    return bars.select("run_id", "symbol", "ts", "open", "high", "low", "close", "volume", "atr", "weight").groupBy("run_id").applyInPandas(run, schema)
+    for name in ("conviction", "leverage"):
+        if name not in bars.columns:
+            bars = bars.withColumn(name, F.lit(1.0))
+    return bars.select("run_id", "symbol", "ts", "open", "high", "low", "close", "volume", "atr", "weight", "conviction", "leverage").groupBy("run_id").applyInPandas(run, schema)

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from barloom import bars as B
 from barloom.functions import indicators as I
+from barloom.operators import agents as A
 from barloom.operators import elliott as W
 from barloom.operators import execution as X
 from barloom.operators import lines as L
+from barloom.operators import portfolio as P
 from barloom.plans.q_metrics import rounded
 from barloom.plans.q_structure import pivots
+from barloom.plans.q_trading import agent_state, features
 from barloom.plans.q_windows import bars
 from barloom.plans.registry import query
+from barloom.session import materialise
 
 FILLS = """f AS MATERIALIZED (SELECT o_orderpriority AS symbol, o_orderkey, o_orderkey AS ts, round(CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END * (1 + o_orderkey % 5) * CASE WHEN o_orderkey % 11 = 0 THEN -4 ELSE 1 END, 6) AS signed, o_totalprice AS price,
   row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS n FROM orders)"""
@@ -71,9 +75,10 @@ def channels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def simulate(spark: SparkSession, sf: str) -> DataFrame:
-    """Two runs of a crossover over all symbols: without and with leverage."""
-    df = I.atr(I.ema(I.ema(bars(spark, sf), "close", 12, "f"), "close", 26, "s"))
-    side = F.when(F.col("n") < 60, 0.0).when(F.col("f") > F.col("s"), 0.1).otherwise(-0.1)
-    runs = F.explode(F.array(F.struct(F.lit("x1").alias("run_id"), F.lit(1.0).alias("lev")), F.struct(F.lit("x2").alias("run_id"), F.lit(2.0).alias("lev"))))
-    b = df.withColumn("weight", side).select("symbol", "ts", "open", "high", "low", "close", "volume", "atr", "weight", runs.alias("r")).select("*", "r.run_id").withColumn("weight", F.col("weight") * F.col("r.lev"))
-    return rounded(X.simulate(b))
+    """Two runs, without and with leverage, of what the agents think, blended and capped over all symbols."""
+    f = materialise(features(spark, sf), "barloom/features")
+    t = P.exposure_caps(P.blend(A.signals(f), agent_state(f)))
+    df = f.select("symbol", "ts", "open", "high", "low", "close", "volume", "atr").join(t.select("symbol", "ts", "weight"), ["symbol", "ts"], "left")
+    df = df.where("atr IS NOT NULL").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    runs = F.explode(F.array(F.struct(F.lit("x1").alias("run_id"), F.lit(1.0).alias("leverage")), F.struct(F.lit("x2").alias("run_id"), F.lit(2.0).alias("leverage"))))
+    return rounded(X.simulate(df.select("*", runs.alias("r")).select("*", "r.*")))

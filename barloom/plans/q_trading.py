@@ -12,6 +12,7 @@ from barloom.operators import portfolio as P
 from barloom.plans.q_windows import bars
 from barloom.plans.registry import query
 from barloom.plans.sql import ORDER, TRUE_RANGE, smoothing, with_bars, w
+from barloom.session import materialise
 
 _LIN = "({lo} + greatest(least(({x} - {a}) / {d}::DOUBLE, 1), 0) * {span}::DOUBLE)"
 
@@ -80,14 +81,14 @@ _BLEND = (
 )
 
 
-def _state(df: DataFrame) -> DataFrame:
+def agent_state(df: DataFrame) -> DataFrame:
     return df.where("ready").select("symbol", "ts", "realized_vol", A.regime_appetite(F.col("vol_percentile")).alias("appetite"))
 
 
 @query(with_bars("SELECT symbol, ts, round(consensus, 6) AS consensus, round(conviction, 6) AS conviction, agents, round(weight, 6) AS weight FROM bw", *_BLEND, recursive=True))
 def blend(spark: SparkSession, sf: str) -> DataFrame:
-    f = features(spark, sf)
-    t = P.blend(A.signals(f), _state(f))
+    f = materialise(features(spark, sf), "barloom/features")  # signals and state both read them
+    t = P.blend(A.signals(f), agent_state(f))
     return t.select("symbol", "ts", F.round("consensus", 6).alias("consensus"), F.round("conviction", 6).alias("conviction"), "agents", F.round("weight", 6).alias("weight"))
 
 
