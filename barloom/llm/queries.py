@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from barloom.llm.fim_sql import OP11_SQL, op11_fill_in_middle
 from barloom.llm.langid import op2_language_id
 from barloom.llm.mixing import OP1_SQL, op1_poisson_mix
 from barloom.llm.piece_codec import op4_sentencepiece
@@ -32,9 +33,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_warc_index,
             op9_repetition_rules,
             op10_repair_ids,
+            op11_fill_in_middle,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_poisson_mix": OP1_SQL, "op8_warc_index": OP8_SQL}
+    return {"op1_poisson_mix": OP1_SQL, "op8_warc_index": OP8_SQL, "op11_fill_in_middle": OP11_SQL}
