@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from barloom.llm.elkan import OP12_SQL, op12_elkan_codes
 from barloom.llm.fim_sql import OP11_SQL, op11_fill_in_middle
 from barloom.llm.langid import op2_language_id
 from barloom.llm.mixing import OP1_SQL, op1_poisson_mix
@@ -34,9 +35,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op9_repetition_rules,
             op10_repair_ids,
             op11_fill_in_middle,
+            op12_elkan_codes,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_poisson_mix": OP1_SQL, "op8_warc_index": OP8_SQL, "op11_fill_in_middle": OP11_SQL}
+    return {"op1_poisson_mix": OP1_SQL, "op8_warc_index": OP8_SQL, "op11_fill_in_middle": OP11_SQL, "op12_elkan_codes": OP12_SQL}
