@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from barloom.llm.elkan import OP12_SQL, op12_elkan_codes
 from barloom.llm.fim_sql import OP11_SQL, op11_fill_in_middle
 from barloom.llm.langid import op2_language_id
+from barloom.llm.minhash_dedup import op13_odd_minhash
 from barloom.llm.mixing import OP1_SQL, op1_poisson_mix
 from barloom.llm.piece_codec import op4_sentencepiece
 from barloom.llm.quality_rank import op6_quality
@@ -36,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op10_repair_ids,
             op11_fill_in_middle,
             op12_elkan_codes,
+            op13_odd_minhash,
         )
     }
 
