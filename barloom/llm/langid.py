@@ -1,12 +1,13 @@
 """Operator 2: language identification with a bidirectional gated recurrent network over bytes.
 
 The network reads a text's UTF-8 bytes in both directions, in segments of SEGMENT bytes at whose ends its state begins
-anew, gives label probabilities at every position, and a document's probabilities are the mean over all its positions. It is trained in numpy by backpropagation through
-time. Documents are read whole; only training looks at a bounded sample.
+anew, gives label probabilities at every position, and a document's probabilities are the mean over all its positions. It is
+trained in numpy by backpropagation through time. Documents are read whole; only training looks at a bounded sample.
 """
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,10 +27,15 @@ _LETTER = regex.compile(r"\p{L}")
 
 @dataclass
 class Sample:
-    """Bounds of what training reads: documents of each language and of all, and segments of so many characters from each."""
+    """Bounds of what training reads: documents of each language and of all, and segments of so many characters from each.
+
+    Of the languages only the most frequent ``langs`` are learned. About one and a half times ``docs``, and 20 more for each
+    language, leave the executors.
+    """
 
     docs_per_lang: int = 400
     docs: int = 40_000
+    langs: int = 1000
     segments_per_doc: int = 6
     chars: int = 64
 
@@ -180,7 +186,7 @@ def training_segments(docs: DataFrame, id_col: str, text_col: str, lang_col: str
     sets, so only about the wanted number of segments ever leave the executors.
     """
     docs = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in docs.groupBy(lang_col).count().collect()}
+    counts = {r[0]: r[1] for r in docs.groupBy(F.col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(sample.langs).collect()}
     if not counts:
         return [], []
     per_lang = min(sample.docs_per_lang, -(-sample.docs // len(counts)))
@@ -258,8 +264,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(docs, net).select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.3) -> DataFrame:
-    """Pipeline stage: documents without a language, or with a score under ``least``, go."""
+def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5, languages: Collection[str] | None = None) -> DataFrame:
+    """Pipeline stage: documents of one of ``languages`` (None: of all that the network knows) stay, others go.
+
+    A document goes if it has no language - null texts and those without a letter - or if the predicted one isn't wanted, or
+    if no language takes more than ``least`` of its positions' probability: at a half such texts are scraps of a few bytes,
+    one word repeated or a mixture. Where lang is null the prediction fills it. Rows stay as they are otherwise, repeated
+    ones repeated; columns that happen to be named as those of the prediction are untouched.
+    """
     net = fit_on_documents(spark, sf_dir)
     lang, score = clean_name(docs, "lang_pred"), clean_name(docs, "lang_score")
-    return predict_language(docs, net, lang_out=lang, score_out=score).where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)
+    wanted = (F.col(lang) != UNKNOWN) & (F.col(score) > least)
+    if languages is not None:
+        wanted &= F.col(lang).isin(sorted(languages))
+    kept = predict_language(docs, net, lang_out=lang, score_out=score).where(wanted)
+    return kept.select(*[F.coalesce(c, lang).alias(c) if c.lower() == "lang" else c for c in docs.columns])

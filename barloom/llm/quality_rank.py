@@ -187,7 +187,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with a score under CUT go."""
+    """Pipeline stage: documents with a score under CUT go.
+
+    Null and empty texts have the score of a text without words, as in score_quality. Rows stay as they are, repeated ones
+    repeated; columns that happen to be named as those of the score are untouched.
+    """
     model = fit_on_labels(spark, sf_dir)
     score, predicted = clean_name(docs, "quality_score"), clean_name(docs, "quality_predicted")
     return score_quality(docs, model, score_out=score, predicted_out=predicted).where(F.col(predicted) == 1).select(*docs.columns)

@@ -5,14 +5,15 @@ repeated pairs of neighbouring ids are replaced by nonterminals until none is le
 the length each expands to, the shortened sequence, and where each document begins in it. One document is decoded
 without touching the others.
 
-Block layout (little-endian): 4 bytes "RPB2"; six u32: bits per symbol, first nonterminal, rules R, documents D, symbols
+Block layout (little-endian): 4 bytes "RPB3"; six u32: bits per symbol, first nonterminal, rules R, documents D, symbols
 S, bits per length; then in bits, each array filled up to a whole byte: left[R], right[R] (symbols), length[R]; first
-symbol[D + 1] (u32), ids[D] (u32), doc_id[D] (i64, the smallest value for null); in bits again: sequence[S] (symbols).
+symbol[D + 1] (u32), ids[D] (u32), doc_id[D] (i64, 0 for null); in bits again: null[D], sequence[S] (symbols).
 """
 
 from __future__ import annotations
 
 import bisect
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,11 +28,12 @@ from pyspark.sql import types as T
 from barloom.llm.common import prepare, table
 from barloom.session import new_path
 
-#: Ids in a block, unless one document has more; documents in a shard, about; beyond so many shards they grow instead.
-BLOCK_IDS, SHARD_DOCS, SHARDS = 1 << 20, 4096, 20_000
+#: Ids in a block, unless one document has more; documents in a shard, at least: shards and what they hold both grow with the
+#: square root of a table of more than its square.
+BLOCK_IDS, SHARD_DOCS = 1 << 20, 4096
 #: Text that goes through the tokenizer together, about.
 TEXT_BYTES = 8 << 20
-MAGIC, NULL_ID = b"RPB2", -(1 << 63)
+MAGIC = b"RPB3"
 #: Odd factors that spread pairs over the slots of a hash table.
 _MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
@@ -198,7 +200,8 @@ class Block:
 
         self.left, self.right, self.length = take_bits(r, width), take_bits(r, width), take_bits(r, long)
         self.begin, self.n_ids = take(d + 1, "<u4"), take(d, "<u4")
-        self.doc_id, self.seq = take(d, "<i8"), take_bits(s, width)
+        self.doc_id, self.null = take(d, "<i8"), take_bits(d, 1).astype(bool)
+        self.seq = take_bits(s, width)
         self._table = None
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:
@@ -225,8 +228,9 @@ def pack(doc_ids: list[int | None], ids: list[np.ndarray], vocab: int) -> bytes:
     width, long = (vocab + len(left) - 1).bit_length(), int(length.max(initial=1)).bit_length()
     begin = np.r_[0, np.flatnonzero(ends) + 1]
     head = struct.pack("<6I", width, vocab, len(left), len(ids), len(seq), long)
-    docs = np.array([NULL_ID if d is None else d for d in doc_ids], "<i8")
-    body = [to_bits(left, width), to_bits(right, width), to_bits(length, long), begin.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), docs.tobytes(), to_bits(seq, width)]
+    docs = np.array([d or 0 for d in doc_ids], "<i8")
+    null = np.array([d is None for d in doc_ids])
+    body = [to_bits(left, width), to_bits(right, width), to_bits(length, long), begin.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), docs.tobytes(), to_bits(null, 1), to_bits(seq, width)]
     return b"".join([MAGIC, head, *body])
 
 
@@ -361,8 +365,9 @@ def write_token_file(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     spark = df.sparkSession
     prepare(spark)
     n_docs, n_ids = df.agg(F.count(F.lit(1)), F.count(id_col)).first()
-    shards = min(SHARDS, max(1, -(-n_ids // shard_docs)))
-    nulls = min(SHARDS, -(-(n_docs - n_ids) // shard_docs))
+    shard_docs = max(shard_docs, math.isqrt(n_docs))
+    shards = max(1, -(-n_ids // shard_docs))
+    nulls = -(-(n_docs - n_ids) // shard_docs)
     cuts = [k / shards for k in range(1, shards)]
     # A bound that comes up several times is an id with so many shards of its own.
     bounds = sorted(int(x) for x in df.approxQuantile(id_col, cuts, 1 / (4 * shards))) if cuts and n_ids else []
@@ -441,9 +446,9 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
                 ids = block.all_ids()
                 for k in range(0, len(ids), 256):
                     part = ids[k : k + 256]
-                    docs = [None if d == NULL_ID else d for d in block.doc_id[k : k + 256].tolist()]
+                    docs = pa.array(block.doc_id[k : k + 256], mask=block.null[k : k + 256])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(docs, pa.int64()), pa.array(start[k : k + 256]), pa.array([len(x) for x in part], pa.int64()), pa.array([x.tobytes() for x in part], pa.binary())],
+                        [docs, pa.array(start[k : k + 256]), pa.array([len(x) for x in part], pa.int64()), pa.array([x.tobytes() for x in part], pa.binary())],
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
 

@@ -16,11 +16,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import BROADCAST_ROWS, add_columns, clean_name, column, look_up, prepare, table, written
+from barloom.llm.common import BROADCAST_ROWS, HOT_KEYS, add_columns, clean_name, column, look_up, prepare, table, written
 from barloom.llm.components import components
 from barloom.llm.simhash import BITS, fingerprint
 
@@ -223,10 +223,8 @@ def with_fingerprint(df: DataFrame, text_col: str = "text", out: str = "fp") ->
     return add_columns(df, [T.StructField(out, T.LongType())], make)
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
-    """(doc_id, fp, root, component_id) for each row of docs; root is the smallest fingerprint of the group."""
-    one = with_fingerprint(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).drop("text")
-    one = written(one, "prints")
+def _grouped(one: DataFrame, radius: int) -> DataFrame:
+    """one: a written table with doc_id and fp. (doc_id, fp, root, component_id) for each row; root is the smallest fingerprint of the group."""
     prints = written(one.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "reps")
     # Fingerprints are the nodes, not ids: rows of different texts that share an id don't tie their groups together. Those
     # of rows without any id link nothing.
@@ -249,7 +247,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     have the component of an equal fingerprint, or null. Rows that share an id are linked by their texts only. Repeated
     rows are repeated; an empty table gives an empty one.
     """
-    return _grouped(docs, id_col, text_col, radius).drop("root")
+    one = with_fingerprint(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).drop("text")
+    return _grouped(written(one, "prints"), radius).drop("root")
 
 
 def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,31 +256,40 @@ def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def stage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def stage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, few: int = BROADCAST_ROWS) -> DataFrame:
     """Pipeline stage: of each group the row with the smallest id stays, once; rows without an id stay.
 
     A row is told by its id and its fingerprint, as rows of different texts may share an id. Of rows that have both in
-    common the first one by text, then by all its columns as JSON, stays, in whatever order they come.
+    common the first one by text, then by all its columns as JSON, stays, in whatever order they come. They meet as one row
+    for each task, never all in one. Null and empty texts are one group. An empty table gives an empty one.
+
+    Fingerprints are made once: the rows are kept with them in a table, which is read again to pick the ones that stay.
     """
-    groups = _grouped(docs, "doc_id", "text", RADIUS).where(F.col("doc_id") == F.col("component_id"))
-    kept, kept_fp, fp = (clean_name(docs, x) for x in ("kept_id", "kept_fp", "fp"))
+    kept, kept_fp, fp, order = (clean_name(docs, x) for x in ("kept_id", "kept_fp", "fp", "order"))
+    told_apart = written(with_fingerprint(docs, out=fp), "told")
+    groups = _grouped(told_apart.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp")), RADIUS)
     # All of a group's rows in groups have its smallest id.
-    each = groups.groupBy("root", "fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    each = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("root", "fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
     best = each.groupBy("root").agg(F.min(F.struct("fp", "doc_id", "n")).alias("b"))
     best = written(best.select(F.col("b.doc_id").alias(kept), F.col("b.fp").alias(kept_fp), F.col("b.n").alias("n")), "kept")
 
-    with_id = docs.where(F.col("doc_id").isNotNull())
+    with_id = told_apart.where(F.col("doc_id").isNotNull())
     told = (F.col("doc_id") == F.col(kept)) & (F.col(fp) == F.col(kept_fp))
+    first = F.min_by(F.struct(*docs.columns), F.struct("text", F.to_json(F.struct(*docs.columns)))).alias(order)
+    again = best.where("n > 1")
+    n_again, rows = best.agg(F.count_if(F.col("n") > 1), F.sum("n")).first()
+    # Keys with over one part in HOT_KEYS of these rows are no more than that; they are looked up where their rows are.
+    hot = again if n_again <= few else again.where(F.col("n") * HOT_KEYS > rows)
+    hot = F.broadcast(hot.drop("n"))
+    repeated = with_id.join(hot, told, "left_semi")
+    rest = with_id if not n_again else with_id.join(hot, told, "left_anti")
+    if n_again > few:
+        cold = again.where(F.col("n") * HOT_KEYS <= rows).drop("n")
+        repeated = repeated.unionByName(rest.join(cold.hint("merge"), told, "left_semi"))
     # As many rows as documents stay: both sides are shuffled, texts once.
-    out = with_fingerprint(with_id, out=fp).join(best.where("n = 1").hint("merge"), told, "left_semi")
-    out = out.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
-    again = best.where("n > 1").drop("n")
-    n_again = again.count()
-    if not n_again:
-        return out
-    few = F.broadcast if n_again <= BROADCAST_ROWS else lambda d: d
-    twice = with_id.join(few(again.select(kept).distinct()), F.col("doc_id") == F.col(kept), "left_semi")
-    twice = with_fingerprint(twice, out=fp).join(few(again), told, "left_semi")
-    nth = clean_name(docs, "nth")
-    order = Window.partitionBy("doc_id", fp).orderBy("text", F.to_json(F.struct(*docs.columns)))
-    return out.unionByName(twice.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*docs.columns))
+    out = rest.join(best.where("n = 1").drop("n").hint("merge"), told, "left_semi").select(*docs.columns)
+    out = out.unionByName(told_apart.where(F.col("doc_id").isNull()).select(*docs.columns))
+    if n_again:
+        one = repeated.groupBy("doc_id", fp).agg(first)
+        out = out.unionByName(one.select(*[F.col(order)[c].alias(c) for c in docs.columns]))
+    return out

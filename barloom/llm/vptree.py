@@ -22,6 +22,7 @@ from barloom.llm.common import prepare, table
 SHARD, BLOCK, LEAF = (8192, 65_536), 2048, 128
 #: Queries that pass one tree. More of them than that are dealt to several tasks for each shard, each with a tree.
 PASS = 1 << 20
+TASKS = 100_000
 K, FACTOR = 20, 0.8
 
 
@@ -127,6 +128,16 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad & some)
 
 
+def shape(c: DataFrame) -> list:
+    """Of what usable returns the most common length d, how many have it (n), their largest norm and largest component (unit); or nothing."""
+    # The largest component is a column of its own: within the fold it would be taken anew for each component.
+    largest = F.col("largest")
+    norm = largest * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / largest) * (x / largest)))
+    wide = c.withColumn("largest", F.array_max(F.transform("v", lambda x: F.abs(x))))
+    sizes = wide.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("norm"), F.max(largest).alias("unit"))
+    return sizes.orderBy(F.desc("n"), "d").limit(1).collect()
+
+
 def nearest_neighbours(candidates: DataFrame, queries: DataFrame, k: int = K, factor: float = FACTOR, id_col: str = "vec_id", vector_col: str = "embedding", shard: int | None = None, block: int = BLOCK, at_once: int = PASS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates with the largest inner product with each query.
 
@@ -141,9 +152,7 @@ def nearest_neighbours(candidates: DataFrame, queries: DataFrame, k: int = K, fa
     spark = candidates.sparkSession
     prepare(spark)
     c, q = usable(candidates, id_col, vector_col), usable(queries, id_col, vector_col)
-    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    norm = largest * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / largest) * (x / largest)))
-    sizes = c.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("norm"), F.max(largest).alias("unit")).orderBy(F.desc("n"), "d").limit(1).collect()
+    sizes = shape(c)
     result = "query_id long, rank int, vec_id long, score double"
     if not sizes:
         return spark.createDataFrame([], result)
@@ -159,8 +168,9 @@ def nearest_neighbours(candidates: DataFrame, queries: DataFrame, k: int = K, fa
         c.where(F.size("v") == dim).select(home(1, shards).alias("s"), count_up(passes).alias("p"), F.lit(0).alias("is_query"), "vec_id", "v")
         .unionByName(q.select(count_up(shards).alias("s"), home(2, passes).alias("p"), F.lit(1).alias("is_query"), "vec_id", "v"))
     )
-    cell = (F.col("s").cast("long") * passes + F.col("p")).alias("cell")
-    dealt = both.select(cell, "is_query", "vec_id", "v").repartition(max(1, min(shards * passes, 100_000)), "cell").sortWithinPartitions("cell", "is_query", "vec_id", "v")
+    cell = (F.col("s") * passes + F.col("p")).cast("int").alias("cell")
+    # A cell is a partition, up to TASKS of them.
+    dealt = both.select(cell, "is_query", "vec_id", "v").repartitionById(min(shards * passes, TASKS), F.col("cell")).sortWithinPartitions("cell", "is_query", "vec_id", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tree, ids, vectors = None, None, [], []
@@ -211,7 +221,10 @@ def nearest_neighbours(candidates: DataFrame, queries: DataFrame, k: int = K, fa
             yield from flush()
 
     found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
-    # Each shard has sent k rows for a query at most.
+    # Each shard has sent k rows for a query at most; of many shards the root of their number meets first.
+    if shards > k:
+        w = Window.partitionBy("query_id", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(int(shards**0.5)))).orderBy(F.desc("score"), "vec_id")
+        found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import regex
 
-from barloom.llm.langid import SEGMENT, UNKNOWN, ByteBiGRU, fit_langid, fit_on_documents, op2_language_id, predict_language
+from barloom.llm.langid import SEGMENT, UNKNOWN, ByteBiGRU, fit_langid, fit_on_documents, op2_language_id, predict_language, stage_language
 from barloom.llm.quality_rank import CUT, FEATURES, fit_bradley_terry, fit_on_labels, fit_quality, op6_quality, score_quality, text_features
 from tests.llm.helpers import ROWS, docs, plain
 
@@ -205,3 +205,16 @@ def test_clashing_names_in_any_case_are_replaced(spark, net, name):
     out = score_quality(predict_language(rows, net), fit_quality(docs(spark), spark.createDataFrame([(1, 1), (5, 0)], "doc_id long, quality int")))
     names = [c.lower() for c in out.columns]
     assert len(set(names)) == len(names) and out.select("score", "predicted", "lang_pred").count() == len(ROWS)
+
+
+def test_language_stage_drops_what_it_does_not_want(spark):
+    sf = "/root/testdata/sf0.01"
+    clean = spark.read.parquet(f"{sf}/documents.parquet").where("n_chars > 300").limit(60)
+    scraps = spark.createDataFrame([(10**9 + k, t, None, "a", 1) for k, t in enumerate([None, "", "123 !!", "  \n"])], clean.schema)
+    nameless = clean.limit(5).selectExpr("doc_id + 2000000000 AS doc_id", "text", "CAST(NULL AS string) AS lang", "source", "n_chars")
+    got = stage_language(spark, clean.unionByName(scraps).unionByName(nameless), sf).collect()
+    assert len(got) == 65 and all(r.lang for r in got)
+    assert stage_language(spark, clean, sf, least=1.0).count() == 0
+    langs = {r.doc_id: r.lang for r in clean.collect()}
+    one = stage_language(spark, clean, sf, languages=["de"]).collect()
+    assert {r.doc_id for r in one} == {d for d, lang in langs.items() if lang == "de"}

@@ -11,7 +11,7 @@ from barloom.llm.common import look_up
 from barloom.llm.components import components
 from barloom.llm.simhash import fingerprint
 from barloom.llm.simhash_dedup import BKTree, near_links, op5_simhash_bktree, shard_links, simhash_groups, stage_dedup
-from barloom.llm.vptree import VPTree, nearest_neighbours, op3_vptree_search
+from barloom.llm.vptree import VPTree, nearest_neighbours, op3_vptree_search, shape, usable
 from tests.llm.helpers import ROWS, docs
 
 # --- SimHash ---
@@ -163,6 +163,15 @@ def test_dedup_does_not_depend_on_the_order_of_rows(spark):
         assert sorted((r.doc_id, r.text, r.lang) for r in got) == [(1, min(texts[:3]), "de"), (2, texts[3], None)]
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_dedup_of_very_many_equal_rows(spark, few):
+    """A hundred thousand rows of one id and text, and some of many others; no task may hold them all, and one of each stays."""
+    df = spark.range(100_300).selectExpr("IF(id < 100000, 5L, id % 100) AS doc_id", "IF(id < 100000, 'one text of very many equal rows', concat('text ', hash(id % 100), ' of ', hash(id % 100 + 7))) AS text", "IF(id % 7 = 0, 'b', 'a') AS lang", "'s' AS source", "map('k', id % 2) AS extra")
+    got = stage_dedup(spark, df, None, few=few).collect()
+    assert len(got) == 101 and len({(r.doc_id, r.text) for r in got}) == 101
+    assert [(r.lang, r.extra) for r in got if r.text.startswith("one")] == [("a", {"k": 0})]
+
+
 def test_op5_against_all_pairs(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
     want = slow_groups([(r.doc_id, fingerprint(r.text)) for r in rows])
@@ -227,6 +236,27 @@ def test_op3_recall(spark, sf):
     assert len(got) == len(want) and len(hits) >= 0.95 * len(want)
 
 
+def test_norms_of_long_vectors_take_linear_time(spark):
+    import time
+
+    df = spark.range(20_000).selectExpr("id AS vec_id", "transform(sequence(1, 256), k -> CAST(hash(id, k) / 2147483648.0 AS float)) AS embedding").persist()
+    assert df.count() == 20_000
+    for d in (64, 256):
+        began = time.perf_counter()
+        row = shape(usable(df.selectExpr("vec_id", f"slice(embedding, 1, {d}) AS embedding"), "vec_id", "embedding"))[0]
+        assert (row.d, row.n) == (d, 20_000) and 0 < row.unit <= 1 < row.norm < d**0.5
+        assert time.perf_counter() - began < 5
+    df.unpersist()
+
+
+def test_many_shards_meet_in_two_steps(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(5).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id) for r in nearest_neighbours(df, df.where("vec_id % 9 = 0"), k=3, factor=1.0, shard=20).orderBy("query_id", "rank").collect()]
+    assert got == [x[:3] for x in slow_search(rows, rows[::9], 3)]
+
+
 def test_search_with_huge_candidates_tiny_queries_and_repeated_ids(spark):
     rng = np.random.default_rng(6)
     rows = [(i, (rng.standard_normal(4) * 1e200).tolist()) for i in range(60)]

@@ -111,7 +111,7 @@ def test_grammar_round_trip_and_random_access():
         assert all((a == b).all() and len(a) == len(b) for a, b in zip(block.all_ids(), ids))
         for k in rng.integers(0, 61, 10):
             assert (block.ids(int(k)) == ids[k]).all()
-        assert block.doc_id[-1] == repair.NULL_ID
+        assert block.null[-1] and not block.null[:-1].any()
     assert len(block.left) >= 0
 
 
@@ -183,13 +183,22 @@ def test_grammar_leaves_no_repeated_pair():
         assert uses.min() >= 1
 
 
+def test_smallest_and_largest_ids_come_back(spark, tmp_path):
+    rows = [(d, f"text {k}", None, None, None, None, None) for k, d in enumerate([-(1 << 63), None, (1 << 63) - 1, 0, -1])]
+    path = f"file://{tmp_path}/tokens"
+    repair.write_token_file(docs(spark, rows), path)
+    got = repair.read_token_file(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, -(1 << 63), -1, 0, (1 << 63) - 1]
+
+
 def test_token_file_deals_many_rows_of_one_id_to_several_shards(spark, words, tmp_path):
     rows = [(7 if k % 2 else None if k % 4 else k, f"text number {k} of them", None, None, None, None, None) for k in range(120)]
     path = f"file://{tmp_path}/tokens"
     repair.write_token_file(docs(spark, rows), path, shard_docs=10)
     blocks = spark.read.parquet(path).collect()
-    ids_of = [set(repair.Block(bytes(b.data)).doc_id.tolist()) for b in sorted(blocks)]
-    assert sum(7 in x for x in ids_of) >= 4 and sum(repair.NULL_ID in x for x in ids_of) >= 3
+    parts = [repair.Block(bytes(b.data)) for b in sorted(blocks)]
+    ids_of = [set(p.doc_id[~p.null].tolist()) for p in parts]
+    assert sum(7 in x for x in ids_of) >= 4 and sum(p.null.any() for p in parts) >= 3
     got = repair.read_token_file(spark, path).orderBy("start").collect()
     assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda d: (d is not None, d))
     assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
