@@ -1,11 +1,12 @@
-"""Signal agents: each a pure function of one feature row (or of one time's cross-section), in long form."""
+"""Signal agents: each a pure function of one feature row (or of all symbols' latest), in long form."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import linear_map, squash
+from barloom.operators.cross_section import peers_as_of
 
 #: Trust and horizon of each agent.
 WEIGHTS = {"momentum": 1.0, "mean_reversion": 0.9, "breakout": 0.85, "rel_strength": 0.8}
@@ -50,18 +51,18 @@ def breakout(edge: float = 0.90) -> Column:
 
 
 def relative_strength(df: DataFrame) -> DataFrame:
-    """df with ``rel_strength``: the rank of risk-adjusted momentum among the ready symbols with a bar at that time."""
+    """df with ``rel_strength``: the rank of risk-adjusted momentum among the latest snapshots of all symbols that are ready.
+
+    A peer counts with its latest bar, whenever that was: no bar at the very same time is needed.
+    """
     ok = F.col("ready") & (F.col("realized_vol") > 1e-9)
-    df = df.withColumn("_m", F.when(ok, F.round(F.col("roc_slow") / F.col("realized_vol"), 9)))
-    at = Window.partitionBy("ts")
-    n = F.count("_m").over(at)
-    rank = F.row_number().over(at.orderBy(F.col("_m").asc_nulls_last(), "symbol")) - 1
-    df = df.withColumns({"_n": n, "_rank": rank, "_spread": F.max("_m").over(at) - F.min("_m").over(at), "_mean": F.avg("_m").over(at)})
-    score = F.when(F.col("_n") > 1, F.col("_rank") / (F.col("_n") - 1) * 2 - 1)
-    relative = F.when(F.col("_spread") > 1e-12, F.abs(F.col("_m") - F.col("_mean")) / F.col("_spread")).otherwise(0.0)
-    sure = F.least(relative * 2, F.lit(1.0)) * linear_map(F.col("_spread"), 0.02, 0.08, 0.0, 1.0)
-    holds = F.col("_m").isNotNull() & (F.col("_n") >= 3) & (sure >= 0.15) & (F.abs(score) >= 0.2)
-    return df.withColumn("rel_strength", _opinion(score, sure, holds)).drop("_m", "_n", "_rank", "_spread", "_mean")
+    df = peers_as_of(df.withColumn("_m", F.when(ok, F.round(F.col("roc_slow") / F.col("realized_vol"), 9))), "_m")
+    spread = F.col("peer_spread")
+    score = F.when(F.col("peers") > 1, F.col("peer_place") / (F.col("peers") - 1) * 2 - 1)
+    relative = F.when(spread > 1e-12, F.abs(F.col("_m") - F.col("peer_mean")) / spread).otherwise(0.0)
+    sure = F.least(relative * 2, F.lit(1.0)) * linear_map(spread, 0.02, 0.08, 0.0, 1.0)
+    holds = F.col("_m").isNotNull() & (F.col("peers") >= 3) & (sure >= 0.15) & (F.abs(score) >= 0.2)
+    return df.withColumn("rel_strength", _opinion(score, sure, holds)).drop("_m", "peers", "peer_place", "peer_spread", "peer_mean")
 
 
 def regime_appetite(pct: Column) -> Column:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom import bars as B
+from barloom.operators import cross_section as X
 from barloom.plans.registry import query
-from barloom.plans.sql import BARS, with_bars
+from barloom.plans.sql import BARS, peers, with_bars
 
 
 @query(f"WITH {BARS} SELECT symbol, ts, open, high, low, close, volume, round(vwap, 6) AS vwap FROM b0")
@@ -194,3 +195,17 @@ def cross_section_rank(spark: SparkSession, sf: str) -> DataFrame:
     n, rank = F.count(F.lit(1)).over(at), F.row_number().over(at.orderBy("s", "symbol"))
     b = b.select("ts", "symbol", "s", n.alias("n"), rank.alias("rank"))
     return b.select("ts", "symbol", F.col("s").alias("score_input"), "n", F.when(F.col("n") < 3, 0.0).otherwise(F.round((F.col("rank") - 1) / (F.col("n") - 1) * 2 - 1, 8)).alias("score"))
+
+
+_IRREGULAR = """i0 AS MATERIALIZED (SELECT concat(event_type, '-', user_id % 7) AS symbol, time_bucket(INTERVAL 10 MINUTE, ts) AS ts, arg_max(value, struct_pack(t := ts, e := event_id)) AS close FROM events GROUP BY 1, 2),
+i1 AS MATERIALIZED (SELECT symbol, ts, round(close / nullif(avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0), 9) AS m FROM i0)"""
+
+
+@query(f"WITH {_IRREGULAR}, {peers('p', 'i1')} SELECT symbol, ts, m AS value, cnt AS peers, k AS peer_place, sp AS peer_spread, mn AS peer_mean FROM p")
+def peers_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Each ten-minute bar among the latest bars of all symbols - event types by user group, which have theirs at different times."""
+    e = B.read(spark, sf, "events")
+    symbol = F.concat(F.col("event_type"), F.lit("-"), F.col("user_id") % 7)
+    b = B.ticks_to_bars(e, "10 minutes", symbol, F.col("value"), F.struct("ts", "event_id"), F.lit(1))
+    b = b.select("symbol", "ts", F.round(F.try_divide("close", F.avg("close").over(B.trailing(20))), 9).alias("value"))
+    return X.peers_as_of(b, "value").where("value IS NOT NULL")

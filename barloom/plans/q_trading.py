@@ -11,7 +11,7 @@ from barloom.operators import agents as A
 from barloom.operators import portfolio as P
 from barloom.plans.q_windows import bars
 from barloom.plans.registry import query
-from barloom.plans.sql import ORDER, TRUE_RANGE, smoothing, with_bars, w
+from barloom.plans.sql import ORDER, TRUE_RANGE, peers, smoothing, with_bars, w
 from barloom.session import materialise
 
 _LIN = "({lo} + greatest(least(({x} - {a}) / {d}::DOUBLE, 1), 0) * {span}::DOUBLE)"
@@ -48,8 +48,10 @@ FEATURES = (
   SELECT *, -tanh(z / 1.6::DOUBLE) AS score FROM ft WHERE ready AND atr_pct > 1e-9 AND abs(spread / atr_pct) <= 1.2 AND abs(z) >= 0.7))) WHERE c >= 0.15)""",
     f"""bo AS (SELECT symbol, ts, 'breakout' AS agent, score, CASE WHEN (spread > 0) = (score > 0) THEN least(c + 0.15::DOUBLE, 1) ELSE c END AS confidence, 16 AS horizon FROM (
   SELECT *, CASE WHEN pos >= 0.9 THEN {lin('pos', 0.9, 1.0, 0.35, 1.0)} ELSE -0.35::DOUBLE END AS score, {lin('vz', -0.25, 2.0, 0.45, 1.0)} AS c FROM ft WHERE ready AND atr > 1e-12 AND close > 0 AND (dh - dl) / atr >= 2.5 AND (pos >= 0.9 OR pos <= 1 - 0.9::DOUBLE) AND vz >= -0.25))""",
-    f"""rs AS (SELECT symbol, ts, 'rel_strength' AS agent, score, c AS confidence, 32 AS horizon FROM (SELECT *, k / (cnt - 1)::DOUBLE * 2 - 1 AS score, least(CASE WHEN sp > 1e-12 THEN abs(m - mn) / sp ELSE 0 END * 2, 1) * {lin('sp', 0.02, 0.08, 0.0, 1.0)} AS c FROM (
-  SELECT *, count(*) OVER p AS cnt, row_number() OVER (PARTITION BY ts ORDER BY m, symbol) - 1 AS k, max(m) OVER p - min(m) OVER p AS sp, avg(m) OVER p AS mn FROM (SELECT symbol, ts, round(roc / rv, 9) AS m FROM ft WHERE ready AND rv > 1e-9) WINDOW p AS (PARTITION BY ts)) WHERE cnt >= 3) WHERE c >= 0.15 AND abs(score) >= 0.2)""",
+    "pm AS MATERIALIZED (SELECT symbol, ts, CASE WHEN ready AND rv > 1e-9 THEN round(roc / rv, 9) END AS m FROM ft)",
+    peers("pr", "pm"),
+    f"""rs AS (SELECT symbol, ts, 'rel_strength' AS agent, score, c AS confidence, 32 AS horizon FROM (SELECT *, k / (cnt - 1)::DOUBLE * 2 - 1 AS score, least(CASE WHEN sp > 1e-12 THEN abs(m - mn) / sp ELSE 0 END * 2, 1) * {lin('sp', 0.02, 0.08, 0.0, 1.0)} AS c
+  FROM pr WHERE cnt >= 3) WHERE c >= 0.15 AND abs(score) >= 0.2)""",
     "sg AS MATERIALIZED (SELECT * FROM mo UNION ALL SELECT * FROM mr UNION ALL SELECT * FROM bo UNION ALL SELECT * FROM rs)",
 )
 

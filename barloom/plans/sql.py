@@ -46,3 +46,11 @@ def summing(name: str, source: str, x: str, period: int, n: str = "n") -> str:
 TRUE_RANGE = f"""tr AS MATERIALIZED (
   SELECT *, coalesce(greatest(high - low, abs(high - lag(close) OVER ({ORDER})), abs(low - lag(close) OVER ({ORDER}))), high - low) AS t FROM b
 )"""
+
+
+def peers(name: str, source: str) -> str:
+    """CTEs of ``source`` (symbol, ts, m): name has, for each row with an m, the latest m of every symbol: cnt, k (own place), sp and mn."""
+    return f"""{name}_at AS (SELECT x.symbol, x.ts, x.m AS own, p.symbol AS peer, CASE WHEN p.symbol <= x.symbol THEN x.ts ELSE x.ts - INTERVAL 1 MICROSECOND END AS upto
+  FROM {source} x, (SELECT DISTINCT symbol FROM {source}) p WHERE x.m IS NOT NULL),
+{name} AS (SELECT a.symbol, a.ts, a.own AS m, count(p.m) AS cnt, count(CASE WHEN p.m < a.own OR (p.m = a.own AND a.peer < a.symbol) THEN 1 END) AS k, (max(round(p.m * 1e9)) - min(round(p.m * 1e9))) / 1e9::DOUBLE AS sp, sum(CAST(round(p.m * 1e9) AS BIGINT))::DOUBLE / count(p.m) / 1e9::DOUBLE AS mn
+  FROM {name}_at a ASOF JOIN {source} p ON p.symbol = a.peer AND p.ts <= a.upto GROUP BY ALL)"""
