@@ -1,18 +1,15 @@
-"""Streaming roll-ups and stateful indicators. The steps are those of the batch kernels."""
+"""Streaming roll-ups, steps, and how streams are run: what is kept for each symbol is in keyed.py."""
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
 
-from barloom.session import materialise, shared_dir, ship_package
+from barloom.session import materialise, shared_dir
 
 
 def roll_up_stream(ticks: DataFrame, every: str, late: str = "0 seconds", symbol: str = "symbol", ts: str = "ts", price: str = "price") -> DataFrame:
@@ -29,33 +26,6 @@ def first_seen_stream(rows: DataFrame, keys: list[str], ts: str = "ts", within:
     return rows.withWatermark(ts, within).dropDuplicatesWithinWatermark(keys)
 
 
-def stateful(bars: DataFrame, start: Callable[[], dict], step: Callable[[dict, tuple], tuple[dict, dict | None]], columns: list[str], schema: str) -> DataFrame:
-    """A step function over a stream of bars, its state kept for each symbol.
-
-    A bar at or before the newest one of its symbol is late and dropped. schema begins with symbol and ts.
-    """
-    ship_package(bars.sparkSession)
-    names = [x.strip().split()[0] for x in schema.split(",")]
-
-    def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, held = (None, start()) if not state.exists else (state.get[0], json.loads(state.get[1]))
-        pdf = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        rows = []
-        for ts, values in zip(pdf["ts"].tolist(), zip(*(pdf[c].tolist() for c in columns))):
-            stamp = ts.isoformat()
-            if last is not None and stamp <= last:
-                continue
-            last = stamp
-            held, out = step(held, values)
-            if out is not None:
-                rows.append((key[0], ts, *out.values()))
-        state.update((last, json.dumps(held)))
-        if rows:
-            yield pd.DataFrame(rows, columns=names)
-
-    return bars.groupBy("symbol").applyInPandasWithState(run, schema, "last string, held string", "append", GroupStateTimeout.NoTimeout)
-
-
 def ema_start() -> dict:
     return {"n": 0, "v": 0.0}
 
@@ -82,27 +52,64 @@ def roller_step(s: dict, bucket: str, open_: float, high: float, low: float, clo
     return {"bucket": bucket, "bar": {**b, "high": max(b["high"], high), "low": min(b["low"], low), "close": close, "volume": b["volume"] + volume}}, None
 
 
+#: State is kept in RocksDB: it outgrows memory, and typed state needs it.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_once(stream: DataFrame, base: str, mode: str = "append", sink: Callable[[DataFrame, int], None] | None = None, idle_batches: bool = True) -> None:
+    """Run a stream over all that is there now and end; what it knows is kept below base, so that the next run goes on from there.
+
+    Rows go to base/out, or to ``sink`` by foreachBatch. idle_batches: batches without rows, which a watermark needs to close
+    what it has passed; state that ends by processing time asks for them for ever, so such a run must do without.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    stream.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(idle_batches).lower())
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    q = (w.foreachBatch(sink) if sink else w.format("parquet").option("path", f"{base}/out")).start()
+    q.awaitTermination()
+
+
+def new_base(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there now, into a table of the shared folder, and read that."""
-    spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    q = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    base = new_base(stream.sparkSession)
+    run_once(stream, base, mode)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def source(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
+    """A stream of the rows of the Parquet files below path, those of later files included."""
+    return spark.readStream.schema(schema).parquet(path)
 
 
-def replay(spark: SparkSession, bars: DataFrame, parts: int = 3) -> DataFrame:
-    """A stream of bars that come in several parts, the older first, about one in each batch.
+def replayed(tables: dict[str, list[DataFrame]], build: Callable[..., DataFrame], mode: str = "append", sink: Callable[[str], Callable[[DataFrame, int], None]] | None = None, idle_batches: bool = True) -> DataFrame:
+    """What a stream brings that gets the first part of each table, then the second, and so on.
 
-    The bars are computed once. Within a part all of a symbol's bars are in one file, so files may come in any order there.
+    ``build`` makes the stream from one stream for each table, by name. Every part is a run of its own that goes on from the
+    checkpoint of the one before: the order of parts doesn't hang on the times of files, and each run is a restart. All
+    tables have as many parts. ``sink`` makes a foreachBatch sink for a path; its rows are read from there with their batch.
     """
-    path = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
+    some = next(iter(tables.values()))
+    spark = some[0].sparkSession
+    base = new_base(spark)
+    for k in range(len(some)):
+        for name, parts in tables.items():
+            parts[k].write.mode("append").parquet(f"{base}/in/{name}")
+        stream = build(**{name: source(spark, parts[0].schema, f"{base}/in/{name}") for name, parts in tables.items()})
+        run_once(stream, base, mode, sink(f"{base}/out") if sink else None, idle_batches)
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())]) if sink else stream.schema
+    return spark.read.schema(schema).parquet(f"{base}/out")
+
+
+def in_parts(bars: DataFrame, parts: int = 3, late: Column | None = None) -> list[DataFrame]:
+    """bars by time in so many parts of equal length; those for which ``late`` holds come one part later, or in the last."""
     day = F.to_date("ts")
-    held = materialise(bars.repartition("symbol"), "barloom/bars")
+    held = materialise(bars, "barloom/bars")
     first, last = held.agg(F.min(day), F.max(day)).first()
     span = (last - first).days + 1 if last else 1
-    part = F.floor(F.datediff(day, F.lit(first)) * parts / span)
-    for k in range(parts):
-        held.where(part == k).repartition("symbol").write.mode("append").parquet(path)
-    files = len(spark.read.schema(bars.schema).parquet(path).inputFiles())
-    return spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", max(1, files // parts)).parquet(path)
+    part = F.floor(F.datediff(day, F.lit(first)) * parts / span).cast("int")
+    part = F.least(part + F.when(late, 1).otherwise(0), F.lit(parts - 1)) if late is not None else part
+    return [held.where(part == k) for k in range(parts)]
