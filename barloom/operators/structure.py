@@ -5,12 +5,15 @@ A pivot may be used only from the bar that confirmed it, so all joins to bars go
 
 from __future__ import annotations
 
+import bisect
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.bars import by_symbol, numbered, so_far, trailing
 from barloom.functions.scalars import EPS
-from barloom.operators.kernels import gap_fates
+from barloom.operators.kernels import gap_fates, scan_stacked
 
 FLAT = 0.0025
 
@@ -75,12 +78,8 @@ def speed_line(origin: Column, origin_at: Column, extreme: Column, extreme_at: C
     return F.when(run <= 0, origin).otherwise(origin + (extreme - origin) * part / run * (at - origin_at))
 
 
-def gaps(bars: DataFrame, atr: str = "atr", least: float = 0.25) -> DataFrame:
-    """Gaps between a bar and the one before, and the first later bars that filled them and closed through them.
-
-    Finding gaps is a window; what becomes of them is a scan that keeps the open ones in heaps, so a gap costs the
-    logarithm of the open ones and not the bars after it.
-    """
+def flagged_gaps(bars: DataFrame, atr: str = "atr", least: float = 0.25) -> DataFrame:
+    """bars with is_gap, up, gap_low, gap_high and volume_ratio: whether each left a gap to the one before."""
     w = by_symbol()
     b = numbered(bars).withColumns({
         "ph": F.lag("high").over(w), "pl": F.lag("low").over(w), "mean_volume": F.avg("volume").over(trailing(30)),
@@ -92,7 +91,69 @@ def gaps(bars: DataFrame, atr: str = "atr", least: float = 0.25) -> DataFrame:
         "is_gap": is_gap, "up": F.coalesce(up, F.lit(False)), "gap_low": F.when(up, F.col("ph")).otherwise(F.col("high")), "gap_high": F.when(up, F.col("low")).otherwise(F.col("pl")),
         "volume_ratio": F.when(F.col("mean_volume") > 0, F.col("volume") / F.col("mean_volume")).otherwise(1.0),
     })
-    return gap_fates(b)
+    return b
+
+
+def gaps(bars: DataFrame, atr: str = "atr", least: float = 0.25) -> DataFrame:
+    """Gaps between a bar and the one before, and the first later bars that filled them and closed through them.
+
+    Finding gaps is a window; what becomes of them is a scan that keeps the open ones in heaps, so a gap costs the
+    logarithm of the open ones and not the bars after it.
+    """
+    return gap_fates(flagged_gaps(bars, atr, least))
+
+
+class OpenGaps:
+    """One side's open gaps: in order of the edge that price meets first, with a heap of the far edges that fill them.
+
+    Edges are turned so that price comes from above: near is the edge it meets first, far the one that fills the gap.
+    """
+
+    def __init__(self):
+        self.near: list[tuple[float, float, int]] = []
+        self.far: list[tuple[float, float, int]] = []
+
+    def add(self, near: float, far: float, i: int) -> None:
+        bisect.insort(self.near, (near, far, i))
+        heapq.heappush(self.far, (-far, near, i))
+
+    def fill(self, reached: float) -> None:
+        """Drop the gaps whose far edge is at ``reached`` or above."""
+        while self.far and -self.far[0][0] >= reached:
+            far, near, i = heapq.heappop(self.far)
+            del self.near[bisect.bisect_left(self.near, (near, -far, i))]
+
+    def nearest(self, price: float) -> tuple[float | None, float | None]:
+        """(near, far) of the gap whose near edge is the highest at or under price; of several the one with the highest far edge."""
+        k = bisect.bisect_right(self.near, (price, float("inf"), 0))
+        return self.near[k - 1][:2] if k else (None, None)
+
+
+def open_gap_step(sides: tuple[OpenGaps, OpenGaps], r: dict) -> tuple[tuple[OpenGaps, OpenGaps], list[tuple]]:
+    """A bar fills gaps, then may leave one; then its close looks for the nearest. Gaps above are kept upside down."""
+    below, above = sides
+    below.fill(r["low"])
+    above.fill(-r["high"])
+    if r["is_gap"]:
+        if r["up"]:
+            below.add(r["gap_high"], r["gap_low"], r["i"])
+        else:
+            above.add(-r["gap_low"], -r["gap_high"], r["i"])
+    high, low = below.nearest(r["close"])
+    over, top = above.nearest(-r["close"])
+    return sides, [(r["ts"], len(below.near) + len(above.near), low, high, None if over is None else -over, None if top is None else -top)]
+
+
+def open_gaps(bars: DataFrame, atr: str = "atr", least: float = 0.25) -> DataFrame:
+    """(symbol, ts, n_open, support_low, support_high, resistance_low, resistance_high) of each bar.
+
+    Support is the open up-gap with the highest upper edge at or under the close, resistance the open down-gap with the lowest
+    lower edge at or above it; nulls where there is none. A gap is open until a later bar reaches its far edge. Bars stream
+    past in Arrow batches; a symbol's open gaps are kept in order, so a bar costs their logarithm.
+    """
+    b = flagged_gaps(bars, atr, least).select("symbol", "ts", "i", "high", "low", "close", "is_gap", "up", "gap_low", "gap_high")
+    kind = dict(bars.dtypes)["ts"]
+    return scan_stacked([b], [], lambda: (OpenGaps(), OpenGaps()), open_gap_step, f"ts {kind}, n_open long, support_low double, support_high double, resistance_low double, resistance_high double")
 
 
 def gap_type(volume_ratio: Column, move_bars: Column, breakout: Column, heavy: float = 1.5) -> Column:

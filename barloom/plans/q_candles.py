@@ -6,17 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom import bars as B
+from barloom.functions import indicators as I
 from barloom.operators import candles as C
+from barloom.operators import kernels as K
+from barloom.operators import multiframe as M
+from barloom.operators import structure as S
+from barloom.plans.q_structure import TREND
 from barloom.plans.q_windows import bars
 from barloom.plans.registry import query
-from barloom.plans.sql import ORDER, TRUE_RANGE, smoothing, with_bars
+from barloom.plans.sql import ORDER, with_bars
+from barloom.session import materialise
 
 
 def with_trend(spark: SparkSession, sf: str) -> DataFrame:
-    """Bars with the direction of the five closes before each as its trend."""
-    w = B.by_symbol()
-    change = F.lag("close", 1).over(w) - F.lag("close", 6).over(w)
-    return bars(spark, sf).withColumn("prior_trend", F.coalesce(F.signum(change), F.lit(0.0)).cast("int"))
+    """Bars with the sign of the Dow trend as each one's trend, a written table."""
+    b = materialise(I.atr(bars(spark, sf)), "barloom/bars")  # pivots, trend and signals read them
+    way = S.dow_trend(b, K.swings(b)).select("symbol", "ts", M.sign_of(F.col("direction")).alias("prior_trend"))
+    return materialise(b.drop("atr").join(way, ["symbol", "ts"]), "barloom/trended")
 
 
 def _anatomy(k: str) -> str:
@@ -76,18 +82,17 @@ def _signals() -> tuple[str, ...]:
         pick.append(f"SELECT symbol, ts, '{kind}' AS kind, {bias} AS bias, {sessions} AS sessions, CAST({strength} AS DOUBLE) AS s, vr FROM k WHERE ({holds}) AND {admit}")
     lag = ", ".join(f"lag({c}, {k}) OVER ({ORDER}) AS {c[0]}{k}" for c in ("open", "high", "low", "close") for k in (1, 2))
     return (
-        TRUE_RANGE,
-        smoothing("a", "tr", "t", 14, "1.0::DOUBLE / 14"),
-        f"""x AS (SELECT b.symbol, b.ts, b.n, b.volume, open AS o0, high AS h0, low AS l0, close AS c0, {lag}, coalesce(sign(lag(close, 1) OVER ({ORDER}) - lag(close, 6) OVER ({ORDER})), 0) AS t,
+        *TREND,
+        f"""x AS (SELECT b.symbol, b.ts, b.n, b.volume, open AS o0, high AS h0, low AS l0, close AS c0, {lag}, (SELECT CASE direction WHEN 'up' THEN 1 WHEN 'down' THEN -1 ELSE 0 END FROM te WHERE te.symbol = b.symbol AND te.n = b.n) AS t,
   coalesce(avg(abs(close - open)) OVER ({ORDER} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 0) AS avg_body, coalesce(avg(volume) OVER ({ORDER} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 0) AS avg_volume FROM b)""",
         f"y AS (SELECT x.*, coalesce(a.v, 0) AS patr, CASE WHEN avg_volume <= 0 THEN 1 ELSE volume / avg_volume END AS vr, {_anatomy('0')}, {_anatomy('1')}, {_anatomy('2')} FROM x LEFT JOIN a ON a.symbol = x.symbol AND a.n = x.n - 1 WHERE avg_body > 0)",
-        """z AS (SELECT *, up0 <= 0.1::DOUBLE * rng0 AND dn0 <= 0.1::DOUBLE * rng0 AND rng0 > 0 AS bare0, up1 <= 0.1::DOUBLE * rng1 AND dn1 <= 0.1::DOUBLE * rng1 AND rng1 > 0 AS bare1,
+        """zz AS (SELECT *, up0 <= 0.1::DOUBLE * rng0 AND dn0 <= 0.1::DOUBLE * rng0 AND rng0 > 0 AS bare0, up1 <= 0.1::DOUBLE * rng1 AND dn1 <= 0.1::DOUBLE * rng1 AND rng1 > 0 AS bare1,
   NOT doji0 AND body0 > 0 AND rng0 > 0 AND small0 AND dn0 >= 2 * body0 AND up0 <= 0.1::DOUBLE * rng0 AS umbrella, NOT doji0 AND body0 > 0 AND rng0 > 0 AND small0 AND up0 >= 2 * body0 AND dn0 <= 0.1::DOUBLE * rng0 AS inverted,
   doji0 AND rng0 > 0 AND up0 / nullif(rng0, 0) <= 0.1 AND dn0 / nullif(rng0, 0) >= 0.6 AS dragonfly, doji0 AND rng0 > 0 AND dn0 / nullif(rng0, 0) <= 0.1 AND up0 / nullif(rng0, 0) >= 0.6 AS gravestone, doji0 AND rng0 > 0 AND up0 / nullif(rng0, 0) >= 0.3 AND dn0 / nullif(rng0, 0) >= 0.3 AS legged,
   NOT doji1 AND NOT doji0 AND top0 >= top1 AND bot0 <= bot1 AND body0 > body1 AS eng0, NOT doji2 AND NOT doji1 AND top1 >= top2 AND bot1 <= bot2 AND body1 > body2 AS eng1,
   long1 AND top0 <= top1 AND bot0 >= bot1 AND small0 AS har0, long2 AND top1 <= top2 AND bot1 >= bot2 AND small1 AS har1, patr > 0 AND abs(l0 - l1) <= 0.1::DOUBLE * patr AND l0 < least(c1, c0) AS twb FROM y)""",
         """k AS MATERIALIZED (SELECT *, small1 AND long2 AND long0 AND white2 AND black0 AND bot1 > top2 AND c0 <= mid2 AS eve, small1 AND long2 AND long0 AND black2 AND white0 AND top1 < bot2 AND c0 >= mid2 AS mor,
-  long2 AND long1 AND long0 AND o1 BETWEEN bot2 AND top2 AND o0 BETWEEN bot1 AND top1 AS stairs FROM z)""",
+  long2 AND long1 AND long0 AND o1 BETWEEN bot2 AND top2 AND o0 BETWEEN bot1 AND top1 AS stairs FROM zz)""",
         "s0 AS (" + "\nUNION ALL\n".join(pick) + ")",
         "s AS (SELECT symbol, ts, kind, bias, sessions, vr, CASE WHEN vr >= 1.5 THEN least(s * 1.15::DOUBLE, 1) WHEN vr < 0.7 AND bias > 0 THEN s * 0.85::DOUBLE ELSE s END AS s FROM s0)",
     )

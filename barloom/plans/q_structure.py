@@ -75,7 +75,7 @@ def legs(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(T.legs(pivots(spark, sf)).select("symbol", F.col("confirmed_index").cast("long").alias("confirmed_index"), "is_up", "height", F.col("bars").cast("long").alias("bars"), "pct"))
 
 
-_TREND = (
+TREND = (
     *SWINGS,
     """k2 AS (SELECT symbol, known, kind, price, px_at, lag(price) OVER (PARTITION BY symbol, kind ORDER BY known) AS prev, lag(px_at) OVER (PARTITION BY symbol, kind ORDER BY known) AS pr_at, row_number() OVER (PARTITION BY symbol ORDER BY known) AS used FROM pv)""",
     f"""st AS (SELECT b.symbol, b.ts, b.n, b.close, last_value(CASE WHEN kind = 'peak' THEN prev END IGNORE NULLS) OVER o AS pp, last_value(CASE WHEN kind = 'peak' AND prev IS NOT NULL THEN price END IGNORE NULLS) OVER o AS pl, last_value(CASE WHEN kind = 'trough' THEN prev END IGNORE NULLS) OVER o AS tp,
@@ -90,7 +90,7 @@ _TREND = (
 @query(
     with_bars(
         """SELECT symbol, ts, direction, health, CAST(used AS INTEGER) AS pivots_used, round(CASE WHEN direction = 'unknown' THEN 0 ELSE CASE WHEN health = 'intact' THEN 1.0 ELSE 0.2 END * CASE WHEN direction = 'sideways' THEN 0.5 ELSE 1.0 END * (0.5::DOUBLE + 0.5::DOUBLE * least(1, least(used, 200) / 4.0::DOUBLE)) END, 6) AS confidence FROM te""",
-        *_TREND,
+        *TREND,
         recursive=True,
     )
 )
@@ -137,6 +137,21 @@ def gaps(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(g.select("symbol", "ts", "up", "gap_low", "gap_high", "volume_ratio", F.col("filled_at").cast("long").alias("filled_at"), F.col("closed_through_at").cast("long").alias("closed_through_at")))
 
 
+@query(
+    with_bars(
+        """SELECT symbol, ts, n_open, round(sup[2], 6) AS support_low, round(sup[1], 6) AS support_high, round(res[1], 6) AS resistance_low, round(res[2], 6) AS resistance_high
+FROM (SELECT b.symbol, b.ts, count(f.n) AS n_open, max(CASE WHEN up AND hi <= b.close THEN [hi, lo] END) AS sup, min(CASE WHEN NOT up AND lo >= b.close THEN [lo, hi] END) AS res
+  FROM b LEFT JOIN f ON f.symbol = b.symbol AND f.n <= b.n AND (f.filled IS NULL OR f.filled > b.n) GROUP BY b.symbol, b.ts)""",
+        *_GAPS,
+        "f AS MATERIALIZED (SELECT g.symbol, g.n, up, lo, hi, (SELECT min(b.n) FROM b WHERE b.symbol = g.symbol AND b.n > g.n AND CASE WHEN up THEN b.low <= lo ELSE b.high >= hi END) AS filled FROM g)",
+        recursive=True,
+    )
+)
+def open_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """On each bar the nearest open gap below and above its close."""
+    return rounded(T.open_gaps(I.atr(bars(spark, sf))))
+
+
 @query(
     with_bars(
         f"""SELECT symbol, ts, kind, outside, round(least(1, 0.25::DOUBLE + least(0.3::DOUBLE, 0.15::DOUBLE * rr) + least(0.3::DOUBLE, 0.15::DOUBLE * vr) + CASE WHEN outside THEN 0.15::DOUBLE ELSE 0 END), 6) AS significance, kind = 'bottom' AND vr >= 1.8 AS is_climax FROM (

@@ -606,3 +606,36 @@ def test_caps_average_all_orders(spark, sf):
             want[s, ts] = x * max(1 - (abs(net) - 0.6) / side, 0) if abs(net) > 0.6 and x * net > 0 else x
     got = {(r.symbol, r.ts): r.weight for r in G.exposure_caps(spark, sf).collect()}
     assert set(got) == set(want) and all(got[k] == pytest.approx(v, abs=2e-6) for k, v in want.items())
+
+
+def test_open_gaps_are_swept_as_a_plain_loop_does(spark):
+    """Every bar against all gaps that were left before it."""
+
+    from barloom.operators import structure
+
+    rng = random.Random(11)
+    start = dt.datetime(2024, 1, 1)
+    rows = []
+    for symbol in ("a", "b"):
+        price = 100.0
+        for k in range(260):
+            price += rng.choice([-6, -4, -1, 0, 1, 4, 6])
+            low, high = price - rng.choice([0, 1, 2]), price + rng.choice([0, 1, 2])
+            rows.append((symbol, start + dt.timedelta(hours=k), price, high, low, rng.choice([low, price, high]), 10.0, 1.0))
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double, atr double").repartition(4)
+    got = {(r.symbol, r.ts): tuple(r)[2:] for r in structure.open_gaps(df).collect()}
+    want = {}
+    for symbol in ("a", "b"):
+        own = [r for r in rows if r[0] == symbol]
+        gaps = []
+        for k, (_, ts, _, high, low, close, _, _) in enumerate(own):
+            gaps = [g for g in gaps if not (low <= g[1] if g[0] else high >= g[2])]
+            if k and low > own[k - 1][3] and low - own[k - 1][3] >= 0.25:
+                gaps.append((True, own[k - 1][3], low))
+            if k and high < own[k - 1][4] and own[k - 1][4] - high >= 0.25:
+                gaps.append((False, high, own[k - 1][4]))
+            support = max(((hi, lo) for up, lo, hi in gaps if up and hi <= close), default=(None, None))
+            resistance = min(((lo, hi) for up, lo, hi in gaps if not up and lo >= close), default=(None, None))
+            want[symbol, ts] = (len(gaps), support[1], support[0], *resistance)
+    assert got == want and sum(v[1] is not None for v in want.values()) > 20 and sum(v[3] is not None for v in want.values()) > 20
+    assert max(v[0] for v in want.values()) > 3
