@@ -16,8 +16,11 @@ from barloom.operators import multiframe as M
 from barloom.operators import patterns as P
 from barloom.operators import structure as S
 from barloom.plans.q_metrics import rounded
+from barloom.plans.q_recursions import DMI, RSI
+from barloom.plans.q_structure import TREND
 from barloom.plans.q_windows import bars
 from barloom.plans.registry import query
+from barloom.plans.sql import with_bars
 from barloom.session import materialise
 
 
@@ -148,10 +151,21 @@ def blotter(spark: SparkSession, sf: str) -> DataFrame:
     return e.withColumn("k", F.row_number().over(w)).where("k <= 40").select(F.col("event_type").alias("symbol"), "ts", "value")
 
 
-@query()
+@query(
+    with_bars(
+        """SELECT te.symbol, te.ts, te.close, round(te.close / nullif(p.close, 0) - 1, 6) AS change, direction, health, round(ad.v, 6) AS adx, round(a.v / nullif(te.close, 0), 6) AS atr_pct,
+  round(CASE WHEN te.n = 1 THEN 50 WHEN l.v <= 1e-12 THEN CASE WHEN g.v > 1e-12 THEN 100 ELSE 50 END ELSE 100 - 100 / (1 + g.v / l.v) END, 6) AS rsi
+FROM (SELECT * FROM te QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY n DESC) = 1) te LEFT JOIN b p ON p.symbol = te.symbol AND p.n = te.n - 1 JOIN ad ON ad.symbol = te.symbol AND ad.m = te.n - 1 JOIN a ON a.symbol = te.symbol AND a.n = te.n
+  LEFT JOIN g ON g.symbol = te.symbol AND g.n = te.n - 1 LEFT JOIN l ON l.symbol = te.symbol AND l.n = te.n - 1""",
+        *TREND,
+        *DMI[1:],
+        *RSI,
+        recursive=True,
+    )
+)
 def market_monitor(spark: SparkSession, sf: str) -> DataFrame:
     """One line for each symbol: last price and change, trend, ADX, RSI, ATR share."""
-    b = I.dmi(I.rsi(I.atr(bars(spark, sf))))
+    b = materialise(I.dmi(I.rsi(I.atr(bars(spark, sf)))), "bars")
     t = S.dow_trend(b, K.swings(b)).withColumn("change", F.col("close") / F.nullif(F.lag("close").over(B.by_symbol()), F.lit(0.0)) - 1)
     last = t.groupBy("symbol").agg(F.max_by(F.struct("ts", "close", "change", "direction", "health", "adx", "rsi", (F.col("atr") / F.nullif(F.col("close"), F.lit(0.0))).alias("atr_pct")), "ts").alias("r"))
     return rounded(last.select("symbol", "r.*"))

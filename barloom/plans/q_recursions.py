@@ -20,7 +20,7 @@ def ema(spark: SparkSession, sf: str) -> DataFrame:
     return show(I.ema(I.ema(bars(spark, sf), "close", 12, "ema12"), "close", 26, "ema26"), "ema12", "ema26")
 
 
-_RSI = (
+RSI = (
     f"d AS MATERIALIZED (SELECT symbol, ts, n - 1 AS m, greatest(close - lag(close) OVER ({ORDER}), 0) AS up, greatest(lag(close) OVER ({ORDER}) - close, 0) AS dn FROM b)",
     smoothing("g", "d", "up", 14, "1.0::DOUBLE / 14", "m"),
     smoothing("l", "d", "dn", 14, "1.0::DOUBLE / 14", "m"),
@@ -31,7 +31,7 @@ _RSI = (
     with_bars(
         """SELECT b.symbol, b.ts, round(CASE WHEN b.n = 1 THEN 50 WHEN l.v <= 1e-12 THEN CASE WHEN g.v > 1e-12 THEN 100 ELSE 50 END ELSE 100 - 100 / (1 + g.v / l.v) END, 6) AS rsi
 FROM b LEFT JOIN g ON g.symbol = b.symbol AND g.n = b.n - 1 LEFT JOIN l ON l.symbol = b.symbol AND l.n = b.n - 1""",
-        *_RSI,
+        *RSI,
         recursive=True,
     )
 )
@@ -87,15 +87,15 @@ def starc(spark: SparkSession, sf: str) -> DataFrame:
     return show(I.starc(bars(spark, sf)), "starc_mid", "starc_upper", "starc_lower")
 
 
-_DMI = (
+DMI = (
     TRUE_RANGE,
     f"mv AS (SELECT symbol, ts, n - 1 AS m, t, high - lag(high) OVER ({ORDER}) AS up, lag(low) OVER ({ORDER}) - low AS dn FROM tr)",
     "dm AS MATERIALIZED (SELECT symbol, ts, m, t, CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END AS p, CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0 END AS q FROM mv)",
     summing("sp", "dm", "p", 14, "m"),
     summing("sq", "dm", "q", 14, "m"),
-    summing("st", "dm", "t", 14, "m"),
-    """di AS MATERIALIZED (SELECT dm.symbol, dm.ts, dm.m, CASE WHEN dm.m < 1 OR st.v <= 1e-12 THEN 0 ELSE 100 * sp.v / st.v END AS pdi, CASE WHEN dm.m < 1 OR st.v <= 1e-12 THEN 0 ELSE 100 * sq.v / st.v END AS mdi
-  FROM dm LEFT JOIN sp ON sp.symbol = dm.symbol AND sp.n = dm.m LEFT JOIN sq ON sq.symbol = dm.symbol AND sq.n = dm.m LEFT JOIN st ON st.symbol = dm.symbol AND st.n = dm.m)""",
+    summing("sa", "dm", "t", 14, "m"),
+    """di AS MATERIALIZED (SELECT dm.symbol, dm.ts, dm.m, CASE WHEN dm.m < 1 OR sa.v <= 1e-12 THEN 0 ELSE 100 * sp.v / sa.v END AS pdi, CASE WHEN dm.m < 1 OR sa.v <= 1e-12 THEN 0 ELSE 100 * sq.v / sa.v END AS mdi
+  FROM dm LEFT JOIN sp ON sp.symbol = dm.symbol AND sp.n = dm.m LEFT JOIN sq ON sq.symbol = dm.symbol AND sq.n = dm.m LEFT JOIN sa ON sa.symbol = dm.symbol AND sa.n = dm.m)""",
     "dx AS MATERIALIZED (SELECT *, CASE WHEN pdi + mdi <= 1e-12 THEN 0 ELSE 100 * abs(pdi - mdi) / (pdi + mdi) END AS x FROM di)",
     """ad(symbol, m, v) AS (
   SELECT symbol, m, CAST(0 AS DOUBLE) FROM dx WHERE m = 0
@@ -105,7 +105,7 @@ _DMI = (
 )
 
 
-@query(with_bars("SELECT dx.symbol, ts, round(pdi, 6) AS plus_di, round(mdi, 6) AS minus_di, round(x, 6) AS dx, round(ad.v, 6) AS adx FROM dx JOIN ad ON ad.symbol = dx.symbol AND ad.m = dx.m", *_DMI, recursive=True))
+@query(with_bars("SELECT dx.symbol, ts, round(pdi, 6) AS plus_di, round(mdi, 6) AS minus_di, round(x, 6) AS dx, round(ad.v, 6) AS adx FROM dx JOIN ad ON ad.symbol = dx.symbol AND ad.m = dx.m", *DMI, recursive=True))
 def dmi(spark: SparkSession, sf: str) -> DataFrame:
     return show(I.dmi(bars(spark, sf)), "plus_di", "minus_di", "dx", "adx")
 

@@ -14,6 +14,8 @@ from barloom.operators.multiframe import checklist
 from barloom.operators.multiframe import verdict as verdict_of
 from barloom.plans.q_metrics import rounded
 from barloom.plans.q_patterns import evidence
+from barloom.plans.q_recursions import DMI
+from barloom.plans.q_stats import hurst_sql
 from barloom.plans.q_windows import bars
 from barloom.plans.registry import query
 from barloom.plans.sql import BARS, with_bars
@@ -110,7 +112,15 @@ def equity_scalar(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("symbol", F.round(R.equity_scalar(F.col("z"), F.nullif(F.col("a"), F.lit(0.0))), 8).alias("scalar"))
 
 
-@query()
+@query(
+    with_bars(
+        """SELECT symbol, round(hurst, 6) AS hurst, round(adx, 6) AS adx, CASE WHEN hurst > 0.55 AND adx >= 20 THEN 'trending' WHEN NOT hurst > 0.55 AND NOT adx >= 20 THEN 'ranging' ELSE 'mixed' END AS label,
+  CASE WHEN hurst > 0.55 AND adx >= 20 THEN 0.85 WHEN NOT hurst > 0.55 AND NOT adx >= 20 THEN 0.75 ELSE 0.4 END::DOUBLE AS confidence FROM hu JOIN (SELECT symbol, arg_max(v, m) AS adx FROM ad GROUP BY symbol) USING (symbol)""",
+        *DMI,
+        *hurst_sql("close"),
+        recursive=True,
+    )
+)
 def trend_regime(spark: SparkSession, sf: str) -> DataFrame:
     """Trending or ranging, from the Hurst exponent of closes and the last ADX."""
     b = I.dmi(bars(spark, sf))

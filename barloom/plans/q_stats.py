@@ -10,7 +10,7 @@ from barloom.operators import regimes as Q
 from barloom.operators import stats as S
 from barloom.plans.q_metrics import rounded
 from barloom.plans.registry import query
-from barloom.plans.sql import BARS, ORDER
+from barloom.plans.sql import BARS, ORDER, with_bars
 from barloom.session import materialise
 
 
@@ -40,12 +40,17 @@ def tail_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(S.tail_ratio(returns(spark, sf), "symbol"))
 
 
-@query(
-    f"""WITH {BARS}, c AS (SELECT symbol, n, sum(close) OVER ({ORDER}) AS v, count(*) OVER (PARTITION BY symbol) AS k FROM b),
-t AS (SELECT a.symbol, l.lag, sqrt(stddev_samp(a.v - p.v)) AS tau FROM c a, (SELECT unnest(range(2, 64)) AS lag) l, c p WHERE p.symbol = a.symbol AND p.n = a.n - l.lag AND l.lag < a.k // 2 AND a.k >= 32 GROUP BY 1, 2),
-f AS (SELECT symbol, count(*) AS k, regr_slope(ln(tau), ln(lag)) AS s FROM t WHERE tau > 0 GROUP BY symbol)
-SELECT s.symbol, round(coalesce(CASE WHEN f.k < 4 THEN 0.5 ELSE least(greatest(f.s * 2, 0), 1) END, 0.5), 6) AS hurst FROM (SELECT DISTINCT symbol FROM b) s LEFT JOIN f ON f.symbol = s.symbol"""
-)
+def hurst_sql(value: str) -> tuple[str, ...]:
+    """CTEs that end in hu (symbol, hurst) of a value of b."""
+    return (
+        f"hc AS (SELECT symbol, n, {value} AS v, count(*) OVER (PARTITION BY symbol) AS k FROM b)",
+        "ht AS (SELECT a.symbol, l.lag, sqrt(stddev_samp(a.v - p.v)) AS tau FROM hc a, (SELECT unnest(range(2, 64)) AS lag) l, hc p WHERE p.symbol = a.symbol AND p.n = a.n - l.lag AND l.lag < a.k // 2 AND a.k >= 32 GROUP BY 1, 2)",
+        "hf AS (SELECT symbol, count(*) AS k, regr_slope(ln(tau), ln(lag)) AS s FROM ht WHERE tau > 0 GROUP BY symbol)",
+        "hu AS (SELECT s.symbol, coalesce(CASE WHEN hf.k < 4 THEN 0.5 ELSE least(greatest(hf.s * 2, 0), 1) END, 0.5) AS hurst FROM (SELECT DISTINCT symbol FROM b) s LEFT JOIN hf ON hf.symbol = s.symbol)",
+    )
+
+
+@query(with_bars("SELECT symbol, round(hurst, 6) AS hurst FROM hu", *hurst_sql(f"sum(close) OVER ({ORDER})")))
 def hurst(spark: SparkSession, sf: str) -> DataFrame:
     b = B.event_bars(spark, sf).withColumn("v", F.sum("close").over(B.so_far()))
     return rounded(S.hurst(b, "symbol", "ts", "v"))
