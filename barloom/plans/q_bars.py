@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom import bars as B
 from barloom.operators import cross_section as X
+from barloom.operators import thinning as N
 from barloom.plans.registry import query
 from barloom.plans.sql import BARS, peers, with_bars
 
@@ -209,3 +210,23 @@ def peers_as_of(spark: SparkSession, sf: str) -> DataFrame:
     b = B.ticks_to_bars(e, "10 minutes", symbol, F.col("value"), F.struct("ts", "event_id"), F.lit(1))
     b = b.select("symbol", "ts", F.round(F.try_divide("close", F.avg("close").over(B.trailing(20))), 9).alias("value"))
     return X.peers_as_of(b, "value").where("value IS NOT NULL")
+
+
+_POINTS = "pt AS (SELECT symbol, ts, close, n - 1 AS place, count(*) OVER (PARTITION BY symbol) AS k FROM b)"
+
+
+@query(with_bars("SELECT symbol, ts, close, place FROM pt WHERE (k - 1 - place) % CAST(ceil(k / 600.0) AS BIGINT) = 0", _POINTS))
+def thinned_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Each symbol's closes at equal strides, at most six hundred, the last among them."""
+    return N.strided(B.event_bars(spark, sf).select("symbol", "ts", "close"), "symbol", "ts", F.to_date("ts")).select("symbol", "ts", "close", "place")
+
+
+@query(
+    with_bars(
+        "SELECT symbol, g.bucket, max(ts) AS ts, round(avg(close), 6) AS close, count(*) AS n FROM (SELECT pt.*, ((place + 1) * least(k, 240) + k - 1) // k - 1 AS bucket FROM pt) g GROUP BY symbol, g.bucket", _POINTS
+    )
+)
+def thinned_means(spark: SparkSession, sf: str) -> DataFrame:
+    """Each symbol's closes as the means of 240 buckets, the columns of a chart."""
+    m = N.bucket_means(B.event_bars(spark, sf), "symbol", "ts", "close", F.to_date("ts"), 240)
+    return m.withColumn("close", F.round("close", 6))
