@@ -89,23 +89,37 @@ def swing_step(s: dict, high: float, low: float, close: float, volume: float, at
 # --- running a step over bars ---
 
 
-def scan(bars: DataFrame, start: Callable[[], dict], step: Callable[[dict, tuple], tuple[dict, dict | None]], columns: list[str], schema: str, keep: list[str] | None = None) -> DataFrame:
-    """Rows that a step brings, bar by bar in each symbol; keep: columns of the bar that go along."""
+def scan(bars: DataFrame, start: Callable[[], dict], step: Callable[[dict, tuple], tuple[dict, dict | None]], columns: list[str], schema: str, keep: list[str] | None = None, then: tuple[str, ...] = ()) -> DataFrame:
+    """Rows that a step brings, bar by bar in each symbol; keep: columns of the bar that go along.
+
+    Bars of one ts are taken in order of ``then``; those without a ts come last. They stream past in Arrow batches, so memory
+    holds a symbol's state and not its history. A step has NaN for a number that is null, and NaN comes out as null.
+    """
     ship_package(bars.sparkSession)
     keep = ["symbol", "ts"] if keep is None else keep
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+    kinds = [f.type for f in arrow][len(keep) :]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        state, rows = start(), []
-        held = list(zip(*(pdf[c].tolist() for c in keep)))
-        for k, values in enumerate(zip(*(pdf[c].tolist() for c in columns))):
-            state, out = step(state, values)
-            if out is not None:
-                rows.append((*held[k], *out.values()))
-        return pd.DataFrame(rows, columns=names)
-
-    names = [x.split()[0] for x in schema.split(", ")]
-    return bars.select(*dict.fromkeys([*keep, "symbol", "ts", *columns])).groupBy("symbol").applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol = state = None
+        begun = False
+        for b in batches:
+            at, rows = [], []
+            values = zip(*(b.column(c).to_numpy(zero_copy_only=False).tolist() for c in columns))
+            for k, (own, v) in enumerate(zip(b.column("symbol").to_pylist(), values)):
+                if not begun or own != symbol:
+                    symbol, state, begun = own, start(), True
+                state, out = step(state, v)
+                if out is not None:
+                    at.append(k)
+                    rows.append(tuple(out.values()))
+            if rows:
+                held = [b.column(c).take(pa.array(at, pa.int32())) for c in keep]
+                made = [pa.array(c, kind, from_pandas=True) for c, kind in zip(zip(*rows), kinds)]
+                yield pa.RecordBatch.from_arrays(held + made, names=arrow.names)
+
+    df = bars.select(*dict.fromkeys([*keep, "symbol", "ts", *columns, *then]))
+    return df.repartition("symbol").sortWithinPartitions("symbol", F.col("ts").asc_nulls_last(), *then).mapInArrow(run, schema)
 
 
 def scan_stacked(parts: list[DataFrame], then: list[str], start: Callable[[], object], step: Callable[[object, dict], tuple[object, list[tuple]]], schema: str) -> DataFrame:

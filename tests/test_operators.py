@@ -639,3 +639,38 @@ def test_open_gaps_are_swept_as_a_plain_loop_does(spark):
             want[symbol, ts] = (len(gaps), support[1], support[0], *resistance)
     assert got == want and sum(v[1] is not None for v in want.values()) > 20 and sum(v[3] is not None for v in want.values()) > 20
     assert max(v[0] for v in want.values()) > 3
+
+
+def test_a_scan_holds_a_state_and_no_history(spark):
+    """What Python holds at a symbol's last bar is a batch's rows, whatever came before."""
+    import tracemalloc
+
+    from barloom.operators import kernels
+
+    def step(s, v):
+        if not s["n"]:
+            tracemalloc.start()
+        s = {"n": s["n"] + 1}
+        if s["n"] % 1000:
+            return s, {"n": s["n"], "x": v[0], "peak": 0}
+        peak = tracemalloc.get_traced_memory()[1]
+        if s["n"] == 120_000:
+            tracemalloc.stop()
+        return s, {"n": s["n"], "x": v[0], "peak": peak}
+
+    k = F.col("id")
+    bars = spark.range(120_000).select(F.lit("a").alias("symbol"), F.pmod(k * 7919, F.lit(120_000)).alias("ts"), F.when(k % 3 == 0, None).otherwise(1.5).alias("x"))
+    out = kernels.scan(bars, lambda: {"n": 0}, step, ["x"], "symbol string, ts long, n long, x double, peak long")
+    got = out.agg(F.count("*").alias("rows"), F.count("x").alias("known"), F.count_if(F.col("n") != F.col("ts") + 1).alias("wrong"), F.max("peak").alias("peak")).first()
+    assert (got.rows, got.known, got.wrong) == (120_000, 80_000, 0) and 0 < got.peak < 12 << 20
+
+
+def test_a_scan_takes_null_symbols_and_times_as_groups_and_last(spark):
+    """Symbols meet a fresh state each, also the null one and those that begin inside a batch; null times end their symbol."""
+    from barloom.operators import execution
+
+    rows = [("b", 2, 1.0, 10.0), ("a", None, -3.0, 8.0), (None, 1, 2.0, 5.0), ("a", 1, 1.0, 4.0), ("a", 2, 1.0, 6.0), ("b", 3, 1.0, None), (None, 2, -2.0, 7.0)]
+    fills = spark.createDataFrame(rows, "symbol string, ts long, signed double, price double").repartition(3)
+    got = {(r.symbol, r.ts): (r.qty, r.avg_price, r.realised) for r in execution.positions(fills).collect()}
+    want = {("a", 1): (1, 4, 0), ("a", 2): (2, 5, 0), ("a", None): (-1, 8, 6), ("b", 2): (1, 10, 0), ("b", 3): (2, None, 0), (None, 1): (2, 5, 0), (None, 2): (0, 0, 4)}
+    assert got == want
