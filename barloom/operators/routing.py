@@ -132,12 +132,12 @@ def router_step(s: dict, at: float, event: str, reduces: bool, timeout: float =
     return s, {"action": "replaced" if replaced else "sent"}
 
 
-def route(orders: DataFrame) -> DataFrame:
-    """orders (symbol, ts, event, reduces) with what the router does with each."""
+def route(orders: DataFrame, then: tuple[str, ...] = ()) -> DataFrame:
+    """orders (symbol, ts, event, reduces) with what the router does with each; those of one ts go in order of ``then``."""
     from barloom.operators.kernels import scan
 
     df = orders.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    return scan(df, router_start, lambda s, v: router_step(s, *v), ["at", "event", "reduces"], f"symbol string, ts {dict(orders.dtypes)['ts']}, action string")
+    return scan(df, router_start, lambda s, v: router_step(s, *v), ["at", "event", "reduces"], f"symbol string, ts {dict(orders.dtypes)['ts']}, action string", then=then)
 
 
 # --- agents over structure ---

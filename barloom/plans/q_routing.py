@@ -102,8 +102,8 @@ r(symbol, n, ts, working, since, rejects, blocked, action) AS (
 def order_routing(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("event_id")
     event = F.when(k % 29 == 0, "kill").when(k % 5 == 0, "fill").when(k % 7 < 2, "reject").otherwise("submit")
-    o = B.read(spark, sf, "events").select(F.col("event_type").alias("symbol"), "ts", event.alias("event"), (k % 11 == 0).alias("reduces"))
-    return R.route(o)
+    o = B.read(spark, sf, "events").select("event_id", F.col("event_type").alias("symbol"), "ts", event.alias("event"), (k % 11 == 0).alias("reduces"))
+    return R.route(o, then=("event_id",))
 
 
 @query(f"WITH {BARS}, g AS (SELECT symbol, arg_min(close, ts) AS a, arg_max(close, ts) AS z FROM b GROUP BY symbol) SELECT symbol, round(CASE WHEN a <= 0 THEN 1 ELSE least(greatest(z / a, 0), 1.5) END, 8) AS scalar FROM g")

@@ -674,3 +674,36 @@ def test_a_scan_takes_null_symbols_and_times_as_groups_and_last(spark):
     got = {(r.symbol, r.ts): (r.qty, r.avg_price, r.realised) for r in execution.positions(fills).collect()}
     want = {("a", 1): (1, 4, 0), ("a", 2): (2, 5, 0), ("a", None): (-1, 8, 6), ("b", 2): (1, 10, 0), ("b", 3): (2, None, 0), (None, 1): (2, 5, 0), (None, 2): (0, 0, 4)}
     assert got == want
+
+
+def test_routing_streams_and_takes_equal_times_by_id(spark, tmp_path):
+    """Events of one time go in order of event_id, however the file has them, and no task gathers a symbol's."""
+    from barloom.plans import q_routing as Z
+
+    k = F.col("id")
+    events = spark.range(3000).select(k.alias("event_id"), F.timestamp_seconds((k / 40).cast("long") * 50).cast("timestamp_ntz").alias("ts"), F.when(k % 2 == 0, "a").otherwise("b").alias("event_type"))
+    events.orderBy(F.xxhash64("event_id")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    want = []
+    for symbol, rest in (("a", 0), ("b", 1)):
+        working, sent, rejects, blocked = False, 0, 0, 0
+        for i in range(rest, 3000, 2):
+            at = i // 40 * 50
+            if i % 29 == 0:
+                working, action = False, "cancelled"
+            elif i % 5 == 0:
+                working, rejects, action = False, 0, "done"
+            elif i % 7 < 2:
+                working, rejects, action = False, rejects + 1, "rejected"
+                if rejects == 3:
+                    rejects, blocked, action = 0, at + 300, "blocked"
+            elif working and at < sent + 120 and i % 11:
+                action = "busy"
+            elif at < blocked and i % 11:
+                action = "held"
+            else:
+                working, sent, action = True, at, "replaced" if working else "sent"
+            want.append((symbol, dt.datetime(1970, 1, 1) + dt.timedelta(seconds=at), action))
+    df = Z.order_routing(spark, str(tmp_path))
+    assert "FlatMapGroups" not in df._jdf.queryExecution().toString()
+    got = [tuple(r) for r in df.select("symbol", "ts", "action").collect()]
+    assert len({a for *_, a in got}) >= 6 and sorted(got) == sorted(want)
