@@ -32,116 +32,155 @@ from barloom.session import new_path
 #: square root of a table of more than its square.
 BLOCK_IDS, SHARD_DOCS = 1 << 20, 4096
 #: Text that goes through the tokenizer together, about.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 24 << 20
 MAGIC = b"RPB3"
-#: Odd factors that spread pairs over the slots of a hash table.
-_MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
 
 # --- grammar ---
 
 
-def _slots(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
-    """A slot from 1 to 2**bits for each pair of symbols."""
-    h = left * _MIX[0]
-    h += right * _MIX[1]
-    h ^= h >> np.uint32(15)
-    h *= _MIX[0]
-    h >>= np.uint32(32 - bits)
-    return h.astype(np.intp) + 1
-
-
 def compress(seq: np.ndarray, last: np.ndarray, first: int, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The sequence with repeated pairs replaced, where documents end in it, and the rules' left and right symbols.
 
     Rule k makes symbol first + k. last: which places of the sequence end a document; no pair reaches over one.
 
     Rounds go on until no pair occurs ``least`` times; of a pair's occurrences that overlap (a a a) every other one from
-    the left counts. A round finds the pairs whose slot of a hash table holds a quarter of the fullest one's occurrences
-    or more, counts those pairs exactly and takes the ones with that many; where two of them overlap, the more frequent
-    one is replaced. One that is left with too few, or whose slot in the table of names went to a more frequent one,
-    waits for the next round. The most frequent pair never waits, so every round replaces.
+    the left counts. A round takes the pairs with a quarter of the most frequent one's occurrences or more; where two of
+    them overlap, the more frequent one is replaced. One that is left with too few waits for the next round. The most
+    frequent pair never waits, so every round replaces or finds that pairs overlap themselves too much for ever.
 
-    Later symbols at a boundary stand for what was there before, so a pair that occurs too seldom always will: its place
-    is shut for good, and symbols between two shut places leave the arrays that rounds go through.
+    Pairs that a round brings hold a symbol that it made, so they are sorted and counted once, among themselves, and lose
+    occurrences from then on. A pair has its places in a slice of ``at``, from which those are passed over that no longer
+    hold it. So a round's work is that of what it replaces, not of the whole sequence.
     """
-    out, ends, gone = seq.astype(np.uint32), last.copy(), np.zeros(len(seq), bool)
-    sym, place, shut = out.copy(), np.arange(len(out), dtype=np.int32), last.copy()
+    n = len(seq)
+    sym, ends = np.zeros(n + 1, np.uint32), np.ones(n + 1, bool)
+    sym[:n], ends[:n] = seq, last
+    place = np.int32 if n < 1 << 30 else np.int64
+    after, before = np.arange(1, n + 2, dtype=place), np.arange(-1, n, dtype=place)
+    before[0] = n
+    # Place n stands for what is before the first symbol and after the last; pair 0 for none that repeats.
+    pair, rank, gone = np.zeros(n + 1, place), np.zeros(n + 1, np.int32), np.zeros(n + 1, bool)
+    at = np.empty(3 * n, place)
+    used, known = 0, 1
+    count, start, long, a, b = np.zeros(1, place), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.uint32), np.zeros(1, np.uint32)
     left, right = [], []
-    made, cut = 0, 1 << 30
-    while len(sym) > 1:
-        shut[-1] = True
-        # Frequent pairs show in a small table; the rare ones of the last rounds need a large one to be told apart.
-        bits = max(8, min(len(sym).bit_length() + 1, 20 if cut < 16 else 17 if cut < 100 else 14))
-        slot = _slots(sym[:-1], sym[1:], bits)
-        slot *= ~shut[:-1]
-        held = np.bincount(slot, minlength=(1 << bits) + 1)
-        held[0] = 0
-        seen = held.astype(np.int32).take(slot)
-        cut = max(least, int(held.max()) // 4)
-        while True:
-            at = np.flatnonzero(seen >= cut)
-            pair = (sym[at].astype(np.uint64) << np.uint64(32)) | sym[at + 1]
-            twin = np.flatnonzero(sym[at] == sym[at + 1])
-            if len(twin):
-                run, nth = at[twin], np.arange(len(twin))
-                begins = np.r_[True, run[1:] != run[:-1] + 1]
-                free = np.ones(len(at), bool)
-                free[twin[(nth - np.maximum.accumulate(np.where(begins, nth, 0))) % 2 == 1]] = False
-                at, pair = at[free], pair[free]
-            order = np.sort(pair)
-            head = np.flatnonzero(np.r_[True, order[1:] != order[:-1]][: len(order)])
-            count = np.diff(np.r_[head, len(order)])
-            often = np.flatnonzero(count >= cut)
-            if len(often) or cut == least:
-                break
-            cut = max(least, cut // 2)  # slots were fuller than any pair is frequent
-        if not len(often):
-            break
-        often = often[np.argsort(count[often], kind="stable")]
-        codes = np.r_[np.uint64(0), order[head[often]]]
-        a, b = (codes >> np.uint64(32)).astype(np.uint32), (codes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        # A pair's rank by its count, through a table in which the more frequent of two pairs has the slot.
-        table = np.zeros((1 << bits) + 1, np.int32)
-        np.maximum.at(table, _slots(a, b, bits)[1:], np.arange(1, len(codes), dtype=np.int32))
-        rank = table[slot[at]]
-        known = codes[rank] == pair
-        at, rank = at[known], rank[known]
-        side = at[1:] == at[:-1] + 1
-        wins = np.ones(len(at), bool)
-        wins[1:] &= ~side | (rank[1:] > rank[:-1])
-        wins[:-1] &= ~side | (rank[:-1] > rank[1:])
-        at, rank = at[wins], rank[wins]
-        enough = np.bincount(rank, minlength=len(codes)) >= least
-        at, rank = at[enough[rank]], rank[enough[rank]]
+    made, low = 0, n.bit_length()
+
+    def enter(begins: np.ndarray) -> None:
+        """Count the pairs that begin at these places, none of which has been counted before."""
+        nonlocal used, known, count, start, long, a, b
+        wide = (first + made).bit_length()
+        if 2 * wide + low <= 64:
+            key = sym.take(begins).astype(np.uint64)
+            key <<= np.uint64(wide)
+            key |= sym.take(after.take(begins)).astype(np.uint64)
+            key <<= np.uint64(low)
+            key |= begins.view(np.uint64)
+            key.sort()
+            begins = (key & np.uint64((1 << low) - 1)).view(np.intp)
+            key >>= np.uint64(low)
+        else:
+            begins = np.sort(begins)
+            key = (sym[begins].astype(np.uint64) << np.uint64(32)) | sym[after[begins]]
+            order = np.argsort(key, kind="stable")
+            key, begins = key[order], begins[order]
+        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        size = np.diff(np.r_[head, len(key)])
+        often = size >= least
+        number = np.zeros(len(head), place)
+        number[often] = known + np.arange(np.count_nonzero(often))
+        number = np.repeat(number, size)
+        held = np.flatnonzero(number)
+        begins = begins.take(held)
+        pair[begins] = number.take(held)
+        at[used : used + len(begins)] = begins
+        head, size = head[often], size[often]
+        while known + len(size) > len(count):
+            count, start, long, a, b = (np.concatenate([x, np.zeros(max(len(x), 1 << 12), x.dtype)]) for x in (count, start, long, a, b))
+        to = slice(known, known + len(size))
+        count[to], long[to], start[to] = size, size, used + np.cumsum(size) - size
+        one = at[start[to]]
+        a[to], b[to] = sym[one], sym[after[one]]
+        used, known = used + len(begins), known + len(size)
+
+    enter(np.flatnonzero(~ends))
+    while (top := int(count[:known].max())) >= least:
+        take = np.flatnonzero(count[:known] >= max(least, top // 4))
+        take = take[np.argsort(count[take], kind="stable")]
+        here = at.take(spread(start[take], long[take]))
+        nth = np.repeat(np.arange(1, len(take) + 1, dtype=np.int32), long[take])
+        still = np.flatnonzero(pair.take(here) == np.repeat(take.astype(place), long[take]))
+        here, nth = here.take(still), nth.take(still)
+        twin = np.flatnonzero((a[take] == b[take])[nth - 1]) if (a[take] == b[take]).any() else ()
+        if len(twin):
+            run, k = here[twin], np.arange(len(twin))
+            begins = np.r_[True, (run[1:] != after[run[:-1]]) | (nth[twin[1:]] != nth[twin[:-1]])]
+            free = np.ones(len(here), bool)
+            free[twin[(k - np.maximum.accumulate(np.where(begins, k, 0))) % 2 == 1]] = False
+            here, nth = here[free], nth[free]
+            size = np.bincount(nth, minlength=len(take) + 1)[1:]
+            count[take[size < least]] = 0  # what is left of it overlaps
+            # Ranks go by what can be replaced.
+            by = np.empty(len(take), np.int32)
+            order = np.argsort(size, kind="stable")
+            by[order] = np.arange(1, len(take) + 1)
+            take, nth = take[order], by[nth - 1]
+        rank[here] = nth
+        here = np.sort(here).astype(np.intp)  # neighbours are near in memory
+        nth = rank.take(here)
+        wins = np.flatnonzero((rank.take(before.take(here)) < nth) & (rank.take(after.take(here)) < nth))
+        rank[here] = 0
+        here, nth = here.take(wins), nth.take(wins)
+        enough = np.bincount(nth, minlength=len(take) + 1) >= least
+        enough[0] = False
+        if not enough[1:].all():
+            wins = enough[nth]
+            here, nth = here[wins], nth[wins]
         new = np.flatnonzero(enough)
-        name = np.zeros(len(codes), np.uint32)
+        if not len(new):
+            continue
+        name = np.zeros(len(enough), np.uint32)
         name[new] = first + made + np.arange(len(new))
-        left.append(a[new].astype(np.int64))
-        right.append(b[new].astype(np.int64))
+        left.append(a[take[new - 1]].astype(np.int64))
+        right.append(b[take[new - 1]].astype(np.int64))
         made += len(new)
-        shut[:-1] |= seen < least
-        sym[at] = name[rank]
-        shut[at] = shut[at + 1]
-        here, there = place[at], place[at + 1]
-        out[here], ends[here] = sym[at], ends[there]
+        there = after.take(here).astype(np.intp)
         gone[there] = True
-        stays = ~shut
-        stays[1:] |= ~shut[:-1]
-        stays[at], stays[at + 1] = True, False
-        stays = np.flatnonzero(stays)
-        sym, place, shut = sym.take(stays), place.take(stays), shut.take(stays)
-    none = np.zeros(0, np.int64)
-    return out[~gone], ends[~gone], np.concatenate(left) if left else none, np.concatenate(right) if right else none
+        side = before.take(here).astype(np.intp)
+        lost = np.concatenate([here, there, side[~gone.take(side)]])
+        count[:known] -= np.bincount(pair.take(lost), minlength=known).astype(place)
+        pair[lost] = 0
+        count[0] = 0
+        beyond = after.take(there)
+        sym[here], ends[here], after[here] = name.take(nth), ends.take(there), beyond
+        before[beyond] = here
+        side = before.take(here).astype(np.intp)
+        rank[here] = 1
+        begins = np.concatenate([here, side[rank.take(side) == 0]])
+        rank[here] = 0
+        enter(begins[~ends.take(begins)])
+    none, stays = np.zeros(0, np.int64), ~gone[:n]
+    return sym[:n][stays], ends[:n][stays], np.concatenate(left) if left else none, np.concatenate(right) if right else none
 
 
 def sizes_and_depths(left: np.ndarray, right: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     """How many ids each rule stands for, and how deep its rules go."""
-    size, depth = [], []
-    for a, b in zip((left - first).tolist(), (right - first).tolist()):
-        size.append((size[a] if a >= 0 else 1) + (size[b] if b >= 0 else 1))
-        depth.append(1 + max(depth[a] if a >= 0 else 0, depth[b] if b >= 0 else 0))
-    return np.array(size, np.int64), np.array(depth, np.int64)
+    need = np.maximum(left, right) - first
+    n, stop = len(need), 0
+    # After the rules are those of plain ids, which -1 reaches.
+    size, depth = np.ones(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    while stop < n:  # as many rules as need none of one another
+        at, stop, step = stop, stop + 1, 256
+        while stop < n:
+            hit = np.flatnonzero(need[stop : stop + step] >= at)
+            if len(hit):
+                stop += int(hit[0])
+                break
+            stop, step = min(stop + step, n), 2 * step
+        a, b = np.maximum(left[at:stop] - first, -1), np.maximum(right[at:stop] - first, -1)
+        size[at:stop], depth[at:stop] = size[a] + size[b], 1 + np.maximum(depth[a], depth[b])
+    return size[:n], depth[:n]
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -305,7 +344,7 @@ class WordTokenizer:
         # The library looks for special tokens, and composes letters and accents, before it puts a text in lower case.
         special = np.flatnonzero(pc.match_substring_regex(texts, r"<\||[\x{0300}-\x{036f}]").to_numpy(zero_copy_only=False))
         # The model parts marks from a letter before them; a blank there leaves fewer distinct units.
-        parted = pc.replace_substring_regex(pc.ascii_lower(texts), pattern=r"([a-z\x{df}-\x{f6}\x{f8}-\x{ff}])([.,;:!?])", replacement=r"\1 \2")
+        parted = pc.replace_substring_regex(pc.ascii_lower(texts), pattern=r"([a-z\x{df}-\x{f6}\x{f8}-\x{ff}])([.,;:!?#*$%&])", replacement=r"\1 \2")
         units = pc.ascii_split_whitespace(parted)
         flat = units.flatten().dictionary_encode()
         distinct = flat.dictionary.to_pylist()

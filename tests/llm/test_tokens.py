@@ -204,3 +204,48 @@ def test_token_file_deals_many_rows_of_one_id_to_several_shards(spark, words, tm
     assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
     want = {np.array(words.encode(r[1], add_special_tokens=False).ids + [2], "<u4").tobytes() for r in rows}
     assert {bytes(r.ids) for r in got} == want and len(got) == len(rows)
+
+
+def test_marks_after_words_make_no_units_of_their_own(words):
+    """A word before marks is met as the word, so the library is asked once for all of its forms."""
+    import pyarrow as pa
+
+    tok = repair.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["aveó### aveó*** aveó$$$ aveó%%% aveó&&& aveó. aveó", "x#$ y#|x z<|x q&;x é#̸", "1### #a ##b 'll# l'll#"]
+    for t, raw in zip(texts, tok.encode_column(pa.array(texts), 2).to_pylist()):
+        assert np.frombuffer(raw, tok.kind).tolist() == words.encode(t, add_special_tokens=False).ids + [2]
+    assert [w for w in tok.new if w.startswith("ave")] == ["aveó"]
+
+
+def test_grammar_of_symbols_too_wide_to_sort_with_their_places():
+    rng = np.random.default_rng(3)
+    base = 1 << 31
+    ids = np.tile(rng.integers(0, base, 300), 20)
+    ids[1000:1400] = 9
+    last = np.zeros(len(ids), bool)
+    last[[599, 2000, len(ids) - 1]] = True
+    narrow, wide = repair.compress(ids % 1000, last, 1000), repair.compress(ids, last, base)
+    for (seq, ends, left, right), v, k in ((narrow, ids % 1000, 1000), (wide, ids, base)):
+        assert most_occurrences(seq, ends) < 2 and len(seq) < 1500
+        whole = []
+        todo = seq[::-1].tolist()
+        while todo:
+            x = todo.pop()
+            if x < k:
+                whole.append(x)
+            else:
+                todo += [int(right[x - k]), int(left[x - k])]
+        assert whole == v.tolist() and ends.sum() == 3
+
+
+def test_rule_sizes_and_depths_of_chains_and_wide_rounds():
+    rng = np.random.default_rng(4)
+    for n, reach in ((0, 1), (700, 1), (3000, 2000)):
+        left = np.array([100 + max(k - int(rng.integers(1, reach + 1)), -int(rng.integers(1, 99))) for k in range(n)], np.int64)
+        right = rng.integers(0, 100, n)
+        size, depth = [], []
+        for a, b in zip(left - 100, right - 100):
+            size.append(sum(size[c] if c >= 0 else 1 for c in (a, b)))
+            depth.append(1 + max(depth[c] if c >= 0 else 0 for c in (a, b)))
+        got = repair.sizes_and_depths(left, right, 100)
+        assert got[0].tolist() == size and got[1].tolist() == depth
